@@ -28,10 +28,13 @@ def _hadoop_path(spark: SparkSession, path: str):
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it goes when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    fs, p = _hadoop_path(spark, path)
-    fs.deleteOnExit(p)
-    return path
+    top = shared_dir(spark)
+    if getattr(spark.sparkContext, "_strataloom_top", None) != top:
+        fs, p = _hadoop_path(spark, top)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        spark.sparkContext._strataloom_top = top
+    return f"{top}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
