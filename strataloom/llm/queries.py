@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, minhash
+from . import kneser_ney, minhash, packing, vbyte
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,20 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, threshold=0.85)
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vbyte.round_trip(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
@@ -25,6 +39,8 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_near_dedup": op3_near_dedup,
+    "op4_packing": op4_packing,
+    "op7_token_files": op7_token_files,
     "op9_lm_score": op9_lm_score,
 }
 
