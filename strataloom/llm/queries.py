@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, minhash, packing, vbyte
+from . import kneser_ney, minhash, packing, quality, vbyte
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vbyte.round_trip(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -40,6 +44,7 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_near_dedup": op3_near_dedup,
     "op4_packing": op4_packing,
+    "op6_quality_rules": op6_quality_rules,
     "op7_token_files": op7_token_files,
     "op9_lm_score": op9_lm_score,
 }
@@ -47,7 +52,46 @@ QUERIES = {
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_RATES = [("symbol_rate", 300, 3), ("dup_rate", 4000, 3), ("repeat_rate", 1500, 3), ("mean_word", 1200, 6)]
+_TOP = "CASE WHEN b < 32 THEN b ELSE ((b - 32 * ((b - 16) // 32) + 1) << ((b - 16) // 32)::INT) - 1 END"
+
+
+def _quartiles(keys: str, tag: str) -> str:
+    by = f"{keys}, metric"
+    return f"""
+{tag}_sum AS (SELECT {by}, b, sum(n) AS n FROM sketch GROUP BY {by}, b),
+{tag}_cum AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY b) AS seen, sum(n) OVER (PARTITION BY {by}) AS total FROM {tag}_sum),
+{tag} AS (SELECT {by}, max(total) AS n, min({_TOP}) FILTER (4 * seen >= total) AS q1, min({_TOP}) FILTER (4 * seen >= 3 * total) AS q3 FROM {tag}_cum GROUP BY {by})"""
+
+
+_QUALITY_SQL = f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, lang, source, {_WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
+ln AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+win AS (SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, ws FROM w WHERE len(ws) >= 5),
+keyed AS (SELECT doc_id, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] || ' ' || ws[i+3] || ' ' || ws[i+4] AS k FROM win),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM keyed) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, (SELECT unnest(range(5)) AS j) GROUP BY doc_id),
+base AS (SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_lines, 0) AS n_lines,
+  coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN ln ON ln.doc_id = w.doc_id LEFT JOIN rep ON rep.doc_id = w.doc_id),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  coalesce(10000 * n_symbols // nullif(word_chars, 0), 0) AS symbol_rate, coalesce(10000 * n_dup_lines // nullif(n_lines, 0), 0) AS dup_rate,
+  coalesce(10000 * n_repeat_words // nullif(n_words, 0), 0) AS repeat_rate, coalesce(100 * word_chars // nullif(n_words, 0), 0) AS mean_word FROM base),
+long AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS metric, {s} AS slack, {k} AS spread, {m}::BIGINT AS v FROM f" for m, s, k in _RATES)}),
+sketch AS (SELECT lang, source, 1 AS one, metric, CASE WHEN v < 32 THEN v ELSE (v >> (length(bin(v)) - 5)::INT) + 32 * (length(bin(v)) - 5) END AS b,
+  sum((NOT base_failed)::INT) AS n FROM long GROUP BY ALL),
+{_quartiles("lang, source", "fine")}, {_quartiles("lang", "coarse")}, {_quartiles("one", "whole")},
+bad AS (SELECT DISTINCT doc_id FROM long l
+  JOIN fine a ON a.lang IS NOT DISTINCT FROM l.lang AND a.source IS NOT DISTINCT FROM l.source AND a.metric = l.metric
+  JOIN coarse c ON c.lang IS NOT DISTINCT FROM l.lang AND c.metric = l.metric JOIN whole g ON g.metric = l.metric
+  WHERE v > CASE WHEN a.n >= 100 THEN greatest(slack, a.q3 + spread * (a.q3 - a.q1)) WHEN c.n >= 100 THEN greatest(slack, c.q3 + spread * (c.q3 - c.q1))
+    ELSE greatest(slack, g.q3 + spread * (g.q3 - g.q1)) END)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM f
+"""
+
 ORACLES: dict[str, str] = {
+    "op6_quality_rules": _QUALITY_SQL,
     "op3_near_dedup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text=_LOWERED)} AS ws FROM documents),
 sh AS (
