@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, minhash, packing, quality, vbyte
+from . import kneser_ney, minhash, packing, quality, secrets, url_filter, vbyte
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,19 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vbyte.round_trip(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(_table(spark, sf_dir, "documents"))
+
+
+#: The contract's rules for the query.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filter.train(url_filter.default_labels(spark))
+    return url_filter.judge(_table(spark, sf_dir, "pages"), model, URL_RULES)
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
@@ -46,6 +59,8 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_files": op7_token_files,
+    "op8_secret_scan": op8_secret_scan,
+    "op10_url_filter": op10_url_filter,
     "op9_lm_score": op9_lm_score,
 }
 
