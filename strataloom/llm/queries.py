@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, minhash, packing, quality, secrets, url_filter, vbyte
+from . import crf_lang, kneser_ney, minhash, packing, quality, secrets, url_filter, vbyte
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    crf = crf_lang.train(docs.where(~crf_lang.held_out()))
+    out = crf_lang.predict(docs, crf)
+    return out.select("doc_id", crf_lang.held_out().alias("held_out"), "lang_pred", "score", "lettered_words", "switches")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, threshold=0.85)
 
@@ -55,6 +62,7 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_near_dedup": op3_near_dedup,
     "op4_packing": op4_packing,
     "op6_quality_rules": op6_quality_rules,
