@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
+
 MOST_CHUNKS = 500_000
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _BLANKS = ("  ", " \n", " \t", " \r", " \x0b", " \x0c")
@@ -25,37 +27,55 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        # In byte-level vocabularies a token's string has one character for each byte it stands for.
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = any(x.endswith("</w>") for x in vocabulary)
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token.removesuffix("</w>"))
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk, which starts with a blank: all are encoded as one text, then cut where their bytes end."""
+        normalizer = self.tokenizer.normalizer
+        if normalizer is None:
+            sizes = [len(x.encode()) for x in chunks]
+        else:
+            sizes = [len(x) - 1 if x.isascii() and x.isprintable() else len("".join(normalizer.normalize_str(x).split()).encode()) for x in chunks]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(np.array(sizes, np.int64))
+        marks = np.cumsum(self.bytes_of[ids])
+        cuts = np.searchsorted(marks, ends) + 1
+        if len(ids) == 0 or len(ends) == 0 or marks[-1] != ends[-1] or not (marks[np.minimum(cuts, len(ids)) - 1] == ends).all():
+            return self.whole(chunks)
+        raw, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     @staticmethod
     def plain(text: str) -> bool:
         return not any(b in text for b in _BLANKS) and not _ODD.search(text) and text[-1:] != " " and "\0" not in text
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        known, out, odd = self.known, [None] * len(texts), []
-        for i, text in enumerate(texts):
-            if not self.plain(text):
-                odd.append(i)
-                continue
-            # "\0" marks the text's first chunk, which has no blank before it.
-            chunks = ("\0" + text).split(" ")
-            try:
-                out[i] = b"".join(map(known.__getitem__, chunks))
-            except KeyError:
-                new = list(set(chunks) - known.keys())
-                if len(known) + len(new) > MOST_CHUNKS:
-                    known.clear()
-                    new = list(set(chunks))
-                known.update(zip(new, self.whole([x[1:] if x[0] == "\0" else " " + x for x in new]), strict=True))
-                out[i] = b"".join(map(known.__getitem__, chunks))
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        return out
+        """The ids of each text; the texts' new chunks are encoded together."""
+        known = self.known
+        plain = [self.plain(x) for x in texts]
+        # "\0" marks a text's first chunk, which has no blank before it.
+        cut = [("\0" + x).split(" ") if ok else () for x, ok in zip(texts, plain, strict=True)]
+        every: set[str] = set()
+        for chunks in cut:
+            every.update(chunks)
+        new = [x for x in every if x not in known]
+        if len(known) + len(new) > MOST_CHUNKS:
+            known.clear()
+            new = list(every)
+        first, rest = [x for x in new if x[0] == "\0"], [x for x in new if x[0] != "\0"]
+        known.update(zip(first, self.whole([x[1:] for x in first]), strict=True))
+        known.update(zip(rest, self.chunks([" " + x for x in rest]), strict=True))
+        odd = iter(self.whole([x for x, ok in zip(texts, plain, strict=True) if not ok]))
+        look = known.__getitem__
+        return [b"".join(map(look, chunks)) if ok else next(odd) for chunks, ok in zip(cut, plain, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
