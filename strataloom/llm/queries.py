@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_lang, kneser_ney, minhash, packing, quality, secrets, url_filter, vbyte
+from . import crf_lang, kneser_ney, minhash, nbest, packing, quality, secrets, tiff, url_filter, vbyte
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digests(_table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     crf = crf_lang.train(docs.where(~crf_lang.held_out()))
@@ -33,6 +37,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op5_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = nbest.encode(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    scores = F.array_join(F.transform("scores", lambda x: F.round(x, 4).cast("string")), ",")
+    return out.withColumn("scores", scores)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_table(spark, sf_dir, "documents"))
 
@@ -62,9 +72,11 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_tiff": op1_tiff,
     "op2_language_id": op2_language_id,
     "op3_near_dedup": op3_near_dedup,
     "op4_packing": op4_packing,
+    "op5_nbest": op5_nbest,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_files": op7_token_files,
     "op8_secret_scan": op8_secret_scan,
