@@ -37,14 +37,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{top}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     This cuts the lineage with files that outlive any executor, and later plans see the table's true size, so that
     Spark itself decides about broadcasts.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._strataloom_path = path
     return out

@@ -1,18 +1,22 @@
 """Token ids of whole texts from a public tokenizer file, each distinct chunk encoded once per worker.
 
-Both byte-level and word-end BPE split a text into pieces that never cross the start of a blank before a word, so a
-text's ids are the joined ids of its chunks; the tokenizers library encodes each chunk. Texts with other white space
-after a blank go to the library whole.
+Both byte-level and word-end BPE split a text into pieces that never cross the start of a blank before a word, a single
+line end between words, or a word's end before a full stop. So a text's ids are the joined ids of its chunks; the
+tokenizers library encodes each chunk. Texts with other white space after a blank go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from unicodedata import is_normalized
 
 import numpy as np
 
-MOST_CHUNKS = 500_000
+MOST_CHUNKS = 700_000
+#: A full stop or comma that ends a Latin word before a blank or the text's end is a piece of its own.
+_STOP = re.compile("[.,](?<=[A-Za-z0-9À-ÖØ-öø-įı-ɏ][.,])(?= |$)")
+_LINES = ("\n\n", "\n ", "\t", "\r", "\x0b", "\x0c")
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _BLANKS = ("  ", " \n", " \t", " \r", " \x0b", " \x0c")
 
@@ -43,7 +47,7 @@ class Encoder:
         if normalizer is None:
             sizes = [len(x.encode()) for x in chunks]
         else:
-            sizes = [len(x) - 1 if x.isascii() and x.isprintable() else len("".join(normalizer.normalize_str(x).split()).encode()) for x in chunks]
+            sizes = [len(x) - 1 if x.isascii() and x.isprintable() else self._normal_size(x) for x in chunks]
         ids = np.array(self.tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.cumsum(np.array(sizes, np.int64))
         marks = np.cumsum(self.bytes_of[ids])
@@ -53,6 +57,19 @@ class Encoder:
         raw, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
+    def _normal_size(self, chunk: str) -> int:
+        if chunk.isprintable() and is_normalized("NFC", chunk):
+            return len(chunk.lower().encode()) - 1
+        return len("".join(self.tokenizer.normalizer.normalize_str(chunk).split()).encode())
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        """The chunks of a plain text; "\0" marks one that has no blank before it."""
+        text = "\0" + text
+        if "\n" in text and not any(x in text for x in _LINES) and text[1] != "\n" and text[-1] != "\n":
+            text = text.replace("\n", " \0\n \0")
+        return _STOP.sub(r" \0\g<0>", text).split(" ")
+
     @staticmethod
     def plain(text: str) -> bool:
         return not any(b in text for b in _BLANKS) and not _ODD.search(text) and text[-1:] != " " and "\0" not in text
@@ -61,8 +78,7 @@ class Encoder:
         """The ids of each text; the texts' new chunks are encoded together."""
         known = self.known
         plain = [self.plain(x) for x in texts]
-        # "\0" marks a text's first chunk, which has no blank before it.
-        cut = [("\0" + x).split(" ") if ok else () for x, ok in zip(texts, plain, strict=True)]
+        cut = [self.cut(x) if ok else () for x, ok in zip(texts, plain, strict=True)]
         every: set[str] = set()
         for chunks in cut:
             every.update(chunks)

@@ -1,11 +1,13 @@
 """Token-id files: ids ranked by frequency, byte-aligned variable length, control bytes apart from data bytes.
 
-A shard file holds a header, the documents' ids and lengths, one control byte for each four tokens (two bits a token: its
-rank's bytes less one) and the ranks' bytes. Frequent ids have small ranks, so most take one byte. A reader looks up each
-control byte in a table of lengths and gathers the bytes with numpy; it needs no loop over tokens.
-
-File: b"SLVB", version (1 byte), 3 zero bytes, documents, tokens, data bytes (8 bytes each); then doc ids (8 bytes each),
-null flags (1 each), token counts (8 each), control bytes, data bytes. All little-endian. "ranks" holds the ids by rank.
+A shard file holds a header, the documents' ids and lengths, their control bytes (one for each four tokens, two bits a
+token: its rank's bytes less one; a document's last one is filled up with zeros) and the ranks' bytes. Frequent ids have
+small ranks, so most take one byte. A reader looks up each control byte in a table of lengths and gathers the bytes with
+numpy; it needs no loop over tokens.
+
+File: b"SLVB", version (1 byte), 3 zero bytes, documents, control bytes, data bytes (8 bytes each); then doc ids (8 bytes
+each), null flags (1 each), token counts (8 each), control bytes, data bytes. All little-endian. "ranks" holds the ids by
+rank.
 """
 
 from __future__ import annotations
@@ -22,36 +24,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import local_shared_path, materialize, new_path
+from .shared import local_shared_path, materialize, new_path, release
 from .textscan import slices, text_buffers
 from .tokens import encoder
 
-SHARD_BYTES = 8_000_000
+SHARD_TOKENS = 4_000_000
 MAGIC = b"SLVB\x01\0\0\0"
 #: For each control byte, the lengths of its four values.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
 
-def encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of unsigned 32-bit values."""
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[i] .. start[i] + n[i] - 1 for every i."""
+    return np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
+
+
+def encode(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(control bytes, data bytes, data bytes of each document) of documents of unsigned 32-bit values."""
     ranks = ranks.astype("<u4")
-    n = len(ranks)
     code = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-n // 4) * 4, np.uint8)
-    padded[:n] = code
-    quads = padded.reshape(-1, 4)
-    control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    planes = ranks.view(np.uint8).reshape(-1, 4)
-    data = planes[np.arange(4)[None, :] <= code[:, None]]
-    return control.astype(np.uint8).tobytes(), data.tobytes()
-
-
-def decode(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    """The n values of encode()."""
-    lengths = LENGTHS[control].ravel()[:n]
-    ends = np.cumsum(lengths, dtype=np.int64)
-    starts = ends - lengths
-    out = data[starts].astype(np.uint32) if n else np.zeros(0, np.uint32)
+    quads = -(-counts // 4)
+    padded = np.zeros(4 * int(quads.sum()), np.uint8)
+    padded[_ranges(4 * (np.cumsum(quads) - quads), counts)] = code
+    padded = padded.reshape(-1, 4)
+    control = padded[:, 0] | padded[:, 1] << 2 | padded[:, 2] << 4 | padded[:, 3] << 6
+    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4)[None, :] <= code[:, None]]
+    ends = np.concatenate([[0], np.cumsum(code.astype(np.int64) + 1)])
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    return control, data, np.diff(ends[bounds])
+
+
+def decode(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All values of encode(), document after document."""
+    quads = -(-counts // 4)
+    lengths = LENGTHS[control].ravel()[_ranges(4 * (np.cumsum(quads) - quads), counts)]
+    starts = np.cumsum(lengths, dtype=np.int64) - lengths
+    out = data[starts].astype(np.uint32)
     for j in (1, 2, 3):
         more = np.flatnonzero(lengths > j)
         if len(more):
@@ -59,10 +67,10 @@ def decode(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def shard_file(docs: list, nulls: list, counts: list, controls_of: np.ndarray) -> bytes:
-    """The bytes of one shard file; controls_of has all documents' ranks, one after the other."""
-    control, data = encode(controls_of)
-    head = MAGIC + struct.pack("<QQQ", len(docs), len(controls_of), len(data))
+def shard_file(docs: list, nulls: list, counts: list, controls: list[bytes], data: list[bytes]) -> bytes:
+    """The bytes of one shard file, given each document's control and data bytes."""
+    control, data = b"".join(controls), b"".join(data)
+    head = MAGIC + struct.pack("<QQQ", len(docs), len(control), len(data))
     return head + np.array(docs, "<i8").tobytes() + np.array(nulls, np.uint8).tobytes() + np.array(counts, "<i8").tobytes() + control + data
 
 
@@ -70,59 +78,65 @@ def read_shard(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     """(doc ids, null flags, token counts, ranks) of a shard file."""
     if blob[:8] != MAGIC:
         raise ValueError("not a token shard")
-    n, tokens, size = struct.unpack_from("<QQQ", blob, 8)
+    n, quads, size = struct.unpack_from("<QQQ", blob, 8)
     raw, at = np.frombuffer(blob, np.uint8), 32
-    docs, at = raw[at : at + 8 * n].view("<i8"), at + 8 * n
+    docs, at = raw[at : at + 8 * n].copy().view("<i8"), at + 8 * n
     nulls, at = raw[at : at + n], at + n
     counts, at = raw[at : at + 8 * n].copy().view("<i8"), at + 8 * n
-    quads = -(-tokens // 4)
-    control, at = raw[at : at + quads], at + quads
-    return docs, nulls, counts, decode(control, raw[at : at + size], tokens)
-
+    return docs, nulls, counts, decode(raw[at : at + quads], raw[at + quads : at + quads + size], counts)
 
-def _encoded(path: str, end_id: int, batch, lo: int, hi: int) -> list[bytes]:
-    texts = batch.column(1).slice(lo, hi - lo).to_pylist()
-    tail = end_id.to_bytes(4, "little")
-    return [x + tail for x in encoder(path).encode([x or "" for x in texts])]
 
+def _tokenized(path: str, end_id: int, wide: bool):
+    """Each document's ids, in two bytes each if the vocabulary allows."""
 
-def _frequencies(path: str, end_id: int):
     def run(batches):
-        total = np.zeros(0, np.int64)
+        enc, tail = encoder(path), end_id.to_bytes(4, "little")
         for batch in batches:
             _, offsets = text_buffers(batch.column(1))
             for lo, hi in slices(offsets):
-                seen = np.bincount(np.frombuffer(b"".join(_encoded(path, end_id, batch, lo, hi)), "<u4"))
-                if len(seen) > len(total):
-                    seen[: len(total)] += total
-                    total = seen
-                else:
-                    total[: len(seen)] += seen
+                texts = batch.column(1).slice(lo, hi - lo).to_pylist()
+                ids = [x + tail for x in enc.encode([x or "" for x in texts])]
+                counts = np.array([len(x) // 4 for x in ids], np.int64)
+                every = np.frombuffer(b"".join(ids), "<u4")
+                raw, size = (every.tobytes(), 4) if wide else (every.astype("<u2").tobytes(), 2)
+                bounds = np.concatenate([[0], np.cumsum(size * counts)]).astype(np.int64)
+                blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(counts), blobs.cast(pa.binary())], names=["doc_id", "tokens", "ids"])
+
+    return run
+
+
+def _frequencies(kind: str):
+    def run(batches):
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            data, _ = text_buffers(batch.column(0))
+            seen = np.bincount(data.view(kind))
+            size = max(len(seen), len(total))
+            total = np.pad(seen, (0, size - len(seen))) + np.pad(total, (0, size - len(total)))
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used.astype(np.int64)), pa.array(total[used])], names=["id", "n"])
 
     return run
 
 
-def _coded(path: str, end_id: int, rank_of: np.ndarray):
+def _coded(kind: str, rank_of: np.ndarray):
     def run(batches):
         for batch in batches:
-            _, offsets = text_buffers(batch.column(1))
+            data, offsets = text_buffers(batch.column(3))
             for lo, hi in slices(offsets):
-                counts, blobs = [], []
-                for ids in _encoded(path, end_id, batch, lo, hi):
-                    control, data = encode(rank_of[np.frombuffer(ids, "<u4")])
-                    counts.append(len(ids) // 4)
-                    blobs.append(control + data)
-                yield pa.record_batch(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())],
-                    names=["doc_id", "shard", "tokens", "code"],
-                )
+                counts = batch.column(2).slice(lo, hi - lo).to_numpy()
+                control, coded, sizes = encode(rank_of[data[offsets[lo] : offsets[hi]].view(kind)], counts)
+                controls, coded, blobs, c, d = control.tobytes(), coded.tobytes(), [], 0, 0
+                for n, size in zip((-(-counts // 4)).tolist(), sizes.tolist(), strict=True):
+                    blobs.append(controls[c : c + n] + coded[d : d + size])
+                    c, d = c + n, d + size
+                yield pa.record_batch([*(batch.column(i).slice(lo, hi - lo) for i in range(3)), pa.array(blobs, pa.binary())], names=["doc_id", "shard", "tokens", "code"])
 
     return run
 
 
-def write(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Write the shard files of docs into a shared folder; returns the manifest (shard, file, docs, tokens).
 
     Documents stand in ascending id order, null ids first; shards are ranges of ids, cut by quantiles of the ids alone.
@@ -130,7 +144,11 @@ def write(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counted = rows.mapInArrow(_frequencies(path, end_id), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    wide = _vocabulary(path) > 1 << 16
+    kind = "<u4" if wide else "<u2"
+    # The ids are kept for the second pass, because to tokenize again costs more than to read them.
+    tokens = materialize(rows.mapInArrow(_tokenized(path, end_id, wide), "doc_id long, tokens long, ids binary"), "ids", "zstd")
+    counted = tokens.select("ids").mapInArrow(_frequencies(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # One row for each id of the vocabulary.
     table = counted.orderBy(F.desc("n"), "id").select("id").toPandas().id.to_numpy(np.int64)
     ranks = np.zeros(int(table.max()) + 1 if len(table) else 1, np.uint32)
@@ -139,40 +157,48 @@ def write(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_
     os.makedirs(local, exist_ok=True)
     _replace(f"{local}/ranks", table.astype("<u4").tobytes())
 
-    sizes = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("b"), F.count("doc_id").alias("n")).first()
-    n = max(1, min((sizes.b or 0) // shard_bytes, 100_000))
+    sizes = tokens.agg(F.sum("tokens").alias("b"), F.count("doc_id").alias("n")).first()
+    n = max(1, min((sizes.b or 0) // shard_tokens, 100_000))
     at = [k / n for k in range(1, n)]
-    cuts = rows.agg(F.percentile_approx("doc_id", at, 20 * n)).first()[0] if at and sizes.n else []
+    cuts = tokens.agg(F.percentile_approx("doc_id", at, 20 * n)).first()[0] if at and sizes.n else []
     cuts = sorted(set(cuts or []))
     shard = F.expr(_bucket(cuts))
-    coded = rows.select("doc_id", "text", shard.cast("long").alias("shard")).mapInArrow(_coded(path, end_id, ranks), "doc_id long, shard long, tokens long, code binary")
+    coded = tokens.select("doc_id", shard.cast("long").alias("shard"), "tokens", "ids").mapInArrow(_coded(kind, ranks), "doc_id long, shard long, tokens long, code binary")
 
     def save(batches):
-        open_, docs_, nulls, counts, parts = None, [], [], [], []
+        open_, docs_, nulls, counts, controls, data = None, [], [], [], [], []
 
         def close():
-            name = f"{local}/{open_:08d}.slvb"
-            blob = shard_file(docs_, nulls, counts, np.concatenate(parts))
-            _replace(name, blob)
-            return pa.record_batch([pa.array([open_], pa.int64()), pa.array([f"{open_:08d}.slvb"]), pa.array([len(docs_)], pa.int64()), pa.array([sum(counts)], pa.int64())], names=["shard", "file", "docs", "tokens"])
+            name = f"{open_:08d}.slvb"
+            _replace(f"{local}/{name}", shard_file(docs_, nulls, counts, controls, data))
+            row = [pa.array([open_], pa.int64()), pa.array([name]), pa.array([len(docs_)], pa.int64()), pa.array([sum(counts)], pa.int64())]
+            return pa.record_batch(row, names=["shard", "file", "docs", "tokens"])
 
         for batch in batches:
             for doc, s, tokens, code in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if s != open_:
                     if open_ is not None:
                         yield close()
-                    open_, docs_, nulls, counts, parts = s, [], [], [], []
-                raw = np.frombuffer(code, np.uint8)
+                    open_, docs_, nulls, counts, controls, data = s, [], [], [], [], []
                 quads = -(-tokens // 4)
                 docs_.append(doc or 0)
                 nulls.append(doc is None)
                 counts.append(tokens)
-                parts.append(decode(raw[:quads], raw[quads:], tokens))
+                controls.append(code[:quads])
+                data.append(code[quads:])
         if open_ is not None:
             yield close()
 
     ordered = coded.repartition("shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "tokens", "code")
-    return materialize(ordered.mapInArrow(save, "shard long, file string, docs long, tokens long"), "manifest")
+    manifest = materialize(ordered.mapInArrow(save, "shard long, file string, docs long, tokens long"), "manifest")
+    release(tokens)
+    return manifest
+
+
+def _vocabulary(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab().values()) + 1
 
 
 def _bucket(cuts: list[int]) -> str:
