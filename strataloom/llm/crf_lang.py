@@ -22,8 +22,8 @@ from .textscan import _BASE, _BASE_INVERSE, _BYTE, Words, _powers, mix, slices,
 
 BITS = 16
 BLOCK = 64
-MOST_ROWS = 3000
-MOST_BYTES = 1 << 16
+MOST_ROWS = 1200
+MOST_BYTES = 1 << 14
 LEXICON = 400
 SLICE = 1 << 22
 
@@ -236,7 +236,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """The field of a bounded sample of docs; rows of null language or text, or of more than most_bytes, are not sampled."""
     rows = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes))
-    sample = rows.orderBy("h", "lang", F.xxhash64("text")).limit(most_rows).collect()
+    # The sample's last hash first, from the hashes alone: each task would else send as many whole texts.
+    cut = [r.h for r in rows.select("h").orderBy("h").limit(most_rows).collect()]
+    sample = rows.where(F.col("h") <= cut[-1]).orderBy("h", "lang", F.xxhash64("text")).limit(most_rows).collect() if cut else []
     languages = sorted({r.lang for r in sample})
     return fit(languages, [r.text for r in sample], [languages.index(r.lang) for r in sample])
 
