@@ -302,3 +302,14 @@ def _family_links(plan: Plan, edges: DataFrame, labels: DataFrame, reps: DataFra
     group = F.when(F.col("m") <= 64, F.pmod(F.xxhash64("fam"), F.lit(4096))).otherwise(F.xxhash64("fam", "block", "chunk"))
     both = both.withColumn("gid", group).join(reps, "id").join(values, "id").drop("m")
     return both.groupBy("gid").applyInPandas(_compare_family(plan), "a long, b long")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that near_duplicates() keeps, with docs' columns, whatever those are called.
+
+    The ids to drop are written first, so Spark broadcasts them only if their size is under its limit. Rows without an id
+    stay. Rows that share id and text stay or go together.
+    """
+    dropped = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias("_dropped_id")).distinct()
+    dropped = materialize(dropped, "dropped")
+    return docs.join(dropped, F.col(id_col).cast("long") == F.col("_dropped_id"), "left_anti")

@@ -24,6 +24,7 @@ from .textscan import slices, text_buffers
 MARK = "▁"
 MOST_WORDS = 300_000
 UNKNOWN_LOSS = 10.0
+BARRED = -1e8
 _PARTS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
@@ -47,7 +48,8 @@ class Lattice:
                 self.scores[piece] = (model.get_score(i), i)
                 self.bytes_of[i] = piece.replace(MARK, " ").encode()
                 self.prefixes.update(piece[:j] for j in range(1, len(piece) + 1))
-        self.unknown = min(s for s, _ in self.scores.values()) - UNKNOWN_LOSS
+        # Scores this low mark pieces that are all but barred; an unknown character is likelier than those.
+        self.unknown = min(s for s, _ in self.scores.values() if s > BARRED) - UNKNOWN_LOSS
         self.dummy = bool(model.encode("a", out_type=str)[0].startswith(MARK))
         self.words: dict[str, int] = {}
         self.clear()

@@ -31,7 +31,7 @@ class Rule:
 
 
 #: Rates are in ten-thousandths, mean_word in hundredths of a character.
-RULES = (Rule("symbol_rate", 300, 3), Rule("dup_rate", 4000, 3), Rule("repeat_rate", 1500, 3), Rule("mean_word", 1200, 6))
+RULES = (Rule("symbol_rate", 300, 3), Rule("dup_rate", 4000, 3), Rule("repeat_rate", 5000, 3), Rule("mean_word", 1200, 6))
 MIN_GROUP = 100
 
 
@@ -62,11 +62,12 @@ def _covered(hashes: Column) -> Column:
     return _let(hashes, of_hashes)
 
 
-def features(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
+def features(docs: DataFrame, text_col: str = "text", prefix: str = "", least_words: int = 10, most_repeated: int = 20) -> DataFrame:
     """docs with BASE, base_failed and the rules' rates as added columns, each name after `prefix`.
 
     Words are runs without blanks, and code points count as characters. A null, empty or blank text has no words: all
-    counts are 0 and base_failed is true.
+    counts are 0 and base_failed is true. The base rules want `least_words` words or more, and at most `most_repeated` of
+    100 words in repeated windows.
     """
     name = lambda x: f"{prefix}{x}"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -88,7 +89,7 @@ def features(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataF
     rate = lambda a, b, by=10_000: F.expr(f"coalesce({by} * `{name(a)}` div nullif(`{name(b)}`, 0), 0)")
     return out.withColumns(
         {
-            name("base_failed"): (n < 10) | (100 * repeat > 20 * n),
+            name("base_failed"): (n < least_words) | (100 * repeat > most_repeated * n),
             name("symbol_rate"): rate("n_symbols", "word_chars"),
             name("dup_rate"): rate("n_dup_lines", "n_lines"),
             name("repeat_rate"): rate("n_repeat_words", "n_words"),
@@ -155,13 +156,13 @@ def judge(feats: DataFrame, limits: DataFrame, lang_col: str = "lang", source_co
     return out.drop(*(f"{prefix}limit_{c}" for c in ["lang", "source", *(f"{r.metric}_most" for r in rules)]))
 
 
-def apply(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def apply(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_words: int = 10, most_repeated: int = 20) -> DataFrame:
     """The rows of docs that the rules keep, with docs' columns, whatever those are called.
 
     Every row is judged by itself, so repeated rows stay or go together. An empty table gives an empty result.
     """
     prefix = "_quality_"
-    feats = features(docs, text_col, prefix)
+    feats = features(docs, text_col, prefix, least_words, most_repeated)
     limits = thresholds(feats, lang_col, source_col, prefix=prefix)
     return judge(feats, limits, lang_col, source_col, prefix).where(f"{prefix}kept").select(*(F.col(f"`{c}`") for c in docs.columns))
 

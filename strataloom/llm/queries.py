@@ -87,7 +87,7 @@ QUERIES = {
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-_RATES = [("symbol_rate", 300, 3), ("dup_rate", 4000, 3), ("repeat_rate", 1500, 3), ("mean_word", 1200, 6)]
+_RATES = [("symbol_rate", 300, 3), ("dup_rate", 4000, 3), ("repeat_rate", 5000, 3), ("mean_word", 1200, 6)]
 _TOP = "CASE WHEN b < 32 THEN b ELSE ((b - 32 * ((b - 16) // 32) + 1) << ((b - 16) // 32)::INT) - 1 END"
 
 
