@@ -1,4 +1,162 @@
-"""Every registered query of the graph engine and its independent SQL."""
+"""Every registered query of the graph engine: (spark, sf_dir) -> DataFrame, over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import hubs, impact, importers, liveness, onehop, search
+from . import projections as t
+from .oracles import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def hubs_topn(spark: SparkSession, d: str) -> DataFrame:
+    return hubs.top(t.commerce(spark, d))
+
+
+@query
+def degree_default_minus_heuristic(spark: SparkSession, d: str) -> DataFrame:
+    return hubs.degrees(t.commerce(spark, d))
+
+
+@query
+def hubs_rank_of_target(spark: SparkSession, d: str) -> DataFrame:
+    return hubs.rank_of(t.commerce(spark, d), "small ring")
+
+
+@query
+def callers(spark: SparkSession, d: str) -> DataFrame:
+    return onehop.callers(t.commerce(spark, d))
+
+
+@query
+def callers_polymorphic(spark: SparkSession, d: str) -> DataFrame:
+    return onehop.callers(_by_name(t.commerce(spark, d), "small ring"), None, "brand/Brand2.py")
+
+
+def _by_name(g, name: str):
+    """The graph with edges into one name only; for names that aren't identifiers."""
+    ids = g.symbols.where(F.col("name") == name).select(F.col("id").alias("dst"))
+    return type(g)(g.files, g.symbols, g.edges.join(ids, "dst", "left_semi"))
+
+
+@query
+def callees(spark: SparkSession, d: str) -> DataFrame:
+    return onehop.callees(t.commerce(spark, d))
+
+
+@query
+def callers_compact(spark: SparkSession, d: str) -> DataFrame:
+    return onehop.compact(onehop.callers(t.commerce(spark, d)))
+
+
+@query
+def ambiguity_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return onehop.ambiguous(t.commerce(spark, d))
+
+
+@query
+def suggest_similar(spark: SparkSession, d: str) -> DataFrame:
+    wanted = spark.createDataFrame([("usr_7",), ("user_999",), ("usre_42",)], "wanted string")
+    return onehop.suggest(t.events(spark, d), wanted)
+
+
+@query
+def symbols_exact(spark: SparkSession, d: str) -> DataFrame:
+    return search.search(t.commerce(spark, d), "small ring", "exact")
+
+
+@query
+def symbols_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    return search.search(t.commerce(spark, d), "small rin", "fuzzy")
+
+
+@query
+def symbols_contains(spark: SparkSession, d: str) -> DataFrame:
+    return search.search(t.commerce(spark, d), "ring", "contains")
+
+
+@query
+def file_summary(spark: SparkSession, d: str) -> DataFrame:
+    return onehop.file_summary(t.commerce(spark, d))
+
+
+@query
+def large_functions(spark: SparkSession, d: str) -> DataFrame:
+    return search.large_functions(t.commerce(spark, d))
+
+
+@query
+def paginate(spark: SparkSession, d: str) -> DataFrame:
+    rows, _, _ = search.page(t.commerce(spark, d).symbols, ["file", "line", "name", "id"], 100, 50)
+    return rows.select("name", "file", "line")
+
+
+@query
+def dup_suffix(spark: SparkSession, d: str) -> DataFrame:
+    s = t.commerce(spark, d).symbols.withColumn("qualified_name", F.concat_ws("::", "file", "name"))
+    return search.dup_suffix(s, order=["line", "id"]).select("id", "unique_name")
+
+
+@query
+def break_points(spark: SparkSession, d: str) -> DataFrame:
+    return onehop.break_points(t.commerce(spark, d))
+
+
+@query
+def importers_depth3(spark: SparkSession, d: str) -> DataFrame:
+    return importers.importers(t.links(spark, d))
+
+
+@query
+def dead_code(spark: SparkSession, d: str) -> DataFrame:
+    return liveness.dead_code(t.commerce(spark, d))
+
+
+@query
+def dead_code_override_closure(spark: SparkSession, d: str) -> DataFrame:
+    g = t.commerce(spark, d)
+    over = g.kind("EXTENDS").withColumn("kind", F.lit("OVERRIDES"))
+    g = type(g)(g.files, g.symbols, g.edges.union(over))
+    return liveness.override_live(g, liveness.unused(g))
+
+
+def turns(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn overrides the one before it."""
+    c = t.table(spark, d, "conversations").select("conv_id", "turn")
+    key = lambda n: F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") + n).cast("string"))
+    ids = c.select(key(0).alias("dst"))
+    return c.select(key(0).alias("src"), key(-1).alias("dst")).join(ids, "dst", "left_semi")
+
+
+@query
+def override_chain_depth(spark: SparkSession, d: str) -> DataFrame:
+    return liveness.chain_depth(turns(spark, d))
+
+
+def _reached(spark: SparkSession, d: str, depth: int):
+    g = t.events(spark, d)
+    return g, impact.reach(g, g.symbols.select(F.col("name").alias("seed")), depth, None)
+
+
+@query
+def bfs_impact(spark: SparkSession, d: str) -> DataFrame:
+    return _reached(spark, d, 2)[1]
+
+
+@query
+def impacted_files(spark: SparkSession, d: str) -> DataFrame:
+    return impact.impacted_files(*_reached(spark, d, 1))
+
+
+@query
+def impact_merged(spark: SparkSession, d: str) -> DataFrame:
+    return impact.merge_seeds(impact.impacted_files(*_reached(spark, d, 1)))
