@@ -15,7 +15,7 @@ import numpy as np
 
 MOST_CHUNKS = 700_000
 #: A full stop or comma that ends a Latin word before a blank or the text's end is a piece of its own.
-_STOP = re.compile("[.,](?<=[A-Za-z0-9À-ÖØ-öø-įı-ɏ][.,])(?= |$)")
+_STOP = re.compile("[.,](?<=[A-Za-z0-9À-ÖØ-öø-įı-ɏ][.,])(?=[ \n]|$)")
 _LINES = ("\n\n", "\n ", "\t", "\r", "\x0b", "\x0c")
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _BLANKS = ("  ", " \n", " \t", " \r", " \x0b", " \x0c")
@@ -35,26 +35,39 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = any(x.endswith("</w>") for x in vocabulary)
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.line = self.whole(["\n"])[0]
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token.removesuffix("</w>"))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def chunks(self, chunks: list[str]) -> list[bytes]:
+    def blanked(self, chunks: list[str]) -> list[bytes]:
         """The ids of each chunk, which starts with a blank: all are encoded as one text, then cut where their bytes end."""
-        normalizer = self.tokenizer.normalizer
-        if normalizer is None:
+        if self.tokenizer.normalizer is None:
             sizes = [len(x.encode()) for x in chunks]
         else:
             sizes = [len(x) - 1 if x.isascii() and x.isprintable() else self._normal_size(x) for x in chunks]
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.cumsum(np.array(sizes, np.int64))
-        marks = np.cumsum(self.bytes_of[ids])
-        cuts = np.searchsorted(marks, ends) + 1
-        if len(ids) == 0 or len(ends) == 0 or marks[-1] != ends[-1] or not (marks[np.minimum(cuts, len(ids)) - 1] == ends).all():
+        return self._cut_ids("".join(chunks), sizes) or self.whole(chunks)
+
+    def bare(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk that no blank is before, encoded as lines of one text."""
+        if any("\n" in x for x in chunks):
             return self.whole(chunks)
-        raw, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        sizes = [n for x in chunks for n in (len(x.encode()), 1)]
+        found = self._cut_ids("".join(f"{x}\n" for x in chunks), sizes)
+        return found[::2] if found else self.whole(chunks)
+
+    def _cut_ids(self, text: str, sizes: list[int]) -> list[bytes] | None:
+        """The ids of a text's parts of so many bytes each; None if a token goes over a part's end."""
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends, marks = np.cumsum(np.array(sizes, np.int64)), np.cumsum(self.bytes_of[ids])
+        if len(ids) == 0 or len(ends) == 0 or marks[-1] != ends[-1]:
+            return None
+        cuts = np.searchsorted(marks, ends)
+        if not (marks[cuts] == ends).all():
+            return None
+        raw, cuts = ids.tobytes(), [0, *(4 * cuts + 4).tolist()]
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _normal_size(self, chunk: str) -> int:
@@ -62,17 +75,23 @@ class Encoder:
             return len(chunk.lower().encode()) - 1
         return len("".join(self.tokenizer.normalizer.normalize_str(chunk).split()).encode())
 
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        """The chunks of a plain text; "\0" marks one that has no blank before it."""
+    def cut(self, text: str) -> list[str]:
+        """The chunks of a plain text; "\0" marks one that has no blank before it.
+
+        Where blanks leave no trace in the ids, chunks need no mark; and where letters become small, those of texts in the
+        first 256 characters can do so here.
+        """
+        if self.ends:
+            return _STOP.sub(r" \g<0>", text.lower() if _narrow(text) else text).split()
         text = "\0" + text
         if "\n" in text and not any(x in text for x in _LINES) and text[1] != "\n" and text[-1] != "\n":
             text = text.replace("\n", " \0\n \0")
         return _STOP.sub(r" \0\g<0>", text).split(" ")
 
-    @staticmethod
-    def plain(text: str) -> bool:
-        return not any(b in text for b in _BLANKS) and not _ODD.search(text) and text[-1:] != " " and "\0" not in text
+    def plain(self, text: str) -> bool:
+        if _ODD.search(text) or "\0" in text:
+            return False
+        return self.ends or not (any(b in text for b in _BLANKS) or text[-1:] == " ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; the texts' new chunks are encoded together."""
@@ -86,14 +105,23 @@ class Encoder:
         if len(known) + len(new) > MOST_CHUNKS:
             known.clear()
             new = list(every)
-        first, rest = [x for x in new if x[0] == "\0"], [x for x in new if x[0] != "\0"]
-        known.update(zip(first, self.whole([x[1:] for x in first]), strict=True))
-        known.update(zip(rest, self.chunks([" " + x for x in rest]), strict=True))
+        first, rest = [x for x in new if x[0] == "\0" and x != "\0\n"], [x for x in new if x[0] != "\0"]
+        known.update(zip(first, self.bare([x[1:] for x in first]), strict=True))
+        known.update(zip(rest, self.blanked([" " + x for x in rest]), strict=True))
+        known.setdefault("\0\n", self.line)
         odd = iter(self.whole([x for x, ok in zip(texts, plain, strict=True) if not ok]))
         look = known.__getitem__
         return [b"".join(map(look, chunks)) if ok else next(odd) for chunks, ok in zip(cut, plain, strict=True)]
 
 
+def _narrow(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
