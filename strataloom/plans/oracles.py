@@ -129,3 +129,182 @@ SELECT path, min(depth) AS depth, min(reason) FILTER (depth = m) AS reason, coun
     SELECT seed, file AS path, depth, reason, row_number() OVER (PARTITION BY seed, file ORDER BY depth, CASE reason WHEN 'seed' THEN 0 WHEN 'caller' THEN 1 ELSE 2 END) AS r FROM reached JOIN usr USING (name)) WHERE r = 1)
 GROUP BY path""", recursive=True),
 }
+
+_FILES1 = """
+f1 AS (SELECT seed, path, depth, reason FROM (SELECT seed, file AS path, depth, reason, row_number() OVER (PARTITION BY seed, file ORDER BY depth, CASE reason WHEN 'seed' THEN 0 WHEN 'caller' THEN 1 ELSE 2 END) AS r
+  FROM reached JOIN usr USING (name)) WHERE r = 1)"""
+
+_SECTIONS = """
+br AS (SELECT t.name AS seed, count(DISTINCT f.file || '|' || e.line) AS breaks, count(DISTINCT f.file) AS files, max(e.line) AS deepest FROM edge e JOIN sym f ON f.id = e.src JOIN supp t ON t.id = e.dst WHERE e.kind = 'CALLS' GROUP BY 1),
+ts AS (SELECT t.name AS seed, count(DISTINCT e.line) AS tests FROM edge e JOIN supp t ON t.id = e.src WHERE e.kind = 'TESTED_BY' GROUP BY 1),
+gs AS (SELECT t.name AS seed, count(*) AS guessed FROM edge e JOIN supp t ON t.id = e.dst WHERE e.kind = 'CALLS_HEURISTIC' GROUP BY 1),
+sec AS (SELECT supp.name AS seed, coalesce(breaks, 0) AS breaks, coalesce(files, 0) AS files, coalesce(deepest, 0) AS deepest, coalesce(tests, 0) AS tests, coalesce(guessed, 0) AS guessed
+  FROM supp LEFT JOIN br ON br.seed = supp.name LEFT JOIN ts ON ts.seed = supp.name LEFT JOIN gs ON gs.seed = supp.name)"""
+_LEVEL = "CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS level"
+
+_CO = """
+cc AS (SELECT * FROM cm WHERE NOT is_merge),
+mine AS (SELECT sha, path AS target FROM cc QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC, sha DESC) <= 200),
+pair AS (SELECT target, o.path, count(*) AS commits FROM mine JOIN cc o ON o.sha = mine.sha AND o.path <> mine.target
+  WHERE o.sha IN (SELECT sha FROM cc GROUP BY sha HAVING count(*) <= 50) GROUP BY ALL)"""
+
+_FREQ = """fr AS (SELECT path, count(DISTINCT sha) AS commits FROM cm WHERE NOT is_merge GROUP BY path),
+md AS (SELECT list_sort(list(commits))[(count(*) // 2 + 1)::BIGINT] AS median FROM fr)"""
+
+_PARTS = """
+ps AS (SELECT 'p' || p_partkey AS id, p_name AS name, 'brand/' || replace(p_brand, '#', '') || '/' || lower(p_type) || '.py' AS file, 'brand/' || replace(p_brand, '#', '') AS brand,
+  CASE WHEN p_size > 25 THEN 'interface' ELSE 'class' END AS kind, p_partkey AS seq, p_size % 2 = 0 AS is_override FROM part),
+own AS (SELECT file, name, arg_min(id, seq) AS id, min(seq) AS seq FROM ps GROUP BY file, name),
+fl AS (SELECT DISTINCT file, brand FROM ps),
+im AS (SELECT DISTINCT ON (a.file, n.name) a.file, n.name AS local, b.file AS target_file, n.name AS original
+  FROM fl a JOIN fl b ON a.brand = b.brand AND a.file <> b.file JOIN (SELECT file, min(name) AS name FROM ps GROUP BY file) n ON n.file = b.file ORDER BY a.file, n.name, b.file),
+pend AS (SELECT a.file, a.name AS caller, CASE WHEN l_linenumber = 7 THEN 'supplier ' || l_suppkey ELSE b.name END AS callee, l_linenumber::BIGINT AS line
+  FROM lineitem JOIN ps a ON a.seq = l_partkey JOIN ps b ON b.seq = l_suppkey),
+wanted AS (SELECT DISTINCT file, callee AS name FROM pend),
+near AS (SELECT file, name, id FROM (SELECT w.file, w.name, o.id, row_number() OVER (PARTITION BY w.file, w.name
+    ORDER BY CASE WHEN w.file = o.file THEN 3 WHEN split_part(w.file, '/', 2) = split_part(o.file, '/', 2) THEN 2 ELSE 1 END DESC, o.seq) AS r FROM wanted w JOIN own o ON o.name = w.name) WHERE r = 1)"""
+
+ORACLES |= {
+    "explain_confidence": _with(EVENTS, _REACH.format(depth=2), _FILES1, body="""
+SELECT seed, path, depth, reason,
+  CASE WHEN reason = 'seed' THEN 'changed_directly' WHEN depth = 1 AND reason = 'caller' THEN 'called_by_seed_directly' WHEN depth = 1 THEN 'calls_seed_directly'
+       WHEN depth = 2 AND reason = 'callee' THEN 'sibling_in_same_class' ELSE 'shared_dependency' END AS relation,
+  CASE WHEN depth < 2 THEN 1.0 WHEN depth = 2 AND reason = 'callee' THEN 0.7 ELSE 0.4 END AS confidence FROM f1""", recursive=True),
+    "impact_text_filter": _with(EVENTS, _REACH.format(depth=1), _FILES1, body="SELECT seed, path, depth, reason FROM f1", recursive=True),
+    "impact_capped": _with(EVENTS, _REACH.format(depth=1), _FILES1, body="""
+SELECT seed, path, depth, total_available, total_available > 5 AS truncated FROM (
+  SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, path) AS r, count(*) OVER (PARTITION BY seed) AS total_available FROM f1) WHERE r <= 5""", recursive=True),
+    "affected_tests": _with(COMMERCE, body="SELECT DISTINCT s.name AS seed, c.file AS path, 'edge' AS reason FROM edge e JOIN supp s ON s.id = e.src JOIN cust c ON c.id = e.dst WHERE e.kind = 'TESTED_BY'"),
+    "impact_risk": _with(COMMERCE, _SECTIONS, body=f"""
+SELECT seed, score, {_LEVEL} FROM (SELECT seed, round(least(0.4::DOUBLE * (CASE WHEN breaks = 0 THEN 0 ELSE greatest(least(1 - tests / breaks, 1), 0) END) + 0.3::DOUBLE * least(files / 20.0::DOUBLE, 1) + 0.15::DOUBLE * least(deepest / 7, 1)
+  + 0.15::DOUBLE * ((CASE WHEN guessed % 2 > 0 THEN 0.5::DOUBLE ELSE 0 END) + (CASE WHEN guessed % 3 > 0 THEN 0.5::DOUBLE ELSE 0 END)), 1), 6) AS score FROM sec)"""),
+    "risk_composite": _with(COMMERCE, _SECTIONS, body=f"""
+SELECT seed, score, {_LEVEL} FROM (SELECT seed, round(CASE WHEN files = 0 AND breaks = 0 AND guessed = 0 THEN 0 ELSE least(0.4::DOUBLE * (CASE WHEN breaks = 0 THEN 0.5::DOUBLE ELSE greatest(least(1 - tests / breaks, 1), 0) END)
+  + 0.3::DOUBLE * least(files / 20.0::DOUBLE, 1) + 0.15::DOUBLE * least(guessed / 20.0::DOUBLE, 1) + 0.15::DOUBLE * (CASE WHEN guessed > 0 THEN (guessed // 2) / guessed ELSE 0 END), 1) END, 6) AS score FROM sec)"""),
+    "rename_sites": _with(COMMERCE, body="""
+SELECT file, line, kind, max(confidence) AS confidence, symbol FROM (
+  SELECT file, line, 'definition' AS kind, 1.0 AS confidence, name AS symbol FROM prt WHERE name = 'small ring' AND file = 'brand/Brand2.py'
+  UNION ALL SELECT f.file, e.line, 'reference', CASE WHEN t.file = 'brand/Brand2.py' THEN 0.7 ELSE 0.6 END, f.name FROM edge e JOIN sym f ON f.id = e.src JOIN prt t ON t.id = e.dst WHERE e.kind = 'REFERENCES' AND t.name = 'small ring')
+GROUP BY file, line, kind, symbol"""),
+    "rename_blockers": """
+WITH ln AS (SELECT 'p' || page_id AS path, string_split(regexp_replace(html, chr(10) || '$', ''), chr(10)) AS ls FROM pages),
+l AS (SELECT path, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line FROM ln)
+SELECT path, line_no::INT AS line_no FROM l WHERE len(list_filter(regexp_extract_all(line, '("(?:[^"\\\\]|\\\\.)*"|''(?:[^''\\\\]|\\\\.)*''|`(?:[^`\\\\]|\\\\.)*`)'), lambda x: regexp_matches(x, '(^|[^A-Za-z0-9_])the([^A-Za-z0-9_]|$)'))) > 0""",
+    "architecture_modules": _with(COMMERCE, body="SELECT parse_filename(file) AS module, file AS root, 1 AS files, count(*) AS symbol_count FROM sym GROUP BY file"),
+    "architecture_modules_capped": _with(COMMERCE, body="SELECT parse_filename(file) AS module, file AS root, 1 AS files, count(*) AS symbol_count FROM sym GROUP BY file ORDER BY symbol_count DESC, module LIMIT 7"),
+    "architecture_edges": _with(COMMERCE, body="""
+SELECT parse_filename(f.file) AS from_module, parse_filename(t.file) AS to_module, CASE e.kind WHEN 'EXTENDS' THEN 'extends' ELSE 'calls' END AS kind, count(*) AS weight
+FROM edge e JOIN sym f ON f.id = e.src JOIN sym t ON t.id = e.dst WHERE e.kind IN ('CALLS', 'REFERENCES', 'EXTENDS') AND f.file <> t.file GROUP BY ALL"""),
+    "module_longest_prefix": """
+WITH pg AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '', 'g') AS path FROM pages),
+root AS (SELECT split_part(path, '/', 1) AS root FROM pg UNION SELECT split_part(path, '/', 1) || '/en' FROM pg UNION SELECT regexp_replace(split_part(path, '/', 1), '^.*\\.(example\\.[a-z]+)$', '\\1') FROM pg)
+SELECT path, root FROM (SELECT pg.path, root.root, row_number() OVER (PARTITION BY pg.path ORDER BY length(root.root) DESC) AS r FROM pg JOIN root ON pg.path = root.root OR starts_with(pg.path, root.root || '/')) WHERE r = 1""",
+    "co_change": _with(COMMITS, _CO, body="SELECT * FROM pair"),
+    "co_change_ranked": _with(COMMITS, _CO, body="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY commits DESC, path) AS rank FROM pair) WHERE rank <= 5"),
+    "co_change_importers": _with(COMMITS, _CO, """
+pp AS (SELECT 'part/' || p_partkey || '.py' AS path, p_brand, p_type FROM part),
+imp AS (SELECT path AS src, min(path) OVER (PARTITION BY p_brand, p_type) AS dst FROM pp)""", body="SELECT pair.* FROM pair JOIN imp ON imp.src = pair.path AND imp.dst = pair.target"),
+    "commit_frequency_median": _with(COMMITS, _FREQ, body="SELECT median FROM md"),
+    "hub_penalty": _with(COMMITS, _FREQ, body="SELECT path, commits, round(CASE WHEN commits / greatest(median, 1) <= 3 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / (1 + (commits / greatest(median, 1) - 3) / 3) END, 6) AS multiplier FROM fr, md"),
+    "churn_bug": _with(COMMITS, body="""
+SELECT path, count(*) AS commits, count(*) FILTER (subject = 'fix crash in part') AS bugs, round(least(count(*) / 20, 1), 6) AS churn, round(count(*) FILTER (subject = 'fix crash in part') / count(*), 6) AS bug_share
+FROM cm WHERE NOT is_merge AND ts >= (SELECT max(ts) FROM cm WHERE NOT is_merge) - INTERVAL 90 DAY GROUP BY path"""),
+    "import_map": _with(_PARTS, body="SELECT file, local, target_file, original FROM im"),
+    "scope_proximal_resolution": _with(_PARTS, body="SELECT file, name, id FROM near"),
+    "resolve_calls_tiers": _with(_PARTS, body="""
+SELECT c.id AS src, coalesce(o.id, i.id, n.id, '__external__::' || callee) AS dst, p.line, min(CASE WHEN o.id IS NOT NULL THEN 1 WHEN i.id IS NOT NULL THEN 2 WHEN n.id IS NOT NULL THEN 3 ELSE 4 END) AS tier
+FROM (SELECT DISTINCT * FROM pend) p JOIN own c ON c.file = p.file AND c.name = p.caller LEFT JOIN own o ON o.file = p.file AND o.name = callee
+LEFT JOIN im ON im.file = p.file AND im.local = callee LEFT JOIN own i ON i.file = im.target_file AND i.name = im.original LEFT JOIN near n ON n.file = p.file AND n.name = callee GROUP BY ALL"""),
+    "implements_subset": _with(_PARTS, """
+head AS (SELECT name, arg_min(id, seq) AS id, arg_min(kind, seq) AS kind FROM ps GROUP BY name),
+ext AS (SELECT DISTINCT o.id AS src, h.id AS dst, h.kind AS k FROM ps a JOIN ps b ON b.seq = a.seq + 1 JOIN own o ON o.file = a.file AND o.name = a.name JOIN head h ON h.name = b.name WHERE o.id <> h.id)""", body="""
+SELECT 'EXTENDS' AS kind, src, dst FROM ext UNION ALL SELECT 'IMPLEMENTS', src, dst FROM ext WHERE k = 'interface'"""),
+    "contains_members": _with(_PARTS, """
+cls AS (SELECT file, arg_min(id, seq) AS cls FROM ps GROUP BY file)""", body="SELECT cls AS src, id AS dst FROM ps JOIN cls USING (file) WHERE id <> cls"),
+    "overrides": _with(_PARTS, """
+cls AS (SELECT file, any_value(brand) AS brand, arg_min(id, seq) AS cls FROM ps GROUP BY file),
+par AS (SELECT cls AS child, first_value(cls) OVER (PARTITION BY brand ORDER BY file) AS parent FROM cls),
+mem AS (SELECT cls, id, name, is_override, seq FROM ps JOIN cls USING (file) WHERE id <> cls)""", body="""
+SELECT DISTINCT m.id AS src, arg_min(q.id, q.seq) AS dst FROM mem m JOIN par ON par.child = m.cls AND par.parent <> m.cls JOIN mem q ON q.cls = par.parent AND q.name = m.name WHERE m.is_override GROUP BY m.id"""),
+    "decorates_resolution": _with(_PARTS, body="SELECT DISTINCT o.id AS src, ps.id AS dst, '' AS decorator_args FROM ps JOIN own o ON o.file = ps.file AND o.name = ps.name WHERE o.id <> ps.id"),
+    "tested_by": """
+SELECT n.conv_id || ':' || n.turn AS src, u.conv_id || ':' || u.turn AS dst FROM conversations u JOIN conversations n ON n.conv_id = u.conv_id AND n.turn = u.turn + 1 WHERE u.role = 'user' AND n.role <> 'user'""",
+    "change_set": _with(DOCS, body="""
+SELECT path, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'deleted' WHEN length(text) < 500 THEN 'modified' ELSE 'unchanged' END AS status FROM doc
+UNION ALL SELECT 'bench/' || item_id, 'added' FROM benchmark"""),
+    "health_summary": _with(COMMERCE, body="""
+SELECT (SELECT count(*) FROM (SELECT id FROM (SELECT src AS id FROM edge WHERE kind IN ('CALLS', 'CALLS_HEURISTIC') UNION ALL SELECT dst FROM edge WHERE kind IN ('CALLS', 'CALLS_HEURISTIC')) GROUP BY id HAVING count(*) >= 10)) AS loose_hubs,
+  (SELECT count(*) FROM sym WHERE NOT EXISTS (SELECT 1 FROM edge WHERE dst = id AND edge.kind IN ('CALLS', 'REFERENCES'))) AS loose_dead,
+  (SELECT count(DISTINCT src) FROM edge WHERE kind = 'TESTED_BY') AS tested"""),
+    "index_counts": _with(COMMERCE, body="""
+SELECT 'file' AS what, 'python' AS kind, count(DISTINCT file) AS n FROM sym UNION ALL SELECT 'symbol', kind, count(*) FROM sym GROUP BY kind UNION ALL SELECT 'edge', kind, count(*) FROM edge GROUP BY kind"""),
+    "ego_graph": _with(COMMERCE, body="SELECT id, name, file, kind FROM sym WHERE id = 's7' OR id IN (SELECT src FROM edge WHERE dst = 's7' UNION SELECT dst FROM edge WHERE src = 's7') ORDER BY id <> 's7', id LIMIT 5000"),
+    "file_facts": _with(DOCS, body="SELECT path, strlen(text)::BIGINT AS size, (length(text) - length(replace(text, chr(10), '')))::BIGINT AS loc, sha256(text) AS hash FROM doc"),
+    "path_predicates": """
+SELECT page_id, (page_id % 8) IN (0, 1, 2, 3) AS is_test, (page_id % 8) = 4 AS is_vendored, (page_id % 8) IN (5, 6) AS is_routed, (page_id % 8) = 7 AS is_generated FROM pages""",
+    "diff_paths": """
+SELECT l_orderkey AS key, 'part/' || l_partkey || '.py' AS path, (min(3 * (r - 1)))::INT AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS r FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem)) GROUP BY l_orderkey, l_partkey""",
+    "route_extract": """
+SELECT 'site/' || page_id || '/urls.py' AS path, 'ANY' AS method, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS route, 'show_3' AS handler FROM pages WHERE page_id % 7 = 3""",
+    "config_mentions": _with(DOCS, """
+ln AS (SELECT replace(path, '.txt', '.yaml') AS path, string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)) AS ls FROM doc WHERE contains(text, 'token')),
+l AS (SELECT path, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line FROM ln)""", body="""
+SELECT path, line_no::INT AS line_no, trim(line, ' ') AS text FROM l WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])token([^A-Za-z0-9_]|$)')"""),
+    "string_literals": """
+SELECT page_id, len(regexp_extract_all(html, 'href="([^"]*)"', 1))::BIGINT AS n, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))), ',') AS targets FROM pages""",
+    "line_snippet": _with(DOCS, body="""
+SELECT path, (doc_id % 5 + 1)::BIGINT AS line, coalesce(array_to_string(list_slice(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)), doc_id % 5 + 1, doc_id % 5 + 3), chr(10)), '') AS snippet FROM doc"""),
+    "token_estimate": _with(DOCS, body="SELECT doc_id, length(text) // 4 AS snippet_tokens, (strlen(text) + 3) // 4 AS file_tokens FROM doc"),
+    "bm25_topk": _with(DOCS, """
+wd AS (SELECT path, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]{2,}')) AS w FROM doc),
+tk AS (SELECT path, lower(w) AS term FROM wd UNION ALL SELECT path, lower(x) FROM (SELECT path, unnest(string_split(w, '_')) AS x FROM wd WHERE contains(w, '_')) WHERE length(x) >= 2),
+dl AS (SELECT doc.path, count(term) AS dl FROM doc LEFT JOIN tk ON tk.path = doc.path GROUP BY doc.path),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+tf AS (SELECT path, term, count(*) AS f FROM tk WHERE term IN ('token', 'password', 'the_secret', 'the', 'secret') GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)""", body="""
+SELECT path, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * f * 2.5 / (f + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
+FROM tf JOIN df USING (term) JOIN dl USING (path), st GROUP BY path ORDER BY score DESC, path LIMIT 50"""),
+    "prf_scores": _with(DOCS, """
+j AS (SELECT source AS task, count(*) FILTER (quality = 1 AND length(text) < 3000) AS tp, count(*) FILTER (quality <> 1 AND length(text) < 3000) AS fp, count(*) FILTER (quality = 1 AND length(text) >= 3000) AS fn
+  FROM doc JOIN labels USING (doc_id) GROUP BY source)""", body="""
+SELECT task, tp, fp, fn, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 1 ELSE tp / (tp + fn) END, 6) AS recall,
+  round(CASE WHEN tp + fp + fn = 0 THEN 1 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f FROM j"""),
+    "mrr": _with(DOCS, """
+r AS (SELECT source AS task, quality, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS k FROM doc JOIN labels USING (doc_id))""", body="""
+SELECT task, round(coalesce(1 / min(k) FILTER (quality = 0), 0), 6) AS rr FROM r GROUP BY task"""),
+    "token_cost_prefix": _with(DOCS, """
+r AS (SELECT source AS task, quality, sum(length(text) // 4) OVER w AS spent, sum((quality = 0)::INT) OVER w AS hits, sum((quality = 0)::INT) OVER (PARTITION BY source) AS want
+  FROM doc JOIN labels USING (doc_id) WINDOW w AS (PARTITION BY source ORDER BY length(text) DESC, doc_id))""", body="""
+SELECT task, min(spent) FILTER (2 * hits >= want)::BIGINT AS tokens_50, min(spent) FILTER (hits >= want)::BIGINT AS tokens_100 FROM r WHERE want > 0 GROUP BY task"""),
+    "spearman_rank": """
+WITH v AS (SELECT p_size AS x, round(p_retailprice % 97, 2) AS y FROM part),
+r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM v)
+SELECT count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r""",
+    "threshold_sweep": _with(DOCS, """
+s AS (SELECT least(length(text) / 4000, 1) AS score, quality = 0 AS pos FROM doc JOIN labels USING (doc_id)),
+c AS (SELECT th::DOUBLE AS threshold, count(*) FILTER (score >= th AND pos) AS tp, count(*) FILTER (score >= th AND NOT pos) AS fp, count(*) FILTER (score < th AND pos) AS fn FROM s, (SELECT unnest([0.1, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS th) GROUP BY th)""", body="""
+SELECT threshold, tp, fp, fn, round(coalesce(2 * tp / nullif(2 * tp + fn + fp, 0), 0), 6) AS f1, round(coalesce(5 * tp / nullif(5 * tp + 4 * fn + fp, 0), 0), 6) AS f2 FROM c"""),
+    "impact_composite": _with(COMMERCE, _SECTIONS, body="""
+SELECT seed, round(0.4::DOUBLE * tests / 7 + 0.3::DOUBLE * least(files / 25, 1) + 0.15::DOUBLE * (CASE WHEN breaks = 0 THEN 0 ELSE least(deepest / 7, 1) END) + 0.15::DOUBLE * files / greatest(breaks, 1), 6) AS score FROM sec"""),
+    "score_summary": """
+SELECT event_type, count(*) AS n, round(avg(value / 100), 6) AS mean, round(quantile_disc(value / 100, 0.95), 6) AS p95, round(avg((value / 100 >= 0.5)::INT), 6) AS pass_rate FROM events GROUP BY event_type""",
+    "debounce_sessions": """
+WITH g AS (SELECT event_type, ts, coalesce(ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) >= INTERVAL 15 MINUTE, true)::INT AS opens FROM events),
+s AS (SELECT event_type, ts, sum(opens) OVER (PARTITION BY event_type ORDER BY ts) AS k FROM g)
+SELECT event_type, max(ts) + INTERVAL 15 MINUTE AS fired_at, min(ts) AS started_at, least(count(*), 10) AS n, count(*) > 10 AS dirty FROM s GROUP BY event_type, k""",
+    "lang_stats_threshold": _with(DOCS, body="""
+SELECT lang, count(*) AS files, count(*) FILTER (quality <> 1) AS failed, round(count(*) FILTER (quality <> 1) / count(*), 6) AS share, count(*) FILTER (quality <> 1) / count(*) > 0.15 AS alert
+FROM doc JOIN labels USING (doc_id) GROUP BY lang"""),
+}
+
+_WALKS = ", ".join(f"w{k} AS (SELECT s, t, sum(p)::DOUBLE AS p FROM (SELECT w.s, n.b AS t, w.p FROM w{k - 1} w JOIN nb n ON n.a = w.t) WHERE (s, t) NOT IN (SELECT s, t FROM d{k - 1}) GROUP BY s, t), d{k} AS (SELECT s, t, d, p FROM d{k - 1} UNION ALL SELECT s, t, {k}, p FROM w{k})" for k in range(1, 9))
+_BETWEEN = f"""
+nb AS (SELECT a, b FROM call UNION SELECT b, a FROM call),
+nodes AS (SELECT DISTINCT a AS v FROM nb), w0 AS (SELECT v AS s, v AS t, 1.0::DOUBLE AS p FROM nodes), d0 AS (SELECT s, t, 0 AS d, p FROM w0), {_WALKS},
+bc AS (SELECT x.t AS v, sum(x.p * y.p / z.p) AS b FROM d8 x JOIN d8 y ON y.s = x.t JOIN d8 z ON z.s = x.s AND z.t = y.t AND z.d = x.d + y.d WHERE x.s <> x.t AND y.s <> y.t GROUP BY x.t),
+res AS (SELECT usr.name, file, round(coalesce(b, 0) / 2 / ((SELECT count(*) - 1 FROM nodes) * (SELECT count(*) - 2 FROM nodes)), 6)::DOUBLE AS betweenness FROM nodes JOIN usr ON usr.name = nodes.v LEFT JOIN bc ON bc.v = nodes.v)"""
+ORACLES |= {
+    "betweenness": _with(EVENTS, _BETWEEN, body="SELECT * FROM res"),
+    "bridges_topn": _with(EVENTS, _BETWEEN, body="SELECT * FROM res WHERE betweenness > 0 ORDER BY betweenness DESC, file, name LIMIT 10"),
+}
