@@ -25,7 +25,7 @@ BLOCK = 64
 MOST_ROWS = 1200
 MOST_BYTES = 1 << 14
 LEXICON = 400
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 
 @dataclass
