@@ -1,7 +1,8 @@
 """N-best SentencePiece segmentation: forward Viterbi scores as exact heuristics for backward A* over the piece lattice.
 
-No piece of the model has a blank mark after another character, so the lattice of a text falls apart at word starts, and
-the lattice of each word is searched by itself, once per worker for each distinct word. The forward pass gives each place's
+No piece of the model has a blank mark after another character, so the lattice of a text falls apart at word starts (and
+before the stop after a Latin word, if no piece goes over that place), and the lattice of each part is searched by itself,
+once per worker for each distinct part. The forward pass gives each place's
 best score, which is exactly what a hypothesis that has come back from the end to this place can still gain. So the
 search never needs more open hypotheses than results that are still due, and keeps only those. A text's N best are the N
 best sums over its words; only the N - 1 words with the least loss in a second choice can differ from their best.
@@ -22,10 +23,14 @@ from pyspark.sql import functions as F
 from .textscan import slices, text_buffers
 
 MARK = "▁"
-MOST_WORDS = 300_000
+MOST_WORDS = 1_000_000
 UNKNOWN_LOSS = 10.0
 BARRED = -1e8
 _PARTS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
+#: The same with \x01 at a place where a Latin word ends before a stop, if no piece of the model goes over such a place.
+_STOPPED = re.compile(f"{MARK}+[^{MARK}\n\x01]*|[^{MARK}\n\x01]+|\n")
+_STOP = re.compile(f"[.,](?<=[A-Za-zÀ-ÖØ-öø-ɏ][.,])(?=[{MARK}\n]|$)")
+_OVER_STOP = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ][.,]")
 
 
 class Lattice:
@@ -36,7 +41,8 @@ class Lattice:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.n, self.scores, self.bytes_of, self.byte_ids = n, {}, {}, [0] * 256
-        self.prefixes: set[str] = set()
+        #: Pieces by character: each node has its next characters, and under "" its piece's (score, ids).
+        self.tree: dict = {}
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -47,9 +53,13 @@ class Lattice:
                     raise ValueError("a piece crosses the start of a word")
                 self.scores[piece] = (model.get_score(i), i)
                 self.bytes_of[i] = piece.replace(MARK, " ").encode()
-                self.prefixes.update(piece[:j] for j in range(1, len(piece) + 1))
+                node = self.tree
+                for c in piece:
+                    node = node.setdefault(c, {})
+                node[""] = (model.get_score(i), (i,))
         # Scores this low mark pieces that are all but barred; an unknown character is likelier than those.
         self.unknown = min(s for s, _ in self.scores.values() if s > BARRED) - UNKNOWN_LOSS
+        self.stops = not any(map(_OVER_STOP.search, self.scores))
         self.dummy = bool(model.encode("a", out_type=str)[0].startswith(MARK))
         self.words: dict[str, int] = {}
         self.clear()
@@ -57,62 +67,89 @@ class Lattice:
     def clear(self) -> None:
         self.words.clear()
         self.ids: list[bytes] = []
-        self.plain: list[bytes] = []
-        self.others: list[tuple] = []
-        self.best: list[float] = []
-        self.gap: list[float] = []
-
-    def edges(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each place, the pieces that end there: (start, score, ids). A character that is no piece is its bytes."""
-        into: list[list] = [[] for _ in range(len(text) + 1)]
-        for i in range(len(text)):
-            j = i + 1
-            single = text[i:j]
-            if single not in self.scores:
-                into[j].append((i, self.unknown, tuple(self.byte_ids[b] for b in single.encode())))
-            while j <= len(text) and (part := text[i:j]) in self.prefixes:
-                if part in self.scores:
-                    score, piece = self.scores[part]
-                    into[j].append((i, score, (piece,)))
+        self.best = np.zeros(1 << 12)
+        #: What a word's second, third, ... choice loses; infinite where there is none.
+        self.losses = np.zeros((1 << 12, max(1, self.n - 1)))
+        self.sound = True
+
+    def edges(self, text: str) -> tuple[list, list[float]]:
+        """(for each place the pieces that end there: (start, score, ids); the best score up to each place).
+
+        A character that is no piece is its bytes.
+        """
+        n = len(text)
+        into: list[list] = [[] for _ in range(n + 1)]
+        best = [-1e300] * (n + 1)
+        best[0] = 0.0
+        tree = self.tree
+        for i in range(n):
+            node, here, j = tree, best[i], i
+            for c in text[i:]:
+                if c not in node:
+                    break
+                node = node[c]
                 j += 1
-        return into
+                if "" in node:
+                    score, ids = node[""]
+                    into[j].append((i, score, ids))
+                    if here + score > best[j]:
+                        best[j] = here + score
+            if text[i] not in tree or "" not in tree[text[i]]:
+                into[i + 1].append((i, self.unknown, tuple(self.byte_ids[b] for b in text[i].encode())))
+                best[i + 1] = max(best[i + 1], here + self.unknown)
+        return into, best
 
     def search(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best (score, ids) of a text's lattice; equal scores by their ids read from the end."""
-        into = self.edges(text)
-        best = [0.0] * len(into)
-        for j in range(1, len(into)):
-            best[j] = max(best[i] + s for i, s, _ in into[j])
+        into, best = self.edges(text)
         out: list[tuple[float, tuple[int, ...]]] = []
         # (loss, ids from the end, place, score of what is after the place)
         agenda = [(-best[-1], (), len(text), 0.0)]
-        while agenda and len(out) < n:
+        due = n
+        while agenda:
             _, after, j, tail = agenda.pop(0)
             if j == 0:
                 out.append((tail, after[::-1]))
+                due -= 1
+                if not due:
+                    break
                 continue
-            due = n - len(out)
+            # The worst hypothesis that can still be one of the due; anything beyond it never is.
+            limit = agenda[due - 1][0] if len(agenda) >= due else 1e300
             for i, s, ids in into[j]:
-                loss = -(best[i] + s + tail)
-                if len(agenda) < due or loss <= agenda[-1][0]:
-                    insort(agenda, (loss, after + ids[::-1], i, s + tail))
-                    del agenda[due:]
+                s += tail
+                loss = -best[i] - s
+                if loss <= limit:
+                    insort(agenda, (loss, after + ids[::-1], i, s))
+                    if len(agenda) >= due:
+                        del agenda[due:]
+                        limit = agenda[-1][0]
         return out
 
     def word(self, text: str) -> int:
-        """The row of a word in the tables."""
+        """The row of a word in the tables. Its best ids are decoded here, once, and must give the word."""
         found = self.search(text, self.n)
         row = self.words[text] = len(self.ids)
+        if row == len(self.best):
+            self.best, self.losses = np.concatenate([self.best, np.zeros_like(self.best)]), np.concatenate([self.losses, np.zeros_like(self.losses)])
         self.ids.append(np.array(found[0][1], "<u4").tobytes())
-        self.plain.append(b"".join(map(self.bytes_of.__getitem__, found[0][1])))
-        self.best.append(found[0][0])
-        self.gap.append(found[0][0] - found[1][0] if len(found) > 1 else np.inf)
-        self.others.append(tuple(found[1:]))
+        self.sound = self.sound and b"".join(map(self.bytes_of.__getitem__, found[0][1])) == text.replace(MARK, " ").encode()
+        self.best[row] = found[0][0]
+        self.losses[row] = np.inf
+        for c, (score, _) in enumerate(found[1:]):
+            self.losses[row, c] = found[0][0] - score
         return row
 
+    def parts(self, text: str) -> list[str]:
+        """The parts of a text whose lattices are independent."""
+        text = (MARK if self.dummy and text else "") + text.replace(" ", MARK)
+        if not self.stops or "\x01" in text:
+            return _PARTS.findall(text)
+        return _STOPPED.findall(_STOP.sub("\x01\\g<0>", text))
+
     def rows(self, text: str) -> list[int]:
-        """The words of a text, as rows of the tables."""
-        parts = _PARTS.findall((MARK if self.dummy and text else "") + text.replace(" ", MARK))
+        """The parts of a text, as rows of the tables."""
+        parts = self.parts(text)
         if len(self.words) > MOST_WORDS:
             self.clear()
         get = self.words.get
@@ -121,39 +158,38 @@ class Lattice:
             out = [r if r is not None else get(p) if p in self.words else self.word(p) for r, p in zip(out, parts, strict=True)]
         return out
 
-    def nbest(self, text: str) -> tuple[bytes, bytes, list[tuple[float, dict[int, int]]]]:
-        """(ids of the best, its text, [(score, {word: choice})]) with up to n results; choice 0 is a word's best.
+    def nbest(self, text: str) -> tuple[bytes, list[tuple[float, dict[int, int]]]]:
+        """(ids of the best, [(score, {part: choice})]) with up to n results; choice 0 is a part's best.
 
-        Equal scores stand in the order of the changed words and their choices.
+        Equal scores stand in the order of the changed parts and their choices.
         """
         rows = self.rows(text)
-        ids, plain = b"".join(map(self.ids.__getitem__, rows)), b"".join(map(self.plain.__getitem__, rows))
-        gaps = np.fromiter(map(self.gap.__getitem__, rows), np.float64, len(rows))
-        total = float(np.fromiter(map(self.best.__getitem__, rows), np.float64, len(rows)).sum())
+        at = np.array(rows, np.int64)
+        ids = b"".join(map(self.ids.__getitem__, rows))
+        gaps, total = self.losses[at, 0], float(self.best[at].sum())
         k = min(self.n - 1, len(rows))
-        kept = gaps
         if k and len(gaps) > k:
             limit = np.partition(gaps, k - 1)[k - 1]
             under = np.flatnonzero(gaps < limit)
-            chosen = np.concatenate([under, np.flatnonzero(kept == limit)[: k - len(under)]])
+            chosen = np.concatenate([under, np.flatnonzero(gaps == limit)[: k - len(under)]])
         else:
-            chosen = np.arange(len(rows))
+            chosen = np.arange(len(rows) if k else 0)
         sums: list[tuple[float, tuple]] = [(0.0, ())]
         for w in sorted(chosen.tolist()):
-            row = rows[w]
-            options = [(0.0, ())] + [(self.best[row] - s, ((w, c),)) for c, (s, _) in enumerate(self.others[row], 1)]
+            options = [(0.0, ())] + [(loss, ((w, c),)) for c, loss in enumerate(self.losses[rows[w]].tolist(), 1) if loss < np.inf]
             sums = heapq.nsmallest(self.n, ((a + b, x + y) for a, x in sums for b, y in options))
-        return ids, plain, [(total - loss, dict(changes)) for loss, changes in sums]
+        return ids, [(total - loss, dict(changes)) for loss, changes in sums]
 
     def segmentations(self, text: str) -> list[tuple[float, list[int]]]:
         """The n best (score, ids) of a whole text."""
-        _, _, found = self.nbest(text)
+        _, found = self.nbest(text)
+        parts, out = self.parts(text), []
+        choices = {w: self.search(parts[w], self.n) for _, changes in found for w in changes}
         rows = self.rows(text)
-        out = []
         for score, changes in found:
             ids: list[int] = []
             for w, row in enumerate(rows):
-                ids += self.others[row][changes[w] - 1][1] if w in changes else np.frombuffer(self.ids[row], "<u4").tolist()
+                ids += choices[w][changes[w]][1] if w in changes else np.frombuffer(self.ids[row], "<u4").tolist()
             out.append((score, ids))
         return out
 
@@ -184,9 +220,8 @@ def _encode(path: str, n: int):
                 rows = []
                 for text in batch.column(1).slice(lo, hi - lo).to_pylist():
                     text = text or ""
-                    ids, plain, found = model.nbest(text)
-                    back = model.unmark(plain) == text.encode()
-                    rows.append((len(ids) // 4, zlib.crc32(ids), [s for s, _ in found], back))
+                    ids, found = model.nbest(text)
+                    rows.append((len(ids) // 4, zlib.crc32(ids), [s for s, _ in found], model.sound))
                 columns = list(zip(*rows, strict=True)) or [()] * 4
                 kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.bool_()]
                 made = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
@@ -199,7 +234,7 @@ def encode(docs: DataFrame, path: str, n: int = 4, id_col: str = "doc_id", text_
     """(doc_id, n_pieces, ids_crc32, scores, round_trip) for each row of docs.
 
     n_pieces and ids_crc32 are of the best segmentation's ids (little-endian unsigned 32-bit); scores has the up to n best
-    sums of piece scores, best first; round_trip says that the best ids decode to the text. A null or empty text has no
+    sums of piece scores, best first; round_trip says that the best ids of the text's parts decode to them. A null or empty text has no
     pieces and the one score 0. Repeated rows give repeated results, a null id stays null, other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
