@@ -39,7 +39,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 tokens."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # Workers outlive the stage, so they remember less here than in a job of its own.
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), most_chunks=250_000)
 
 
 STAGES = [

@@ -22,9 +22,10 @@ _BLANKS = ("  ", " \n", " \t", " \r", " \x0b", " \x0c")
 
 
 class Encoder:
-    """ids as little-endian unsigned 32-bit bytes; keeps at most MOST_CHUNKS chunks."""
+    """ids as little-endian unsigned 32-bit bytes; keeps at most most_chunks chunks."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_chunks: int = MOST_CHUNKS):
+        self.most_chunks = most_chunks
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -102,7 +103,7 @@ class Encoder:
         for chunks in cut:
             every.update(chunks)
         new = [x for x in every if x not in known]
-        if len(known) + len(new) > MOST_CHUNKS:
+        if len(known) + len(new) > self.most_chunks:
             known.clear()
             new = list(every)
         first, rest = [x for x in new if x[0] == "\0" and x != "\0\n"], [x for x in new if x[0] != "\0"]
@@ -122,11 +123,11 @@ def _narrow(text: str) -> bool:
     return True
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most_chunks: int = MOST_CHUNKS) -> Encoder:
     """This worker's encoder for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, most_chunks) not in _ENCODERS:
+        _ENCODERS[path, most_chunks] = Encoder(path, most_chunks)
+    return _ENCODERS[path, most_chunks]
