@@ -163,6 +163,8 @@ def _labelled(crf: Crf, words: Words) -> tuple[np.ndarray, np.ndarray]:
 def fit(languages: list[str], texts: list[str], labels: list[int], epochs: int = 4, rate: float = 0.1, seed: int = 5) -> Crf:
     """The field of labelled texts, by minibatch Adam on the conditional log-likelihood."""
     rng, k = np.random.default_rng(seed), len(languages)
+    if not k:
+        return Crf([], np.zeros((1 << BITS, 0), np.float32), np.zeros((0, 0)), [])
     column = pa.array(texts, pa.large_string())
     data, offsets = text_buffers(column)
     words = Words(data, offsets)
