@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import _BASE, _BASE_INVERSE, _BYTE, Words, _powers, mix, slices, stream, text_buffers
+from .shared import small_batches
+from .textscan import _BASE, _BASE_INVERSE, _BYTE, Words, _powers, mix, slices, stream, text_buffers, tidied
 
 BITS = 16
 BLOCK = 64
@@ -271,7 +272,7 @@ def _predict(crf: Crf):
                 columns = [pa.array(names[best].tolist(), pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(count.astype(np.int64)), pa.array(switches.astype(np.int64))]
                 yield pa.record_batch([batch.column(0).slice(lo, d), *columns], names=["doc_id", "lang_pred", "score", "lettered_words", "switches"])
 
-    return run
+    return tidied(run)
 
 
 def predict(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,6 +282,7 @@ def predict(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "
     neighbouring such words of different labels. A null text, or one without a letter, is `und` with score 0, as is any
     text if no labelled row was there to learn from. Repeated rows give repeated results; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_predict(crf), f"doc_id {kind}, lang_pred string, score double, lettered_words long, switches long")
@@ -302,11 +304,12 @@ def _runs(crf: Crf):
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("lang", pa.string())]))
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(rows, kind)], names=["doc_id", "runs"])
 
-    return run
+    return tidied(run)
 
 
 def label_words(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, runs): the document's stretches of words of one language, as (first word, words, lang)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_runs(crf), f"doc_id {kind}, runs array<struct<start: bigint, words: bigint, lang: string>>")
@@ -314,6 +317,7 @@ def label_words(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str
 
 def keep(docs: DataFrame, crf: Crf, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of docs in a known language with a score of `least` or more, with docs' columns, whatever those are called."""
+    small_batches(docs.sparkSession)
     inner = _predict(crf)
     at = docs.columns.index(text_col)
 
@@ -323,7 +327,7 @@ def keep(docs: DataFrame, crf: Crf, text_col: str = "text", least: float = 0.5)
             parts = [pa.array(np.array([x != "und" for x in b.column(1).to_pylist()], bool) & (b.column(2).to_numpy() >= least)) for b in inner([texts])]
             yield batch.filter(pa.concat_arrays(parts) if parts else pa.array([], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import local_shared_path, materialize, new_path
-from .textscan import Words, slices, stream, text_buffers
+from .shared import local_shared_path, materialize, new_path, small_batches
+from .textscan import Words, slices, stream, text_buffers, tidied
 
 END = stream(11, 1)[0]
 WORDS_PER_SHARD = 4_000_000
@@ -188,7 +188,7 @@ def _count_words(cuts: np.ndarray):
                 for shard, block in _blocks(*_counted(tokens), cuts):
                     yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([block], pa.binary())], names=["shard", "block"])
 
-    return run
+    return tidied(run)
 
 
 def _keys_of(model: Model, tokens: np.ndarray, first: np.ndarray):
@@ -213,7 +213,7 @@ def _count_bigrams(model: Model):
                 for shard, block in _blocks(*_counted((contexts << np.uint64(32)) | ids), cuts):
                     yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([block], pa.binary())], names=["shard", "block"])
 
-    return run
+    return tidied(run)
 
 
 def _of_counts(x: np.ndarray) -> list[int]:
@@ -233,6 +233,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 def train(texts: DataFrame, column: str = "text") -> Model:
     """The model of all rows of texts (null: empty). An empty table gives a model that knows no word."""
     spark = texts.sparkSession
+    small_batches(spark)
     texts = texts.select(F.col(column).cast("string").alias("text"))
     place = new_path(spark, "kneser-ney")
     folder = local_shared_path(spark, place)
@@ -356,7 +357,7 @@ def _score(model: Model):
                 columns += [pa.array(np.add.reduceat(base, heads)), pa.array(np.add.reduceat(score, heads))]
                 yield pa.record_batch(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return run
+    return tidied(run)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held_out=None) -> DataFrame:
@@ -366,6 +367,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     log10 probability of the text (perplexity is 10 ** (-score / n_tokens)), base_score that of add-one unigrams.
     Repeated rows give repeated results, a null id stays null, other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     held = held_out if held_out is not None else F.lit(False)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
     shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize
-from .textscan import Words, mix, slices, stream, text_buffers
+from .shared import materialize, small_batches
+from .textscan import Words, mix, slices, stream, text_buffers, tidied
 
 BLOCK = 512
 CHUNK = 2048
@@ -122,7 +122,7 @@ def _features(plan: Plan):
                     names=["doc_id", "n", "set_key", "sig"],
                 )
 
-    return run
+    return tidied(run)
 
 
 def _sets(plan: Plan):
@@ -133,7 +133,7 @@ def _sets(plan: Plan):
                 values = [x.tobytes() for x in shingle_sets(Words(data, offsets[lo : hi + 1]), plan.shingle)]
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(values, pa.binary())], names=["doc_id", "values"])
 
-    return run
+    return tidied(run)
 
 
 def _matrix(column: pa.Array, k: int) -> np.ndarray:
@@ -150,7 +150,7 @@ def _prune(plan: Plan):
             alive = survivors(left, right, table)
             yield pa.record_batch([batch.column(i).take(pa.array(alive)) for i in (0, 1)], names=["a", "b"])
 
-    return run
+    return tidied(run)
 
 
 def survivors(left: np.ndarray, right: np.ndarray, table: list[tuple[int, int]]) -> np.ndarray:
@@ -184,7 +184,7 @@ def _confirm(plan: Plan):
                     keep.append(i)
             yield pa.record_batch([batch.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], names=["a", "b"])
 
-    return run
+    return tidied(run)
 
 
 def _compare_family(plan: Plan):
@@ -241,6 +241,7 @@ def near_duplicates(
     separately, to be pruned by the posterior bound.
     """
     plan = Plan.of(shingle, threshold, miss, rows)
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     feats = materialize(texts.mapInArrow(_features(plan), "doc_id long, n long, set_key binary, sig binary"), "features")
     classes = feats.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))

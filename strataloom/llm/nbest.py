@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import slices, text_buffers
+from .shared import small_batches
+from .textscan import slices, text_buffers, tidied
 
 MARK = "▁"
 MOST_WORDS = 1_000_000
@@ -227,7 +228,7 @@ def _encode(path: str, n: int):
                 made = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), *made], names=["doc_id", "n_pieces", "ids_crc32", "scores", "round_trip"])
 
-    return run
+    return tidied(run)
 
 
 def encode(docs: DataFrame, path: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,6 +238,7 @@ def encode(docs: DataFrame, path: str, n: int = 4, id_col: str = "doc_id", text_
     sums of piece scores, best first; round_trip says that the best ids of the text's parts decode to them. A null or empty text has no
     pieces and the one score 0. Repeated rows give repeated results, a null id stays null, other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_encode(path, n), "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, round_trip boolean")
 
@@ -256,11 +258,12 @@ def _segment(path: str, n: int):
                         ids.append(pieces)
                 yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(ranks, pa.int32()), pa.array(scores, pa.float64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "rank", "score", "ids"])
 
-    return run
+    return tidied(run)
 
 
 def segment(docs: DataFrame, path: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, rank, score, ids): a row for each of the up to n best segmentations of each row of docs."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_segment(path, n), "doc_id long, rank int, score double, ids array<int>")
 
@@ -272,7 +275,7 @@ def _decode(path: str):
             texts = [None if ids is None else model.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return run
+    return tidied(run)
 
 
 def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

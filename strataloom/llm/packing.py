@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialize
-from .textscan import slices, text_buffers
+from .shared import materialize, small_batches
+from .textscan import slices, text_buffers, tidied
 from .tokens import MOST_CHUNKS, encoder
 
 PIECES_PER_BUCKET = 250_000
@@ -43,7 +43,7 @@ def _pieces(path: str, capacity: int, end_id: int, most_chunks: int):
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return run
+    return tidied(run)
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
@@ -106,6 +106,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = materialize(rows.mapInArrow(_pieces(path, capacity, end_id, most_chunks), PIECE), "pieces")
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}

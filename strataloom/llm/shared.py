@@ -50,6 +50,17 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return out
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Python workers get BATCH_ROWS rows at a time, unless the session has its own number: texts can be long, and
+    batches of 10,000 of them take memory on both sides that no Spark setting bounds."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of materialize() that nothing will read again."""
     for df in tables:

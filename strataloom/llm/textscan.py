@@ -5,6 +5,7 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D, which for UTF-8 e
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,23 +53,36 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string or binary column; nulls are empty."""
+    """(bytes, offsets) of a string or binary column, without a copy of the bytes; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
-        column = column.fill_null("")
-    else:
-        column = column.cast(pa.large_binary()).fill_null(b"")
-    _, offsets, data = column.buffers()
+    if column.null_count:
+        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
     n = len(column)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1]
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def tidied(run):
+    """run with its worker's spare memory given back at the end: workers outlive their tasks."""
+
+    def inner(batches):
+        yield from run(batches)
+        _POWERS.clear()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
+
+    return inner
+
+
 def slices(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Document ranges [lo, hi) of at most `most` bytes each; a longer document stands alone."""
     lo, n = 0, len(offsets) - 1

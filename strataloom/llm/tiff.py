@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import slices, text_buffers
+from .shared import small_batches
+from .textscan import slices, text_buffers, tidied
 
 # Fixed values of the file format: compression codes, and byte sizes and struct codes of field types.
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
@@ -330,11 +331,12 @@ def _store():
                     media.append(write([text_page(raw[a:b])], tile=(64, 1024) if b - a > CHUNK_BYTES else None))
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return run
+    return tidied(run)
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): each row's text in UTF-8 as a one-page file; a null text is empty, one row of zeros."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_store(), "doc_id long, n_bytes long, media binary")
 
@@ -374,7 +376,7 @@ def _pages(media: int, keep: list[int]):
                 kept = [part.column(c).take(pa.array(owner, pa.int64())) for c in keep]
                 yield pa.record_batch(kept + made, names=[str(i) for i in range(len(keep) + len(made))])
 
-    return run
+    return tidied(run)
 
 
 def pages(media: DataFrame, media_col: str = "media", keep: list[str] | None = None) -> DataFrame:

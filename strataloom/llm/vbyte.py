@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import local_shared_path, materialize, new_path, release
-from .textscan import slices, text_buffers
+from .shared import local_shared_path, materialize, new_path, release, small_batches
+from .textscan import slices, text_buffers, tidied
 from .tokens import encoder
 
 SHARD_TOKENS = 4_000_000
@@ -103,7 +103,7 @@ def _tokenized(path: str, end_id: int, wide: bool):
                 blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(counts), blobs.cast(pa.binary())], names=["doc_id", "tokens", "ids"])
 
-    return run
+    return tidied(run)
 
 
 def _frequencies(kind: str):
@@ -117,7 +117,7 @@ def _frequencies(kind: str):
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used.astype(np.int64)), pa.array(total[used])], names=["id", "n"])
 
-    return run
+    return tidied(run)
 
 
 def _coded(kind: str, rank_of: np.ndarray):
@@ -133,7 +133,7 @@ def _coded(kind: str, rank_of: np.ndarray):
                     c, d = c + n, d + size
                 yield pa.record_batch([*(batch.column(i).slice(lo, hi - lo) for i in range(3)), pa.array(blobs, pa.binary())], names=["doc_id", "shard", "tokens", "code"])
 
-    return run
+    return tidied(run)
 
 
 def write(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -143,6 +143,7 @@ def write(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_
     A null or empty text is its end id alone; equal ids stand in the order of their lengths and codes.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     wide = _vocabulary(path) > 1 << 16
     kind = "<u4" if wide else "<u2"
@@ -234,7 +235,7 @@ def _read(local: str):
                 out.loc[nulls.astype(bool), "doc_id"] = pd.NA
                 yield out
 
-    return run
+    return tidied(run)
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
