@@ -12,16 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PARAM = T.StructType([T.StructField("name", T.StringType()), T.StructField("type", T.StringType()), T.StructField("default_value", T.StringType())])
+_KINDS = {"string": T.StringType(), "long": T.LongType(), "boolean": T.BooleanType(), "double": T.DoubleType(), "binary": T.BinaryType(), "timestamp": T.TimestampType()}
 
-FILES = T.StructType.fromDDL("path string, lang string, size long, sha256 binary, modified_at timestamp, loc long, is_generated boolean, is_vendored boolean")
-SYMBOLS = T.StructType.fromDDL(
-    "id string, name string, file string, kind string, line long, line_end long, qualified_name string, return_type string, arity long, "
-    "is_async boolean, is_override boolean, is_abstract boolean, is_static boolean, is_test_marker boolean, is_generated boolean, confidence double, "
-    "doc_summary string, has_unresolved_override boolean, modifiers array<string>, params array<struct<name: string, type: string, default_value: string>>"
+
+def _schema(fields: str, *more: tuple[str, T.DataType]) -> T.StructType:
+    """A schema of "name kind, ..." and further fields; needs no running Spark."""
+    plain = [T.StructField(n, _KINDS[k]) for n, k in (f.split() for f in fields.split(","))]
+    return T.StructType(plain + [T.StructField(n, k) for n, k in more])
+
+
+PARAM = _schema("name string, type string, default_value string")
+FILES = _schema("path string, lang string, size long, sha256 binary, modified_at timestamp, loc long, is_generated boolean, is_vendored boolean")
+SYMBOLS = _schema(
+    "id string, name string, file string, kind string, line long, line_end long, qualified_name string, return_type string, arity long, is_async boolean, "
+    "is_override boolean, is_abstract boolean, is_static boolean, is_test_marker boolean, is_generated boolean, confidence double, doc_summary string, has_unresolved_override boolean",
+    ("modifiers", T.ArrayType(T.StringType())), ("params", T.ArrayType(PARAM)),
 )
-EDGES = T.StructType.fromDDL(
-    "kind string, src string, dst string, line long, ref_kind string, imported_names array<string>, alias string, re_export boolean, is_type_only boolean, decorator_args string"
+EDGES = _schema(
+    "kind string, src string, dst string, line long, ref_kind string, alias string, re_export boolean, is_type_only boolean, decorator_args string", ("imported_names", T.ArrayType(T.StringType()))
 )
 EDGE_KINDS = (
     "DEFINES", "CONTAINS", "CALLS", "CALLS_HEURISTIC", "REFERENCES", "MODULE_TYPED", "IMPORTS", "IMPORTS_NAMED",

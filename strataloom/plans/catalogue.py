@@ -13,6 +13,8 @@ from . import projections as t
 from .oracles import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
+ONE_HOP = ("CALLS", "REFERENCES")
+DEGREE = ("CALLS", "CALLS_HEURISTIC", "REFERENCES", "EXTENDS", "IMPLEMENTS")
 
 
 def query(f):
@@ -22,27 +24,27 @@ def query(f):
 
 @query
 def hubs_topn(spark: SparkSession, d: str) -> DataFrame:
-    return hubs.top(t.commerce(spark, d))
+    return hubs.top(t.commerce(spark, d, *DEGREE))
 
 
 @query
 def degree_default_minus_heuristic(spark: SparkSession, d: str) -> DataFrame:
-    return hubs.degrees(t.commerce(spark, d))
+    return hubs.degrees(t.commerce(spark, d, *DEGREE))
 
 
 @query
 def hubs_rank_of_target(spark: SparkSession, d: str) -> DataFrame:
-    return hubs.rank_of(t.commerce(spark, d), "small ring")
+    return hubs.rank_of(t.commerce(spark, d, *DEGREE), "small ring")
 
 
 @query
 def callers(spark: SparkSession, d: str) -> DataFrame:
-    return onehop.callers(t.commerce(spark, d))
+    return onehop.callers(t.commerce(spark, d, *ONE_HOP))
 
 
 @query
 def callers_polymorphic(spark: SparkSession, d: str) -> DataFrame:
-    return onehop.callers(_by_name(t.commerce(spark, d), "small ring"), None, "brand/Brand2.py")
+    return onehop.callers(_by_name(t.commerce(spark, d, *ONE_HOP), "small ring"), None, "brand/Brand2.py")
 
 
 def _by_name(g, name: str):
@@ -53,12 +55,12 @@ def _by_name(g, name: str):
 
 @query
 def callees(spark: SparkSession, d: str) -> DataFrame:
-    return onehop.callees(t.commerce(spark, d))
+    return onehop.callees(t.commerce(spark, d, *ONE_HOP))
 
 
 @query
 def callers_compact(spark: SparkSession, d: str) -> DataFrame:
-    return onehop.compact(onehop.callers(t.commerce(spark, d)))
+    return onehop.compact(onehop.callers(t.commerce(spark, d, *ONE_HOP)))
 
 
 @query
@@ -74,7 +76,7 @@ def suggest_similar(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def symbols_exact(spark: SparkSession, d: str) -> DataFrame:
-    return search.search(t.commerce(spark, d), "small ring", "exact")
+    return search.search(t.commerce(spark, d, "CALLS"), "small ring", "exact")
 
 
 @query
@@ -89,7 +91,7 @@ def symbols_contains(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def file_summary(spark: SparkSession, d: str) -> DataFrame:
-    return onehop.file_summary(t.commerce(spark, d))
+    return onehop.file_summary(t.commerce(spark, d, "IMPORTS"))
 
 
 @query
@@ -111,7 +113,7 @@ def dup_suffix(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def break_points(spark: SparkSession, d: str) -> DataFrame:
-    return onehop.break_points(t.commerce(spark, d))
+    return onehop.break_points(t.commerce(spark, d, *ONE_HOP))
 
 
 @query
@@ -121,12 +123,12 @@ def importers_depth3(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dead_code(spark: SparkSession, d: str) -> DataFrame:
-    return liveness.dead_code(t.commerce(spark, d))
+    return liveness.dead_code(t.commerce(spark, d, *ONE_HOP, "OVERRIDES"))
 
 
 @query
 def dead_code_override_closure(spark: SparkSession, d: str) -> DataFrame:
-    g = t.commerce(spark, d)
+    g = t.commerce(spark, d, *ONE_HOP, "EXTENDS")
     over = g.kind("EXTENDS").withColumn("kind", F.lit("OVERRIDES"))
     g = type(g)(g.files, g.symbols, g.edges.union(over))
     return liveness.override_live(g, liveness.unused(g))
@@ -192,7 +194,7 @@ def impact_capped(spark: SparkSession, d: str) -> DataFrame:
 @query
 def affected_tests(spark: SparkSession, d: str) -> DataFrame:
     """Test files that calls of the nation files' suppliers reach, over the tested-by edges."""
-    g = t.commerce(spark, d)
+    g = t.commerce(spark, d, "TESTED_BY", "CALLS")
     s = g.symbols.where("kind = 'method'").select(F.col("name").alias("seed"))
     return impact.affected_tests(g, s, 0).select("seed", "path", "reason")
 
@@ -226,7 +228,7 @@ def risk_composite(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rename_sites(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.rename_sites(t.commerce(spark, d), "small ring", "brand/Brand2.py")
+    return catalog.rename_sites(t.commerce(spark, d, *ONE_HOP), "small ring", "brand/Brand2.py")
 
 
 @query
@@ -236,7 +238,7 @@ def rename_blockers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _nations(spark: SparkSession, d: str):
-    g = t.commerce(spark, d)
+    g = t.commerce(spark, d, *ONE_HOP, "EXTENDS")
     return g, g.files.select(F.col("path").alias("root"))
 
 

@@ -17,8 +17,12 @@ def _id(tag: str, key: str):
     return F.concat(F.lit(tag), F.col(key).cast("string"))
 
 
-def commerce(spark: SparkSession, d: str) -> Graph:
-    """Customers (functions) call suppliers (methods) and refer to parts (classes); a nation or brand is a file."""
+def commerce(spark: SparkSession, d: str, *kinds: str) -> Graph:
+    """Customers (functions) call suppliers (methods) and refer to parts (classes); a nation or brand is a file.
+
+    With kinds, only those edges are made, as a stored graph would read only their directories.
+    """
+    wanted = lambda *names: [k for k in names if not kinds or k in kinds]
     nation = lambda c: F.concat(F.lit("nation/n"), F.col(c).cast("string"), F.lit(".py"))
     cust = table(spark, d, "customer").select(_id("c", "c_custkey").alias("id"), F.col("c_name").alias("name"), nation("c_nationkey").alias("file"), F.lit("function").alias("kind"), F.col("c_custkey").alias("line"), (F.col("c_custkey") + F.floor(F.abs("c_acctbal") / 100)).alias("line_end"))
     supp = table(spark, d, "supplier").select(_id("s", "s_suppkey").alias("id"), F.col("s_name").alias("name"), nation("s_nationkey").alias("file"), F.lit("method").alias("kind"), F.col("s_suppkey").alias("line"), (F.col("s_suppkey") + F.floor(F.abs("s_acctbal") / 100)).alias("line_end"))
@@ -29,18 +33,23 @@ def commerce(spark: SparkSession, d: str) -> Graph:
     lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     lines = lines.select(_id("c", "o_custkey").alias("c"), _id("s", "l_suppkey").alias("s"), _id("p", "l_partkey").alias("p"), F.col("l_linenumber").cast("long").alias("line"), "l_returnflag", "l_quantity", "o_orderpriority")
     # One pass over the joined lines: each makes its edges as an array, so the join runs once.
-    edge = lambda kind, a, b, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(kind).alias("kind"), F.col(a).alias("src"), F.col(b).alias("dst"), F.col("line").alias("line")))
-    made = F.array_compact(F.array(
-        edge("CALLS", "c", "s"), edge("CALLS_HEURISTIC", "c", "s", F.col("l_returnflag") == "R"),
-        edge("REFERENCES", "c", "p", F.col("l_quantity") > 45), edge("TESTED_BY", "s", "c", F.col("o_orderpriority") == "1-URGENT"),
-    ))
-    edges = lines.select(F.explode(made).alias("e")).select("e.*").distinct()
+    shapes = {
+        "CALLS": ("c", "s", F.lit(True)), "CALLS_HEURISTIC": ("c", "s", F.col("l_returnflag") == "R"),
+        "REFERENCES": ("c", "p", F.col("l_quantity") > 45), "TESTED_BY": ("s", "c", F.col("o_orderpriority") == "1-URGENT"),
+    }
+    made = [F.when(when, F.struct(F.lit(k).alias("kind"), F.col(a).alias("src"), F.col(b).alias("dst"), F.col("line").alias("line"))) for k, (a, b, when) in shapes.items() if k in wanted(k)]
+    if not made:
+        edges = spark.createDataFrame([], "kind string, src string, dst string, line long")
+    else:
+        edges = lines.select(F.explode(F.array_compact(F.array(*made))).alias("e")).select("e.*").distinct()
     first = table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("base"))
     extends = table(spark, d, "part").join(first, ["p_brand", "p_type"]).where("p_partkey != base")
     extends = extends.select(_id("p", "p_partkey").alias("src"), _id("p", "base").alias("dst"), (F.col("p_size") > 25).alias("strong"))
-    kinds = F.when(F.col("strong"), F.array(F.lit("EXTENDS"), F.lit("IMPLEMENTS"))).otherwise(F.array(F.lit("EXTENDS")))
-    extends = extends.select(F.explode(kinds).alias("kind"), "src", "dst", F.lit(-1).cast("long").alias("line"))
-    return Graph.of(files, symbols, edges.unionByName(extends))
+    each = F.when(F.col("strong"), F.array(F.lit("EXTENDS"), F.lit("IMPLEMENTS"))).otherwise(F.array(F.lit("EXTENDS")))
+    extends = extends.select(F.explode(each).alias("kind"), "src", "dst", F.lit(-1).cast("long").alias("line"))
+    if wanted("EXTENDS", "IMPLEMENTS"):
+        edges = edges.unionByName(extends.where(F.col("kind").isin(*wanted("EXTENDS", "IMPLEMENTS"))))
+    return Graph.of(files, symbols, edges)
 
 
 def events(spark: SparkSession, d: str) -> Graph:

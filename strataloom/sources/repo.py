@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ def walk(spark: SparkSession, root: str, ignored: list[str] = ()) -> DataFrame:
     Excluded directories, secret-shaped names, files over 2 MB and paths under an ignored prefix are left out.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    # Scans leave out files without a byte, which still count; they come from the listing of their directories.
+    raw = raw.select("path", "length", "modificationTime", "content").union(_empty_files(spark, root))
     base = root.rstrip("/").split("://")[-1]
     rel = F.regexp_replace(F.col("path"), r"^.*?" + re.escape(base) + "/", "")
     rows = raw.select(rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), "content")
@@ -39,6 +42,19 @@ def walk(spark: SparkSession, root: str, ignored: list[str] = ()) -> DataFrame:
     return rows.select("path", lang.alias("lang"), "size", "modified_at", F.decode("content", "UTF-8").alias("text")).where("lang is not null")
 
 
+def _empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, modificationTime, content) of the files of 0 bytes under root."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    rows = []
+    while found.hasNext():
+        f = found.next()
+        if f.getLen() == 0:
+            rows.append((f.getPath().toString(), 0, datetime.fromtimestamp(f.getModificationTime() / 1000), bytearray()))
+    return spark.createDataFrame(rows, "path string, length long, modificationTime timestamp, content binary")
+
+
 ROW = "row string, name string, kind string, line long, line_end long, enclosing string, target string, aux string, arity long, is_async boolean, is_override boolean, params array<struct<name: string, type: string, default_value: string>>, modifiers array<string>, return_type string, names array<struct<local: string, original: string>>, ok boolean"
 _FIELDS = ["row", "name", "kind", "line", "line_end", "enclosing", "target", "aux", "arity", "is_async", "is_override", "params", "modifiers", "return_type", "names", "ok"]
 
@@ -148,6 +164,8 @@ _DEFS = [
     ("method", r"^\s*(?:(?:public|private|protected|internal|static|final|abstract|override|virtual|async|synchronized)\s+)+(?:[\w$<>\[\],.?]+\s+)?([A-Za-z_$][\w$]*)\s*\([^;]*$"),
 ]
 _DEFS = [(k, re.compile(x)) for k, x in _DEFS]
+#: A method without modifiers, right within a class.
+_MEMBER = re.compile(r"^\s+(?:[\w$<>\[\],.?]+\s+)?([A-Za-z_$][\w$]*)\s*\([^;{}]*\)\s*(?::[^{;]+)?\{\s*$")
 _CALL = re.compile(r"(?<![\w$.])(?:[\w$]+(?:\.|::|->|\?\.))*([A-Za-z_$][\w$]*)\s*\(")
 _NOT_CALLS = {"if", "for", "while", "switch", "catch", "return", "function", "fn", "func", "fun", "def", "match", "new", "super", "elsif", "unless", "when", "sizeof", "typeof", "await", "foreach", "using", "lock"}
 _IMPORTS = [
@@ -174,6 +192,9 @@ def _braced(text: str, lang: str) -> list[tuple]:
                 defined = (kind, m[1])
                 break
         outer = next((o for o in reversed(open_) if o[1] in ("class", "interface", "trait", "struct", "module", "impl")), None)
+        if not defined and open_ and open_[-1] is outer:
+            m = _MEMBER.match(line)
+            defined = ("method", m[1]) if m and m[1] not in _NOT_CALLS else None
         if defined:
             kind, name = defined
             kind = "method" if kind == "function" and outer else kind

@@ -98,7 +98,8 @@ def strip_json_comments(text: Column) -> Column:
 def manifest_deps(texts: DataFrame) -> DataFrame:
     """(path, dep): dependency names in package.json, composer.json, Cargo.toml and .csproj texts (path, text)."""
     name = p.basename(F.col("path"))
-    json_deps = F.map_keys(F.from_json(F.get_json_object(strip_json_comments(F.col("text")), F.when(name == "composer.json", "$.require").otherwise("$.dependencies")), "map<string, string>"))
+    plain = strip_json_comments(F.col("text"))
+    json_deps = F.map_keys(F.from_json(F.when(name == "composer.json", F.get_json_object(plain, "$.require")).otherwise(F.get_json_object(plain, "$.dependencies")), "map<string, string>"))
     section = F.regexp_extract("text", r"(?s)(?:^|\n)\[dependencies\]\s*\n(.*?)(?=\n\[|\z)", 1)
     toml = F.regexp_extract_all(section, F.lit(r"(?m)^\s*([A-Za-z0-9_-]+)\s*="), F.lit(1))
     projects = F.transform(F.regexp_extract_all("text", F.lit(r'<ProjectReference\s+Include="([^"]+)"'), F.lit(1)), lambda x: F.regexp_replace(p.basename(F.replace(x, F.lit("\\"), F.lit("/"))), r"\.csproj$", ""))

@@ -27,7 +27,10 @@ def with_watermark(events: DataFrame, late: str = "10 seconds") -> DataFrame:
 
 
 def sessions(events: DataFrame, gap: str = GAP, keys: tuple[str, ...] = (), cap: int = QUEUE_CAP) -> DataFrame:
-    """(keys, fired_at, started_at, n, dirty): one row for each burst; past the cap only the flag `dirty` says so."""
+    """(keys, fired_at, started_at, n, dirty): one row for each burst; past the cap only the flag `dirty` says so.
+
+    On a stream at least one key is needed, such as the repository.
+    """
     rows = events.groupBy(F.session_window("ts", gap).alias("w"), *keys).agg(F.count("*").alias("n"))
     return rows.select(*keys, F.col("w.end").alias("fired_at"), F.col("w.start").alias("started_at"), F.least("n", F.lit(cap)).alias("n"), (F.col("n") > cap).alias("dirty"))
 
