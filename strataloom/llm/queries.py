@@ -125,7 +125,28 @@ bad AS (SELECT DISTINCT doc_id FROM long l
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM f
 """
 
+_ANY_CASE = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = f"({_ANY_CASE})[\"\'\']?\\x20*[:=]\\x20*[\"\'\']?([A-Za-z0-9+/_.=-]+)"
+_KIND_SQL = {"assign": _ASSIGN, "access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}", "secret": "[A-Za-z0-9+/=]{40,}", "endpoint": "https?://[^\\x00-\\x20\"\'\'<>]+"}
+_SECRETS_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+c AS ({" UNION ALL ".join(f"SELECT doc_id, {k} AS kind, regexp_split_to_array(text, '{x}') AS gaps, regexp_extract_all(text, '{x}', 0) AS found, regexp_extract_all(text, '{x}', {2 if k == 0 else 0}) AS part FROM d WHERE regexp_matches(text, '{x}')" for k, x in enumerate(_KIND_SQL.values()))}),
+each AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM c),
+placed AS (SELECT doc_id, kind, part[i] AS part, length(found[i]) AS n,
+  coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS start FROM each),
+span AS (SELECT doc_id, kind, start::BIGINT AS start, (start + n)::BIGINT AS stop FROM placed
+  WHERE CASE kind WHEN 0 THEN length(part) >= 6 WHEN 3 THEN n = 40 AND NOT contains(part, '=') AND regexp_matches(part, '[0-9]') AND regexp_matches(part, '[A-Za-z]') ELSE true END),
+kept AS (SELECT * FROM span a WHERE kind < 3 OR EXISTS (SELECT 1 FROM span b WHERE b.doc_id = a.doc_id AND b.start - a.stop <= 400 AND a.start - b.stop <= 400
+  AND CASE a.kind WHEN 3 THEN b.kind IN (1, 4) ELSE b.kind IN (0, 1, 3) END)),
+said AS (SELECT *, ['assign', 'access', 'hex', 'secret', 'endpoint'][kind + 1] || ':' || start || ':' || stop AS x FROM kept),
+agg AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  string_agg(x, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(x, ',' ORDER BY start, kind) AS spans FROM said GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN agg ON agg.doc_id = d.doc_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op8_secret_scan": _SECRETS_SQL,
     "op6_quality_rules": _QUALITY_SQL,
     "op3_near_dedup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text=_LOWERED)} AS ws FROM documents),
