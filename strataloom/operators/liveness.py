@@ -49,28 +49,33 @@ def override_live(g: Graph, dead: DataFrame) -> DataFrame:
 
 
 def entry_points(rows: DataFrame) -> DataFrame:
-    """Rows of symbols that something outside the graph starts: main, tests, dunders, routed or static files, scripts."""
+    """Rows of symbols that something outside the graph starts: main, tests, Python dunders, routed and static files."""
     file, name = F.col("file"), F.col("name")
-    is_entry = (
-        (name == "main") | p.is_test_path(file) | F.col("is_test_marker") | name.startswith("test_") | p.is_dunder(name) | p.is_framework_routed(file)
-        | file.rlike(r"(^|/)static/") | file.rlike(r"(^|/)(scripts|bin)/")
-    )
+    is_entry = name.isin("main", "__main__") | p.is_test_path(file) | (file.rlike(r"\.pyi?$") & p.is_dunder(name)) | p.is_framework_routed(file) | file.rlike(r"(^|/)static/")
     return rows.where(is_entry)
 
 
-def dead_code(g: Graph, scope: str | None = None, handlers: DataFrame | None = None, exported: DataFrame | None = None) -> DataFrame:
+def dead_code(g: Graph, scope: str | None = None, handlers: DataFrame | None = None, exported: DataFrame | None = None, scripts: DataFrame | None = None, c_libraries: DataFrame | None = None) -> DataFrame:
     """(symbol, file, kind, line, confidence) of dead symbols, by file and symbol.
 
-    handlers (name) are route handlers, exported (file, name) are names in a package's __all__; both count as entries.
+    What else counts as an entry: handlers (name) of routes, scripts (name) that a project declares, exported (file, name) in a
+    package's __all__ for symbols of that package, and all symbols under c_libraries (dir), crates that export to C.
+    sources.text.entry_facts() reads the four from texts.
     """
     dead = written(unused(ready(g), scope))
     dead = dead.join(override_live(g, dead), "id", "left_anti")
     dead = dead.join(entry_points(dead).select("id"), "id", "left_anti")
-    if handlers is not None:
-        dead = dead.join(handlers.select("name"), "name", "left_anti")
+    for names in (handlers, scripts):
+        if names is not None:
+            dead = dead.join(names.select("name"), "name", "left_anti")
     if exported is not None:
         here = exported.select(p.dirname(F.col("file")).alias("package"), "name")
         dead = dead.withColumn("package", p.dirname(F.col("file"))).join(here, ["package", "name"], "left_anti")
+    if c_libraries is not None:
+        from .architecture import owners
+
+        inside = owners(dead.select(F.col("file").alias("path")), c_libraries.select(F.col("dir").alias("root"))).where("root is not null")
+        dead = dead.join(inside.select(F.col("path").alias("file")), "file", "left_anti")
     return dead.select(F.col("name").alias("symbol"), "file", "kind", "line", F.lit(0.85).alias("confidence")).orderBy("file", "symbol", "line")
 
 

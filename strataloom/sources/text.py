@@ -105,3 +105,16 @@ def manifest_deps(texts: DataFrame) -> DataFrame:
     projects = F.transform(F.regexp_extract_all("text", F.lit(r'<ProjectReference\s+Include="([^"]+)"'), F.lit(1)), lambda x: F.regexp_replace(p.basename(F.replace(x, F.lit("\\"), F.lit("/"))), r"\.csproj$", ""))
     deps = F.when(name.isin("package.json", "composer.json"), json_deps).when(name == "Cargo.toml", toml).when(name.endswith(".csproj"), projects)
     return texts.select("path", F.explode(deps).alias("dep"))
+
+
+def entry_facts(texts: DataFrame) -> dict[str, DataFrame]:
+    """What dead_code() takes as entries, from source and manifest texts (path, text): handlers, scripts, exported, c_libraries."""
+    name = p.basename(F.col("path"))
+    section = F.regexp_extract("text", r"(?s)(?:^|\n)\[project\.scripts\]\s*\n(.*?)(?=\n\[|\z)", 1)
+    calls = F.regexp_extract_all(section, F.lit(r"""(?m)^[^=\n]+=\s*["'][^"':]+:([A-Za-z_][A-Za-z0-9_]*)["']"""), F.lit(1))
+    scripts = texts.where(name == "pyproject.toml").select(F.explode(calls).alias("name")).distinct()
+    body = F.regexp_extract("text", r"(?m)^__all__\s*(?:\+?=)\s*[\[(]([^\])]*)[\])]", 1)
+    listed = F.regexp_extract_all(body, F.lit(r"""["']([A-Za-z0-9_]+)["']"""), F.lit(1))
+    exported = texts.where(F.col("path").endswith(".py")).select(F.col("path").alias("file"), F.explode(listed).alias("name"))
+    to_c = texts.where((name == "Cargo.toml") & F.col("text").rlike(r"""(?s)crate-type\s*=\s*\[[^\]]*["'](cdylib|staticlib)["']"""))
+    return {"handlers": routes(texts).select(F.col("handler").alias("name")).distinct(), "scripts": scripts, "exported": exported, "c_libraries": to_c.select(p.dirname(F.col("path")).alias("dir"))}

@@ -144,7 +144,11 @@ def test_override_of_an_external_parent_is_live(spark):
 def test_entry_points_live(spark):
     names = ["main", "test_x", "__init__", "dead"]
     g = Graph.from_rows(spark, [(n, n, "m.py", "function", i, i) for i, n in enumerate(names)] + [("GET", "GET", "app/api/route.ts", "function", 1, 1), ("t", "t", "tests/t.py", "function", 1, 1)], [])
-    assert [r.symbol for r in liveness.dead_code(g).collect()] == ["dead"]
+    assert [r.symbol for r in liveness.dead_code(g).collect()] == ["dead", "test_x"]
+    one = lambda rows, schema: spark.createDataFrame(rows, schema)
+    assert [r.symbol for r in liveness.dead_code(g, handlers=one([("dead",)], "name string"), scripts=one([("test_x",)], "name string")).collect()] == []
+    assert [r.symbol for r in liveness.dead_code(g, exported=one([("__init__.py", "dead"), ("other/__init__.py", "test_x")], "file string, name string")).collect()] == ["test_x"]
+    assert liveness.dead_code(g, c_libraries=one([("",)], "dir string")).count() == 0
 
 
 def test_chain_depth(spark):

@@ -39,6 +39,12 @@ def test_config_mentions_and_manifests(spark):
     assert {(r.path, r.dep) for r in deps.collect()} == {("package.json", "a"), ("package.json", "b"), ("Cargo.toml", "serde"), ("Cargo.toml", "tokio"), ("A.csproj", "B")}
 
 
+def test_entry_facts(spark):
+    rows = [("urls.py", "path('x/', views.show)"), ("pyproject.toml", '[project.scripts]\nrun = "pkg.cli:start"\n[tool]\nx = "a:b"\n'), ("pkg/__init__.py", "__all__ = ['A',\n  'B']\n"), ("ffi/Cargo.toml", '[lib]\ncrate-type = ["rlib", "cdylib"]\n'), ("lib/Cargo.toml", "[lib]\n")]
+    got = {k: sorted(tuple(r) for r in v.collect()) for k, v in text.entry_facts(texts(spark, rows)).items()}
+    assert got == {"handlers": [("show",)], "scripts": [("start",)], "exported": [("pkg/__init__.py", "A"), ("pkg/__init__.py", "B")], "c_libraries": [("ffi",)]}
+
+
 def test_git_log(spark):
     log = "commit aaaaaaa1 1700000000 bbbbbbb1\tfix: crash\n\nsrc/a.py\nsrc/b.py\ncommit bbbbbbb2 1700000100 ccccccc1 ddddddd1\tmerge\n\nsrc/a.py\n"
     rows = text.git_log(spark.createDataFrame([("r", log)], "key string, log string")).orderBy("ts", "path").collect()
