@@ -68,17 +68,22 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def tidy() -> None:
+    """Give this worker's spare memory back."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def tidied(run):
-    """run with its worker's spare memory given back at the end: workers outlive their tasks."""
+    """run with tidy() at its end: workers outlive their tasks. Tables of this module stay out of what is sent to them."""
 
     def inner(batches):
         yield from run(batches)
-        _POWERS.clear()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):
-            pass
+        tidy()
 
     return inner
 
