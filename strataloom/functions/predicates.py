@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -205,3 +207,25 @@ def signature(name: Column, modifiers: Column, params: Column, return_type: Colu
     head = F.when(F.size(modifiers) > 0, F.concat(F.array_join(modifiers, " "), F.lit(" "))).otherwise("")
     tail = F.when(return_type != "", F.concat(F.lit(" -> "), return_type)).otherwise("")
     return F.concat(head, name, F.lit("("), F.array_join(F.transform(params, one), ", "), F.lit(")"), tail)
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """How many leading characters two strings share."""
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce((x == y) & (x != ""), F.lit(False)))
+    return F.aggregate(same, F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda s, e: F.struct((s["n"] + (s["go"] & e).cast("int")).alias("n"), (s["go"] & e).alias("go")), lambda s: s["n"])
+
+
+def git_ignored(path: Column, patterns: list[str]) -> Column:
+    """Whether the lines of an ignore file leave a path out; the last one that fits says so, and ! takes back."""
+    out = F.lit(False)
+    for line in patterns:
+        line = line.rstrip()
+        if not line or line.startswith("#"):
+            continue
+        keep, line = line.startswith("!"), line.removeprefix("!")
+        only_dirs, body = line.endswith("/"), line.strip("/")
+        start = "^" if "/" in line.rstrip("/") else "^(?:.*/)?"
+        parts = {"**/": "(?:.*/)?", "/**": "/.*", "*": "[^/]*", "?": "[^/]"}
+        regex = re.sub(r"\*\*/|/\*\*|\*|\?|[^*?/]+|/", lambda m: parts.get(m[0]) or (m[0] if m[0] == "/" else re.escape(m[0])), body)
+        out = F.when(path.rlike(f"{start}{regex}{'/.+' if only_dirs else '(?:/.*)?'}$"), not keep).otherwise(out)
+    return out

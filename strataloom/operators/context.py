@@ -59,3 +59,12 @@ def minimal_context(g: Graph, texts: DataFrame, symbol: str, file: str | None =
     shown = shown.withColumn("tokens", p.token_estimate(F.coalesce("snippet", F.lit("")))).withColumn("one", F.lit(1))
     done = pack_sections(shown.withColumn("place", F.struct("file", "line", "id")), budget, "one").select("one", F.split("taken", ",").alias("ids"))
     return shown.join(done, "one", "left").select("section", "id", "file", "line", "snippet", "tokens", F.coalesce(F.array_contains("ids", F.col("id")), F.lit(False)).alias("taken"))
+
+
+def sibling_tests(paths: DataFrame, name: str, most: int = 6) -> DataFrame:
+    """(path, tail, prefix): test files beside a name, by whether their stem has the name's last camel-case part, then by the
+    length of the common prefix, then by path."""
+    stem = p.stem(F.col("path"))
+    tail = p.camel_tail(F.lit(name))
+    rows = paths.where(p.is_test_path(F.col("path"))).select("path", F.when(tail != "", stem.contains(tail)).otherwise(False).alias("tail"), p.common_prefix(stem, F.lit(name)).alias("prefix"))
+    return rows.orderBy(F.desc("tail"), F.desc("prefix"), "path").limit(most)

@@ -98,6 +98,17 @@ def bm25(texts: DataFrame, query: str, top: int = 50, k1: float = 1.5, b: float
     return joined.select("path", F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "path").limit(top)
 
 
+def random_ranking(texts: DataFrame, seed: int, top: int = 50) -> DataFrame:
+    """(path, rank): a baseline in an order that a seed determines."""
+    first = texts.select("path").distinct().orderBy(F.xxhash64("path", F.lit(seed)), "path").limit(top)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.xxhash64("path", F.lit(seed)), "path")))
+
+
+def grep_ranking(texts: DataFrame, token: str, top: int = 50) -> DataFrame:
+    """(path, hits): a baseline of the texts with most whole occurrences of a token, equal counts by path."""
+    return texts.select("path", p.token_count(F.col("text"), token).alias("hits")).where("hits > 0").orderBy(F.desc("hits"), "path").limit(top)
+
+
 def _query_terms(query: str) -> list[str]:
     import re
 

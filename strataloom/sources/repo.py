@@ -26,7 +26,8 @@ MOST_BYTES = 2 << 20
 def walk(spark: SparkSession, root: str, ignored: list[str] = ()) -> DataFrame:
     """(path, lang, size, modified_at, text): source files of the ten languages under root, by any path Spark reads.
 
-    Excluded directories, secret-shaped names, files over 2 MB and paths under an ignored prefix are left out.
+    Excluded directories, secret-shaped names, files over 2 MB, paths under an ignored prefix and what the root's .gitignore
+    and .ignore leave out are left out.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     # Scans leave out files without a byte, which still count; they come from the listing of their directories.
@@ -38,10 +39,21 @@ def walk(spark: SparkSession, root: str, ignored: list[str] = ()) -> DataFrame:
     rows = rows.where(~F.arrays_overlap(dirs, F.array(*map(F.lit, EXCLUDED_DIRS))) & ~F.lower(p.basename(F.col("path"))).rlike(SECRET_NAMES) & (F.col("size") <= MOST_BYTES))
     for x in ignored:
         rows = rows.where(~F.col("path").startswith(x))
+    rows = rows.where(~p.git_ignored(F.col("path"), _ignore_lines(spark, root)))
     lang = p.language(F.col("path"))
     return rows.select("path", lang.alias("lang"), "size", "modified_at", F.decode("content", "UTF-8").alias("text")).where("lang is not null")
 
 
+def _ignore_lines(spark: SparkSession, root: str) -> list[str]:
+    """The lines of the root's ignore files, which people write and which are short."""
+    jvm, out = spark.sparkContext._jvm, []
+    for name in (".gitignore", ".ignore"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            out += [r.value for r in spark.read.text(path.toString()).collect()]
+    return out
+
+
 def _empty_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, length, modificationTime, content) of the files of 0 bytes under root."""
     jvm = spark.sparkContext._jvm

@@ -361,3 +361,23 @@ def test_other_predicates(spark):
     assert one(p.shared_segments(F.lit("a/b/c.py"), F.lit("a/b/d.py"))) == 2
     params = F.array(F.struct(F.lit("a").alias("name"), F.lit("int").alias("type"), F.lit("1").alias("default_value")))
     assert one(p.signature(F.lit("f"), F.array(F.lit("async")), params, F.lit("str"))) == "async f(a: int = 1) -> str"
+    assert one(p.common_prefix(F.lit("abcd"), F.lit("abX"))) == 2 and one(p.common_prefix(F.lit("a"), F.lit(""))) == 0
+
+
+IGNORED = [
+    ("build/x.py", ["build/"], True), ("build", ["build/"], False), ("a/build/x.py", ["build/"], True), ("a/x.log", ["*.log"], True), ("x.py", ["/x.py"], True), ("a/x.py", ["/x.py"], False),
+    ("a/b/x.py", ["a/**/x.py"], True), ("a/x.py", ["a/**/x.py"], True), ("doc/a/b.md", ["doc/*.md"], False), ("keep.log", ["*.log", "!keep.log"], False), ("a1.py", ["a?.py"], True), ("a.py", ["# a.py", ""], False),
+]
+
+
+@pytest.mark.parametrize(("path", "lines", "want"), IGNORED)
+def test_ignore_files(spark, path, lines, want):
+    assert spark.range(1).select(p.git_ignored(F.lit(path), lines).alias("x")).first().x == want
+
+
+def test_baselines_and_siblings(spark):
+    texts = spark.createDataFrame([("a", "foo foo"), ("b", "foo food"), ("c", "none")], "path string, text string")
+    assert [(r.path, r.hits) for r in evaluate.grep_ranking(texts, "foo").collect()] == [("a", 2), ("b", 1)]
+    assert [r["rank"] for r in evaluate.random_ranking(texts, 1).collect()] == [1, 2, 3]
+    paths = spark.createDataFrame([("t/FileReaderTest.java",), ("t/FileWriterTest.java",), ("t/OtherTest.java",), ("src/File.java",)], "path string")
+    assert [r.path for r in context.sibling_tests(paths, "FileReader").collect()] == ["t/FileReaderTest.java", "t/FileWriterTest.java", "t/OtherTest.java"]
