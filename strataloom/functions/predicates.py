@@ -225,7 +225,7 @@ def git_ignored(path: Column, patterns: list[str]) -> Column:
         keep, line = line.startswith("!"), line.removeprefix("!")
         only_dirs, body = line.endswith("/"), line.strip("/")
         start = "^" if "/" in line.rstrip("/") else "^(?:.*/)?"
-        parts = {"**/": "(?:.*/)?", "/**": "/.*", "*": "[^/]*", "?": "[^/]"}
-        regex = re.sub(r"\*\*/|/\*\*|\*|\?|[^*?/]+|/", lambda m: parts.get(m[0]) or (m[0] if m[0] == "/" else re.escape(m[0])), body)
+        parts = {"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*", "*": "[^/]*", "?": "[^/]"}
+        regex = re.sub(r"/\*\*/|\*\*/|/\*\*|\*|\?|[^*?/]+|/", lambda m: parts.get(m[0]) or (m[0] if m[0] == "/" else re.escape(m[0])), body)
         out = F.when(path.rlike(f"{start}{regex}{'/.+' if only_dirs else '(?:/.*)?'}$"), not keep).otherwise(out)
     return out
