@@ -106,6 +106,50 @@ class Session:
         edges = architecture.edges(self.g, roots, kept).orderBy("from_module", "to_module", "kind")
         return {"modules": _rows(found), "edges": _rows(edges)}
 
+    def layers(self) -> dict:
+        """Modules by their number of symbols, the largest first."""
+        found = self.architecture()["modules"]
+        return {"layers": sorted(({"name": m["module"], "symbol_count": m["symbol_count"]} for m in found), key=lambda m: (-m["symbol_count"], m["name"]))}
+
+    def layer_symbols(self, layer: str, offset: int = 0, limit: int = PAGE) -> dict:
+        """A page of the symbols of one module, by file, line and name."""
+        root = next((m["root"] for m in self.architecture()["modules"] if m["module"] == layer), None)
+        if root is None:
+            raise InvalidParams(f"no such layer: {layer}")
+        paths = self.texts.select("path") if self.texts is not None else self.g.files.select("path")
+        roots = architecture.discover(paths.union(self.g.files.select("path")).distinct())
+        own = architecture.owners(self.g.files.select("path"), roots).where(F.col("root") == root)
+        rows = self.g.internal().join(own.select(F.col("path").alias("file")), "file", "left_semi").select("id", "name", "kind", "file", "line")
+        return self._page(rows, ["file", "line", "name", "id"], offset, limit)
+
+    def _page(self, rows: DataFrame, order: list[str], offset: int, limit: int) -> dict:
+        shown, total, more = search.page(rows, order, offset, limit)
+        return {"rows": _rows(shown), "total": total, "has_more": more}
+
+    def symbol_detail(self, name: str) -> dict:
+        """The first definition of a name with its signature, its counts and whether a test covers it."""
+        s = self.g.internal().where(F.col("name") == name)
+        found = _rows(s.withColumn("signature", p.signature(F.col("name"), F.col("modifiers"), F.col("params"), F.col("return_type"))).orderBy("file", "line", "id").limit(1))
+        if not found:
+            raise SymbolNotFound(f"no symbol {name}", self.suggestions(name))
+        at = found[0]
+        callers, callees = onehop.callers(self.g, name).count(), onehop.callees(self.g, name).count()
+        reverse = importers.importers(self.g.kind("IMPORTS").select("src", "dst", "re_export"), at["file"]).count()
+        tested = not self.g.kind("TESTED_BY").join(s.select(F.col("id").alias("src")), "src", "left_semi").limit(1).isEmpty()
+        return at | {"loc": at["line_end"] - at["line"] + 1, "caller_count": callers, "callee_count": callees, "importer_count": reverse, "tested": tested}
+
+    def ego(self, symbol_id: str) -> dict:
+        """A symbol's neighbours and the calls among them."""
+        nodes, edges = catalog.ego(self.g, symbol_id)
+        return {"nodes": _rows(nodes), "edges": _rows(edges)}
+
+    def file(self, path: str) -> dict:
+        """A file's summary and the files that import it."""
+        return self.file_summary(path) | {"imported_by": [r["path"] for r in self.importers(path)["rows"] if r["depth"] == 1]}
+
+    def counts(self) -> dict:
+        return {"counts": _rows(catalog.counts(self.g).orderBy("what", "kind")), "health": _rows(catalog.health(self.g))[0]}
+
     def dead_code(self, scope: str | None = None) -> dict:
         facts = text.entry_facts(self.texts) if self.texts is not None else {}
         return {"rows": _rows(liveness.dead_code(self.g, scope, **facts))}

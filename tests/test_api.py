@@ -85,3 +85,18 @@ def test_rendering(session):
     answer = session.symbols("tot", "contains")
     assert json.loads(to_json(answer))["rows"][0]["name"] == "total"
     assert to_markdown([{"a": "x|y", "b": 1}]).splitlines()[2] == "| x\\|y | 1 |" and to_markdown([]) == ""
+
+
+def test_data_endpoints(session, spark):
+    got = session.symbol_detail("total")
+    assert (got["caller_count"], got["callee_count"], got["importer_count"], got["tested"], got["loc"]) == (2, 1, 1, True, 8)
+    with pytest.raises(SymbolNotFound):
+        session.symbol_detail("nobody")
+    assert {n["id"] for n in session.ego("total")["nodes"]} == {"total", "C", "tax", "show", "t"}
+    assert session.file("src/cart.py")["imported_by"] == ["src/views.py"]
+    assert session.counts()["health"]["tested"] == 1
+    rooted = Session(session.g, session.texts.union(spark.createDataFrame([("src/pyproject.toml", "")], "path string, text string")))
+    assert session.layers() == {"layers": []} and rooted.layers() == {"layers": [{"name": "src", "symbol_count": 6}]}
+    assert rooted.layer_symbols("src", 1, 2)["has_more"] and len(rooted.layer_symbols("src", 5)["rows"]) == 1
+    with pytest.raises(InvalidParams):
+        rooted.layer_symbols("none")
