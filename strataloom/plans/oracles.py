@@ -308,3 +308,16 @@ ORACLES |= {
     "betweenness": _with(EVENTS, _BETWEEN, body="SELECT * FROM res"),
     "bridges_topn": _with(EVENTS, _BETWEEN, body="SELECT * FROM res WHERE betweenness > 0 ORDER BY betweenness DESC, file, name LIMIT 10"),
 }
+
+ORACLES["budget_fold"] = """
+WITH RECURSIVE it AS (
+  SELECT conv_id AS key, section, turn, length(text) // 4 AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY section, turn) AS k
+  FROM (SELECT *, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS section FROM conversations)),
+f AS (
+  SELECT DISTINCT key, 0::BIGINT AS k, 0::BIGINT AS used, -1 AS closed, '' AS taken FROM it
+  UNION ALL
+  SELECT f.key, it.k, CASE WHEN closed = section OR used + tokens > 300 THEN used ELSE used + tokens END,
+    CASE WHEN closed <> section AND used + tokens > 300 THEN section ELSE closed END,
+    CASE WHEN closed = section OR used + tokens > 300 THEN taken WHEN taken = '' THEN turn::VARCHAR ELSE taken || ',' || turn END
+  FROM f JOIN it ON it.key = f.key AND it.k = f.k + 1)
+SELECT key, used, taken FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY k DESC) = 1"""
