@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -53,9 +54,18 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
 BATCH_ROWS = 1000
 
 
+def importable(spark: SparkSession) -> None:
+    """Put the folder of this package on the path of the session's Python workers, wherever they start."""
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = [x for x in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if top not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([top, *paths])
+
+
 def small_batches(spark: SparkSession) -> None:
     """Let Python workers get BATCH_ROWS rows at a time, unless the session has its own number: texts can be long, and
     batches of 10,000 of them take memory on both sides that no Spark setting bounds."""
+    importable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(BATCH_ROWS))
