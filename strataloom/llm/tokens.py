@@ -13,7 +13,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 
-MOST_CHUNKS = 700_000
+MOST_CHUNKS = 1_000_000
 #: A full stop or comma that ends a Latin word before a blank or the text's end is a piece of its own.
 _STOP = re.compile("[.,](?<=[A-Za-z0-9À-ÖØ-öø-įı-ɏ][.,])(?=[ \n]|$)")
 _LINES = ("\n\n", "\n ", "\t", "\r", "\x0b", "\x0c")
@@ -72,7 +72,8 @@ class Encoder:
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _normal_size(self, chunk: str) -> int:
-        if chunk.isprintable() and is_normalized("NFC", chunk):
+        # Letters of the first 256 characters are composed, and stay as long in small letters.
+        if chunk.isprintable() and (_narrow(chunk) or is_normalized("NFC", chunk)):
             return len(chunk.lower().encode()) - 1
         return len("".join(self.tokenizer.normalizer.normalize_str(chunk).split()).encode())
 
