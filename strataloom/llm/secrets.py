@@ -21,7 +21,8 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 #: A run that reaches the least length is found as a whole, one that doesn't is dropped, as if found and then measured.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-SECRET = r"(?<![A-Za-z0-9+/=])(?=[A-Za-z+/]*[0-9])(?=[0-9+/]*[A-Za-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
+#: An '=' before it is an assignment's sign, one after it is padding of a longer run.
+SECRET = r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[0-9+/]*[A-Za-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
 ENDPOINT = r"""https?://[^\x00-\x20"'<>]+"""
 ASSIGN_LEAST = 6
 SCOPE = 400
