@@ -67,11 +67,15 @@ class Lattice:
 
     def clear(self) -> None:
         self.words.clear()
+        #: By row: the best choice's ids, the ids of all others one after the other, and what the best decodes to.
         self.ids: list[bytes] = []
+        self.others: list[bytes] = []
+        self.raw: list[bytes] = []
+        #: Bytes of each choice's ids; 0 where there is none.
+        self.sizes = np.zeros((1 << 12, self.n), np.int64)
         self.best = np.zeros(1 << 12)
         #: What a word's second, third, ... choice loses; infinite where there is none.
         self.losses = np.zeros((1 << 12, max(1, self.n - 1)))
-        self.sound = True
 
     def edges(self, text: str) -> tuple[list, list[float]]:
         """(for each place the pieces that end there: (start, score, ids); the best score up to each place).
@@ -128,13 +132,16 @@ class Lattice:
         return out
 
     def word(self, text: str) -> int:
-        """The row of a word in the tables. Its best ids are decoded here, once, and must give the word."""
+        """The row of a word in the tables. Its best ids are decoded here, once."""
         found = self.search(text, self.n)
         row = self.words[text] = len(self.ids)
         if row == len(self.best):
-            self.best, self.losses = np.concatenate([self.best, np.zeros_like(self.best)]), np.concatenate([self.losses, np.zeros_like(self.losses)])
-        self.ids.append(np.array(found[0][1], "<u4").tobytes())
-        self.sound = self.sound and b"".join(map(self.bytes_of.__getitem__, found[0][1])) == text.replace(MARK, " ").encode()
+            self.best, self.losses, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.best, self.losses, self.sizes))
+        choices = [np.array(ids, "<u4").tobytes() for _, ids in found]
+        self.ids.append(choices[0])
+        self.others.append(b"".join(choices[1:]))
+        self.sizes[row, : len(choices)] = [len(x) for x in choices]
+        self.raw.append(b"".join(map(self.bytes_of.__getitem__, found[0][1])))
         self.best[row] = found[0][0]
         self.losses[row] = np.inf
         for c, (score, _) in enumerate(found[1:]):
@@ -164,7 +171,9 @@ class Lattice:
 
         Equal scores stand in the order of the changed parts and their choices.
         """
-        rows = self.rows(text)
+        return self._nbest(self.rows(text))
+
+    def _nbest(self, rows: list[int]) -> tuple[bytes, list[tuple[float, dict[int, int]]]]:
         at = np.array(rows, np.int64)
         ids = b"".join(map(self.ids.__getitem__, rows))
         gaps, total = self.losses[at, 0], float(self.best[at].sum())
@@ -181,6 +190,25 @@ class Lattice:
             sums = heapq.nsmallest(self.n, ((a + b, x + y) for a, x in sums for b, y in options))
         return ids, [(total - loss, dict(changes)) for loss, changes in sums]
 
+    def digests(self, text: str) -> tuple[list[float], list[int], list[int], bool]:
+        """(scores, numbers of ids, crc32 of ids) of the n best, and whether the best decodes to the text."""
+        rows = self.rows(text)
+        ids, found = self._nbest(rows)
+        ends = np.cumsum(self.sizes[rows, 0]) if rows else None
+        lengths, sums = [], []
+        for _, changes in found:
+            made, done = [], 0
+            for w, c in sorted(changes.items()):
+                row, end = rows[w], int(ends[w])
+                start, size = int(self.sizes[row, 1:c].sum()), int(self.sizes[row, c])
+                made += [ids[done : end - len(self.ids[row])], self.others[row][start : start + size]]
+                done = end
+            all_ids = b"".join([*made, ids[done:]]) if made else ids
+            lengths.append(len(all_ids) // 4)
+            sums.append(zlib.crc32(all_ids))
+        back = self.unmark(b"".join(map(self.raw.__getitem__, rows)))
+        return [s for s, _ in found], lengths, sums, back == text.encode()
+
     def segmentations(self, text: str) -> list[tuple[float, list[int]]]:
         """The n best (score, ids) of a whole text."""
         _, found = self.nbest(text)
@@ -220,27 +248,27 @@ def _encode(path: str, n: int):
             for lo, hi in slices(offsets):
                 rows = []
                 for text in batch.column(1).slice(lo, hi - lo).to_pylist():
-                    text = text or ""
-                    ids, found = model.nbest(text)
-                    rows.append((len(ids) // 4, zlib.crc32(ids), [s for s, _ in found], model.sound))
-                columns = list(zip(*rows, strict=True)) or [()] * 4
-                kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.bool_()]
+                    scores, lengths, sums, same = model.digests(text or "")
+                    rows.append((lengths[0], sums[0], scores, lengths, sums, same))
+                columns = list(zip(*rows, strict=True)) or [()] * 6
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_()]
                 made = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), *made], names=["doc_id", "n_pieces", "ids_crc32", "scores", "round_trip"])
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), *made], names=["doc_id", "n_pieces", "ids_crc32", "scores", "nbest_pieces", "nbest_crc32", "round_trip"])
 
     return tidied(run)
 
 
 def encode(docs: DataFrame, path: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, scores, round_trip) for each row of docs.
+    """(doc_id, n_pieces, ids_crc32, scores, nbest_pieces, nbest_crc32, round_trip) for each row of docs.
 
     n_pieces and ids_crc32 are of the best segmentation's ids (little-endian unsigned 32-bit); scores has the up to n best
-    sums of piece scores, best first; round_trip says that the best ids of the text's parts decode to them. A null or empty text has no
+    sums of piece scores, best first, and nbest_pieces and nbest_crc32 each of these segmentations' number and checksum of ids; round_trip says that
+    the best ids decode to the row's own text, so it is false for one with a literal blank mark. A null or empty text has no
     pieces and the one score 0. Repeated rows give repeated results, a null id stays null, other columns are ignored.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_encode(path, n), "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, round_trip boolean")
+    return rows.mapInArrow(_encode(path, n), "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, nbest_pieces array<long>, nbest_crc32 array<long>, round_trip boolean")
 
 
 def _segment(path: str, n: int):

@@ -40,7 +40,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = nbest.encode(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
     scores = F.array_join(F.transform("scores", lambda x: F.round(x, 4).cast("string")), ",")
-    return out.withColumn("scores", scores)
+    said = {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("nbest_pieces", "nbest_crc32")}
+    return out.withColumns({"scores": scores, **said})
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

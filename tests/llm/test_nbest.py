@@ -1,3 +1,6 @@
+import zlib
+
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -53,3 +56,28 @@ def test_round_trip_and_edge_cases(spark):
     back = nbest.decode(nbest.segment(docs, PATH).where("rank = 0"), PATH).collect()
     assert sorted((r.doc_id or -1, r.text) for r in back) == sorted((r.doc_id or -1, r.text or "") for r in docs.collect())
     assert nbest.encode(empty_docs(spark), PATH).count() == 0
+
+
+def test_round_trip_is_of_the_row_itself(spark):
+    rows = [(0, "plain text"), (1, "a literal \u2581 mark"), (2, "plain text"), (3, "\u2581"), (4, " é 😀\nx.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.round_trip for r in nbest.encode(docs, PATH).collect()} == {0: True, 1: False, 2: True, 3: False, 4: True}
+
+
+def test_a_wrong_part_fails_its_own_text_only(monkeypatch):
+    lattice = nbest.Lattice(PATH, 4)
+    lattice.bytes_of[lattice.search("▁zebra", 1)[0][1][0]] = b"?"
+    assert [lattice.digests(x)[3] for x in ("a cat", "a zebra", "a cat")] == [True, False, True]
+    monkeypatch.setattr(nbest, "MOST_WORDS", 0)
+    assert [lattice.digests(x)[3] for x in ("a zebra", "a cat", "a zebra")] == [False, True, False]
+
+
+def test_every_segmentation_has_its_digest(spark):
+    docs = edge_docs(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
+    want = {}
+    for r in nbest.segment(docs, PATH).orderBy("doc_id", "rank").collect():
+        want.setdefault(r.doc_id, []).append((len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())))
+    got = nbest.encode(docs, PATH).collect()
+    assert {r.doc_id: list(zip(r.nbest_pieces, r.nbest_crc32, strict=True)) for r in got} == want
+    assert all((r.n_pieces, r.ids_crc32) == (r.nbest_pieces[0], r.nbest_crc32[0]) for r in got)
+    assert any(len(set(r.nbest_crc32)) == 4 for r in got)
