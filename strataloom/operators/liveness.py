@@ -11,7 +11,8 @@ from ..operators.search import ready
 from ..tables import written
 
 KINDS = ("function", "method", "class", "interface")
-MOST_ROUNDS = 20
+#: Rounds after which the ids found so far become one table, so that plans stay small.
+FOLD_ROUNDS = 20
 
 
 def used_nodes(g: Graph) -> DataFrame:
@@ -30,8 +31,8 @@ def unused(g: Graph, scope: str | None = None) -> DataFrame:
 def override_live(g: Graph, dead: DataFrame) -> DataFrame:
     """Ids of dead methods that a chain of overrides ties to a live or external parent, or whose parent is unknown.
 
-    Each round adds the dead children of live methods. The loop stops when a round adds none, or at MOST_ROUNDS, which
-    bounds the depth of the chains; what each round carries is ids only.
+    Each round adds the dead children of live methods. The loop stops when a round adds none; live ids are never added
+    again, so that cycles end too. What each round carries is ids only.
     """
     dead = written(dead.select("id", "has_unresolved_override"))
     dead_ids = dead.select("id")
@@ -39,11 +40,13 @@ def override_live(g: Graph, dead: DataFrame) -> DataFrame:
     waiting = written(chains.join(dead_ids.withColumnRenamed("id", "child"), "child", "left_semi"))
     front = written(waiting.join(dead_ids.withColumnRenamed("id", "parent"), "parent", "left_anti").select(F.col("child").alias("id")).distinct())
     live = front
-    for _ in range(MOST_ROUNDS):
-        if front.isEmpty():
-            break
+    rounds = 0
+    while not front.isEmpty():
         front = written(waiting.join(front.withColumnRenamed("id", "parent"), "parent", "left_semi").select(F.col("child").alias("id")).distinct().join(live, "id", "left_anti"))
         live = live.union(front)
+        rounds += 1
+        if rounds % FOLD_ROUNDS == 0:
+            live = written(live)
     unresolved = dead.where("has_unresolved_override").select("id")
     return live.union(unresolved).distinct()
 

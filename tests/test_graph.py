@@ -136,6 +136,15 @@ def test_override_rescue_over_three_levels(spark):
     assert {r.symbol for r in liveness.dead_code(g).collect()} == {"lost", "other"}
 
 
+def test_override_rescue_has_no_last_level(spark, monkeypatch):
+    for bound in ("MOST_ROUNDS", "FOLD_ROUNDS"):
+        monkeypatch.setattr(liveness, bound, 2, raising=False)
+    names = [f"m{i}" for i in range(7)]
+    chain = [("OVERRIDES", b, a) for a, b in itertools.pairwise(names)] + [("OVERRIDES", "x", "y"), ("OVERRIDES", "y", "x")]
+    g = graph(spark, [("main", "m0")], chain, kinds=dict.fromkeys([*names, "x", "y"], "method"))
+    assert sorted(r.symbol for r in liveness.dead_code(g).collect()) == ["x", "y"]
+
+
 def test_override_of_an_external_parent_is_live(spark):
     g = Graph.from_rows(spark, [("c", "c", "m.py", "method", 1, 2), ("e", "e", "<external>", "external", 0, 0)], [("OVERRIDES", "c", "e", -1)])
     assert liveness.dead_code(g).count() == 0
