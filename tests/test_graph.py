@@ -97,6 +97,14 @@ def test_sampled_betweenness_is_scaled(spark):
         assert rows["hub"] > 0.3 and rows["leaf03"] == 0
 
 
+def test_joined_betweenness_has_no_last_level(spark, monkeypatch):
+    for bound in ("MOST_LEVELS", "FOLD_LEVELS"):
+        monkeypatch.setattr(bridges, bound, 2, raising=False)
+    g = graph(spark, [(f"n{i}", f"n{i + 1}") for i in range(7)])
+    shared, joins = ({r.name: r.betweenness for r in bridges.betweenness(g, most_exact=1, sample=1, most_shared=m).collect()} for m in (10**6, 0))
+    assert joins == pytest.approx(shared, abs=1e-8) and joins["n5"] > 0 and joins["n6"] > 0
+
+
 def test_polymorphic_callers(spark):
     g = graph(spark, [("a", "f@1"), ("b", "f@2"), ("c", "one")], files={"f@1": "x.py", "f@2": "y.py"})
     assert onehop.callers(g, "f").count() == 0
