@@ -38,6 +38,19 @@ def test_thresholds_adapt_to_the_group(spark):
     assert kept == {1000: False, 1001: True}
 
 
+def test_bounds_come_from_the_group_alone(spark):
+    clean, noisy = "calm words stand here in one plain line of text now", "calm words & stand & here & in # one line of text now"
+    rows = [(i, clean + f" {i}", "en", "clean") for i in range(120)] + [(500 + i, noisy + f" {i}", "en", "noisy") for i in range(120)]
+    rows += [(1000, clean + " #", "en", "clean"), (1001, clean + " # #", "en", "clean"), (1002, noisy + " 7", "en", "noisy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    feats = quality.features(docs)
+    limits = {r.source: r for r in quality.thresholds(feats).collect()}
+    assert limits["clean"].symbol_rate_most == 0 < limits["noisy"].symbol_rate_most
+    assert limits["clean"].dup_rate_most == limits["clean"].repeat_rate_most == 0
+    # One symbol never condemns, two do in a group that has none, and as many as its group has don't.
+    assert {r.doc_id: r.kept for r in quality.report(docs).where("doc_id >= 1000").collect()} == {1000: True, 1001: False, 1002: True}
+
+
 def test_sketches_merge_to_the_coarser_group(spark):
     rows = [(i, " ".join(f"a{i}b{j}" for j in range(20)), "en", f"s{i}") for i in range(30)]
     feats = quality.features(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
@@ -46,9 +59,11 @@ def test_sketches_merge_to_the_coarser_group(spark):
 
 
 def test_buckets_hold_their_values(spark):
-    rows = spark.range(0, 70_000, 37).select(F.col("id").alias("v"), quality._bucket(F.col("id")).alias("b")).withColumn("top", quality._upper_of("b"))
+    rows = spark.range(0, 70_000, 37).select(F.col("id").alias("v"), quality._bucket(F.col("id")).alias("b")).withColumn("top", quality._bounds("b")[1]).withColumn("bottom", quality._bounds("b")[0])
     bad = rows.where((F.col("top") < F.col("v")) | (F.col("top") > F.col("v") * 1.0626 + 1))
     assert bad.count() == 0
+    assert rows.where("bottom > v or top < v or bottom < v / (1 + 1/64.0) - 1").count() == 0
+    assert rows.where("top > 128 and top > v * (1 + 1/64.0) + 1").count() == 0
 
 
 def test_plan_has_no_python(spark):
