@@ -4,7 +4,8 @@ Documents are tokenized, closed with an end id and cut at multiples of the seque
 shorter than a sequence. The driver sees only the histogram of piece lengths, at most `capacity` rows whatever the corpus.
 It places lengths longest first, each into the shortest pack that still fits, for all documents of a length at once, so
 that it updates counts of packing patterns and never sees a document. Each piece then gets its rank within its length
-(counted within hash buckets, so that the most frequent length is no single task), and rank ranges map pieces to slots.
+(counted within hash buckets of the written rows' places, so that neither the most frequent length nor a repeated id is a
+single task), and rank ranges map pieces to slots.
 """
 
 from __future__ import annotations
@@ -102,8 +103,9 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for each piece of each row of docs.
 
     A null or empty text is its end id alone. A document longer than `capacity` gives several pieces. Equal rows give
-    equal pieces in different slots (most_chunks bounds what a worker remembers, not what it does); which of them gets which is arbitrary but fixed once written. A null id stays null;
-    other columns are ignored; an empty table gives an empty result.
+    equal pieces in different slots; which of them gets which is arbitrary but fixed once written. A null id stays null;
+    other columns are ignored; an empty table gives an empty result. most_chunks bounds what a worker remembers, not what it
+    does.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -113,10 +115,12 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     slots = _slots(shortest_pack_first(histogram, capacity))
     buckets = max(MIN_BUCKETS, sum(histogram.values()) // PIECES_PER_BUCKET)
     by_length = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
+    # A written row's file and place in it are the same whenever it is read, and differ for equal rows.
+    pieces = pieces.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("file", "row"), F.lit(buckets)))
     before = pieces.groupBy("bucket", "length").agg(F.count("*").alias("n"))
     before = before.select("bucket", "length", F.coalesce(F.sum("n").over(by_length), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("bucket", "length").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
+    inside = Window.partitionBy("bucket", "length").orderBy("file", "row")
     ranked = pieces.withColumn("place", F.row_number().over(inside) - 1).join(before, ["bucket", "length"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("place"))
     table = spark.createDataFrame(slots, "slot_length long, lo long, hi long, copies long, first_sequence long, at long")

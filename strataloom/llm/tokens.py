@@ -2,7 +2,8 @@
 
 Both byte-level and word-end BPE split a text into pieces that never cross the start of a blank before a word, a single
 line end between words, or a word's end before a full stop. So a text's ids are the joined ids of its chunks; the
-tokenizers library encodes each chunk. Texts with other white space after a blank go to the library whole.
+tokenizers library encodes each chunk. Texts with other white space after a blank, or with the string of a special token,
+which the library reads as that token, go to the library whole.
 """
 
 from __future__ import annotations
@@ -30,7 +31,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: The strings of special tokens, in small letters.
+        self.special = sorted({x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()})
+        #: Signs that all of them start with, so that one search tells that a text has none.
+        self.opening = re.match("[^a-z\x80-\U0010ffff]*", os.path.commonprefix(self.special))[0]
         self.known: dict[str, bytes] = {}
         # In byte-level vocabularies a token's string has one character for each byte it stands for.
         vocabulary = self.tokenizer.get_vocab()
@@ -91,10 +95,16 @@ class Encoder:
         return _STOP.sub(r" \0\g<0>", text).split(" ")
 
     def plain(self, text: str) -> bool:
-        if _ODD.search(text) or "\0" in text:
+        if _ODD.search(text) or "\0" in text or (self.special and self._marked(text)):
             return False
         return self.ends or not (any(b in text for b in _BLANKS) or text[-1:] == " ")
 
+    def _marked(self, text: str) -> bool:
+        if self.opening not in text:
+            return False
+        text = text.lower()
+        return any(x in text for x in self.special)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; the texts' new chunks are encoded together."""
         known = self.known

@@ -20,18 +20,28 @@ FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
 def direct(name, text, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, end]
 
 
 @pytest.mark.parametrize("name", FILES)
 def test_chunks_give_the_librarys_ids(name):
     rng = random.Random(1)
-    parts = ["a", "B", " ", ".", ",", "\n", "é", "e\u0301", "\u00a0", "  ", "\t", "!", "'s", "1", "x.", "\u2003", "Σ", "İ", "漢", "|", "<|endoftext|>", "\x1c", "the ", "word, ", "\r\n", "\0"]
-    enc = Encoder(public_tokenizers.path(name), most_chunks=50)
+    parts = ["a", "B", " ", ".", ",", "\n", "é", "e\u0301", "\u00a0", "  ", "\t", "!", "'s", "1", "x.", "\u2003", "Σ", "İ", "漢", "|", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "\x1c", "the ", "word, ", "\r\n", "\0"]
+    enc, library = Encoder(public_tokenizers.path(name), most_chunks=50), Tokenizer.from_file(public_tokenizers.path(name))
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
     for lo in range(0, len(texts), 500):
-        assert enc.encode(texts[lo : lo + 500]) == enc.whole(texts[lo : lo + 500])
+        want = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(texts[lo : lo + 500], add_special_tokens=False)]
+        assert enc.encode(texts[lo : lo + 500]) == want
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_special_strings_are_read_as_the_library_does(name):
+    enc, library = Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    marks = [x.content for x in library.get_added_tokens_decoder().values()]
+    assert marks
+    for mark in [*marks, *(x.upper() for x in marks), "<|", "<|x|>"]:
+        for text in (mark, f"a {mark} b", f"a{mark}b.", f"{mark}{mark}", f"one {mark}\ntwo"):
+            assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
 def test_packing_holds_each_id_once(spark):
