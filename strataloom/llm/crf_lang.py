@@ -5,8 +5,9 @@ hashed to a fixed number of weights. Transitions are learned from sequences that
 stretches of the labelled documents. Labels of words come from forward-backward over whole documents, computed in blocks
 of words whose transfer matrices are multiplied first, so that a long document is not a long loop.
 
-The field is fitted on the driver to a bounded sample: at most `most_rows` labelled rows of at most `most_bytes` bytes, the
-first in the order of a fixed hash of the id. All else is computed for every row and every word.
+The field is fitted on the driver to a bounded sample: of each language of all labelled rows an equal part of `most_rows`
+rows, but LEAST_ROWS at least, the first in the order of a fixed hash of id and text. A text of more than `most_bytes` bytes
+is in the sample with a stretch of it, which the same hash places. All else is computed for every row and every word.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import small_batches
 from .textscan import _BASE, _BASE_INVERSE, _BYTE, Words, _powers, mix, slices, stream, text_buffers, tidied
@@ -25,6 +27,8 @@ BITS = 16
 BLOCK = 64
 MOST_ROWS = 1200
 MOST_BYTES = 1 << 14
+LEAST_ROWS = 20
+MOST_LANGUAGES = 1000
 LEXICON = 400
 SLICE = 1 << 20
 
@@ -39,7 +43,10 @@ class Crf:
     lexicon: list[np.ndarray]
 
     def emissions(self, words: Words, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        feats, owner = word_features(words.data, words.start[at], words.stop[at], hashes, self.lexicon)
+        # The bytes of distinct words alone, which are few beside those of a long text.
+        size = words.stop[at] - words.start[at]
+        start = np.cumsum(size) - size
+        feats, owner = word_features(words.data[_ranged(words.start[at], size)[0]], start, start + size, hashes, self.lexicon)
         out = np.empty((len(at), len(self.languages)), np.float32)
         for k in range(out.shape[1]):
             out[:, k] = np.bincount(owner, self.weights[feats, k], len(at))
@@ -236,13 +243,29 @@ def fit(languages: list[str], texts: list[str], labels: list[int], epochs: int =
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> Crf:
-    """The field of a bounded sample of docs; rows of null language or text, or of more than most_bytes, are not sampled."""
-    rows = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes))
-    # The sample's last hash first, from the hashes alone: each task would else send as many whole texts.
-    cut = [r.h for r in rows.select("h").orderBy("h").limit(most_rows).collect()]
-    sample = rows.where(F.col("h") <= cut[-1]).orderBy("h", "lang", F.xxhash64("text")).limit(most_rows).collect() if cut else []
-    languages = sorted({r.lang for r in sample})
+    """The field of a bounded sample of docs.
+
+    Rows of null language or text aren't learned from; equal rows count once. Every language of the labelled rows is
+    learned, however rare. Without a labelled row the field has no language.
+    """
+    text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
+    rows = docs.select(F.xxhash64(F.col(id_col).cast("string"), text).alias("h"), text.alias("text"), lang.alias("lang")).where("lang is not null and text is not null")
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has over {MOST_LANGUAGES} values")
+    languages = sorted(counts)
+    if not languages:
+        return fit([], [], [])
+    each = max(LEAST_ROWS, most_rows // len(languages))
+    # Hashes up to a bound hold the first `each` of a language but for a chance of some 1e-9; so few rows are sorted.
+    share = {x: min(1.0, (each + 6 * each**0.5 + 20) / n) for x, n in counts.items()}
+    bound = F.create_map(*(F.lit(v) for x in languages for v in (x, min(int((2 * share[x] - 1) * 2**63), 2**63 - 1))))
+    few = rows.where(F.col("h") <= bound[F.col("lang")])
+    size, most = F.length("text"), most_bytes // 4
+    place = F.when((F.octet_length("text") > most_bytes) & (size > most), F.substring("text", F.pmod("h", size - most + 1).cast("int") + 1, F.lit(most))).otherwise(F.col("text"))
+    few = few.select("lang", "h", place.alias("text")).dropDuplicates(["lang", "h", "text"])
+    first = Window.partitionBy("lang").orderBy("h", "text")
+    sample = few.withColumn("place", F.row_number().over(first)).where(F.col("place") <= each).orderBy("h", "lang", "text").collect()
     return fit(languages, [r.text for r in sample], [languages.index(r.lang) for r in sample])
 
 
@@ -315,17 +338,34 @@ def label_words(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(_runs(crf), f"doc_id {kind}, runs array<struct<start: bigint, words: bigint, lang: string>>")
 
 
-def keep(docs: DataFrame, crf: Crf, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs in a known language with a score of `least` or more, with docs' columns, whatever those are called."""
+def keep(docs: DataFrame, crf: Crf, text_col: str = "text", least: float = 0.5, lang_col: str = "lang") -> DataFrame:
+    """The rows of docs in a learned language with a score of `least` or more, with docs' columns, whatever those are called.
+
+    lang_col, where docs has it, gets the predicted language. A null text, or one without a letter, goes; repeated rows stay
+    or go together. A field that has learned no language can't tell, so all rows stay as they are.
+    """
+    if not crf.languages:
+        return docs
     small_batches(docs.sparkSession)
     inner = _predict(crf)
     at = docs.columns.index(text_col)
+    label = docs.columns.index(lang_col) if lang_col in docs.columns else None
+    kind = docs.schema[text_col].dataType.simpleString()
+    if kind != "string" or (label is not None and docs.schema[lang_col].dataType.simpleString() != "string"):
+        raise ValueError("the text and language columns hold strings")
 
     def run(batches):
         for batch in batches:
             texts = pa.record_batch([pa.nulls(batch.num_rows), batch.column(at)], names=["doc_id", "text"])
-            parts = [pa.array(np.array([x != "und" for x in b.column(1).to_pylist()], bool) & (b.column(2).to_numpy() >= least)) for b in inner([texts])]
-            yield batch.filter(pa.concat_arrays(parts) if parts else pa.array([], pa.bool_()))
+            parts = list(inner([texts]))
+            if not parts:
+                continue
+            said = pa.concat_arrays([b.column(1) for b in parts])
+            good = np.concatenate([b.column(2).to_numpy() for b in parts]) >= least
+            good &= said.to_numpy(zero_copy_only=False) != "und"
+            if label is not None:
+                batch = batch.set_column(label, batch.schema.field(label), said.cast(batch.schema.field(label).type))
+            yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(tidied(run), docs.schema)
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_CHUNK = 1 << 18
+_STEP, _STEP_BACK = pow(_BASE, _CHUNK, 1 << 64), pow(_BASE_INVERSE, _CHUNK, 1 << 64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -98,6 +100,37 @@ def slices(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]
         lo = hi
 
 
+
+def _spans_hashed(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The polynomial hash of data[start:stop] for sorted spans that don't overlap.
+
+    Eight-byte values exist for one chunk of the bytes at a time, so that a long text takes a few bytes of memory for each of its own.
+    """
+    out, low = np.empty(len(start), np.uint64), np.empty(len(start), np.uint64)
+    power, inverse = _powers(_BASE, _CHUNK), _powers(_BASE_INVERSE, _CHUNK)
+    sums, carry, scale, back = np.zeros(_CHUNK + 1, np.uint64), np.uint64(0), 1, 1
+    done_start = done_stop = 0
+    with np.errstate(over="ignore"):
+        for at in range(0, len(data), _CHUNK):
+            part = data[at : at + _CHUNK]
+            m = len(part)
+            terms = _BYTE[part]
+            terms *= power[:m]
+            np.cumsum(terms, out=sums[1 : m + 1])
+            sums[1 : m + 1] *= np.uint64(scale)
+            sums[: m + 1] += carry
+            i, j = int(np.searchsorted(start, at + m)), int(np.searchsorted(stop, at + m, "right"))
+            here = start[done_start:i] - at
+            low[done_start:i] = sums[here]
+            out[done_start:i] = inverse[here] * np.uint64(back)
+            high = sums[stop[done_stop:j] - at]
+            out[done_stop:j] *= high - low[done_stop:j]
+            done_start, done_stop, carry = i, j, sums[m]
+            sums[0] = 0
+            scale, back = scale * _STEP & _MASK, back * _STEP_BACK & _MASK
+    return out
+
+
 class Words:
     """The words of one slice: byte bounds, 64-bit hashes, and each document's first word."""
 
@@ -122,9 +155,5 @@ class Words:
         self.stop = np.flatnonzero(solid & ~after) + 1
         self.first = np.searchsorted(self.start, offsets)
         if hashed:
-            terms = _BYTE[data]
-            terms *= _powers(_BASE, n)
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(terms, out=sums[1:])
-            h = (sums[self.stop] - sums[self.start]) * _powers(_BASE_INVERSE, n)[self.start]
+            h = _spans_hashed(data, self.start, self.stop)
             self.hashes = mix(h + (self.stop - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

@@ -104,6 +104,36 @@ def test_the_sample_is_bounded(spark):
     assert crf_lang.train(docs.withColumn("lang", F.lit(None).cast("string"))).languages == []
 
 
+def test_rare_languages_and_long_texts_are_learned(spark):
+    rows = corpus(3000) + [(10_000 + i, " ".join(VOCABULARY["de"][::-1] * 900), "xx") for i in range(2)] + [(20_000, "the and of", "en")] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    crf = crf_lang.train(docs, most_rows=200, most_bytes=4096)
+    assert crf.languages == ["de", "en", "fr", "xx"]
+
+
+def test_unlabelled_and_mislabelled_corpora(spark):
+    crf = crf_lang.train(spark.createDataFrame(corpus(), "doc_id long, text string, lang string"))
+    french = spark.createDataFrame([(i, " ".join(VOCABULARY["fr"]), "en" if i % 2 else None) for i in range(20)], "doc_id long, text string, lang string")
+    assert [r.lang for r in crf_lang.keep(french, crf).collect()] == ["fr"] * 20
+    plain = french.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(crf_lang.keep(plain, crf_lang.train(plain)).collect()) == sorted(plain.collect())
+    assert crf_lang.keep(french.drop("lang"), crf).count() == 20
+
+
+def test_hashes_don_t_depend_on_chunks():
+    rng = random.Random(6)
+    text = "".join(rng.choice("abc \n") for _ in range(700_000)) + " " + "x" * 400_000 + " abc"
+    words = Words(*text_buffers(pa.array([text])))
+    want = {}
+    for a, b, h in zip(words.start.tolist(), words.stop.tolist(), words.hashes.tolist(), strict=True):
+        assert want.setdefault(text[a:b], h) == h
+    assert len(set(want.values())) == len(want)
+    alone = Words(*text_buffers(pa.array(["x" * 400_000])))
+    same = want["x" * 400_000] == alone.hashes[0]
+    assert same
+    assert want["abc"] == Words(*text_buffers(pa.array(["abc"]))).hashes[0]
+
+
 def test_word_scan():
     texts = ["a b\tc", None, "", " x\n\n yy ", "é\x0bf"]
     data, offsets = text_buffers(pa.array(texts))

@@ -32,6 +32,14 @@ def test_run_equals_the_stages_one_by_one(spark):
     assert {(r.doc_id, r.start, r.ids_crc32) for r in got} == want and len(got) == len(want)
 
 
+def test_an_unlabelled_corpus_stays(spark):
+    prose = "the water of this house was there when night came and eight would go"
+    docs = spark.createDataFrame([(i, f"{prose} {i}", None, None, 60) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = stage(spark, docs, "")
+    assert docs.count() == 60
+
+
 def test_one_of_each_group_stays(spark):
     docs = edge_docs(spark).select("doc_id", "text", "lang", "source", "n_chars")
     groups = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).where("doc_id is not null").collect()}
