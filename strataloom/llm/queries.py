@@ -88,16 +88,18 @@ QUERIES = {
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-_RATES = [("symbol_rate", 300, 3), ("dup_rate", 4000, 3), ("repeat_rate", 5000, 3), ("mean_word", 1200, 6)]
-_TOP = "CASE WHEN b < 32 THEN b ELSE ((b - 32 * ((b - 16) // 32) + 1) << ((b - 16) // 32)::INT) - 1 END"
+#: (metric, percentile, spread) of the rules.
+_RATES = [("symbol_rate", 75, 3), ("dup_rate", 99, 1), ("repeat_rate", 99, 1), ("mean_word", 75, 6)]
+_TOP = "CASE WHEN b < 128 THEN b ELSE ((b - 64 * ((b - 64) // 64) + 1) << ((b - 64) // 64)::INT) - 1 END"
+_BOTTOM = "CASE WHEN b < 128 THEN b ELSE (b - 64 * ((b - 64) // 64)) << ((b - 64) // 64)::INT END"
 
 
-def _quartiles(keys: str, tag: str) -> str:
-    by = f"{keys}, metric"
+def _quantiles(keys: str, tag: str) -> str:
+    by = f"{keys}, metric, level"
     return f"""
 {tag}_sum AS (SELECT {by}, b, sum(n) AS n FROM sketch GROUP BY {by}, b),
 {tag}_cum AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY b) AS seen, sum(n) OVER (PARTITION BY {by}) AS total FROM {tag}_sum),
-{tag} AS (SELECT {by}, max(total) AS n, min({_TOP}) FILTER (4 * seen >= total) AS q1, min({_TOP}) FILTER (4 * seen >= 3 * total) AS q3 FROM {tag}_cum GROUP BY {by})"""
+{tag} AS (SELECT {by}, max(total) AS n, min({_BOTTOM}) FILTER (100 * seen >= (100 - level) * total) AS low, min({_TOP}) FILTER (100 * seen >= level * total) AS high FROM {tag}_cum GROUP BY {by})"""
 
 
 _QUALITY_SQL = f"""
@@ -112,23 +114,23 @@ base AS (SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array
   len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_lines, 0) AS n_lines,
   coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN ln ON ln.doc_id = w.doc_id LEFT JOIN rep ON rep.doc_id = w.doc_id),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  coalesce(10000 * n_symbols // nullif(word_chars, 0), 0) AS symbol_rate, coalesce(10000 * n_dup_lines // nullif(n_lines, 0), 0) AS dup_rate,
-  coalesce(10000 * n_repeat_words // nullif(n_words, 0), 0) AS repeat_rate, coalesce(100 * word_chars // nullif(n_words, 0), 0) AS mean_word FROM base),
-long AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS metric, {s} AS slack, {k} AS spread, {m}::BIGINT AS v FROM f" for m, s, k in _RATES)}),
-sketch AS (SELECT lang, source, 1 AS one, metric, CASE WHEN v < 32 THEN v ELSE (v >> (length(bin(v)) - 5)::INT) + 32 * (length(bin(v)) - 5) END AS b,
+  coalesce(10000 * greatest(n_symbols - 1, 0) // nullif(word_chars, 0), 0) AS symbol_rate, coalesce(10000 * greatest(n_dup_lines - 1, 0) // nullif(n_lines, 0), 0) AS dup_rate,
+  coalesce(10000 * greatest(n_repeat_words - 10, 0) // nullif(n_words, 0), 0) AS repeat_rate, coalesce(100 * word_chars // nullif(n_words, 0), 0) AS mean_word FROM base),
+long AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS metric, {q} AS level, {k} AS spread, {m}::BIGINT AS v FROM f" for m, q, k in _RATES)}),
+sketch AS (SELECT lang, source, 1 AS one, metric, level, CASE WHEN v < 128 THEN v ELSE (v >> (length(bin(v)) - 7)::INT) + 64 * (length(bin(v)) - 7) END AS b,
   sum((NOT base_failed)::INT) AS n FROM long GROUP BY ALL),
-{_quartiles("lang, source", "fine")}, {_quartiles("lang", "coarse")}, {_quartiles("one", "whole")},
+{_quantiles("lang, source", "fine")}, {_quantiles("lang", "coarse")}, {_quantiles("one", "whole")},
 bad AS (SELECT DISTINCT doc_id FROM long l
   JOIN fine a ON a.lang IS NOT DISTINCT FROM l.lang AND a.source IS NOT DISTINCT FROM l.source AND a.metric = l.metric
   JOIN coarse c ON c.lang IS NOT DISTINCT FROM l.lang AND c.metric = l.metric JOIN whole g ON g.metric = l.metric
-  WHERE v > CASE WHEN a.n >= 100 THEN greatest(slack, a.q3 + spread * (a.q3 - a.q1)) WHEN c.n >= 100 THEN greatest(slack, c.q3 + spread * (c.q3 - c.q1))
-    ELSE greatest(slack, g.q3 + spread * (g.q3 - g.q1)) END)
+  WHERE v > CASE WHEN a.n >= 100 THEN a.high + spread * (a.high - a.low) WHEN c.n >= 100 THEN c.high + spread * (c.high - c.low)
+    ELSE g.high + spread * (g.high - g.low) END)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM f
 """
 
 _ANY_CASE = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 _ASSIGN = f"({_ANY_CASE})[\"\'\']?\\x20*[:=]\\x20*[\"\'\']?([A-Za-z0-9+/_.=-]+)"
-_KIND_SQL = {"assign": _ASSIGN, "access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}", "secret": "[A-Za-z0-9+/=]{40,}", "endpoint": "https?://[^\\x00-\\x20\"\'\'<>]+"}
+_KIND_SQL = {"assign": _ASSIGN, "access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}", "secret": "[A-Za-z0-9+/]{40,}=?", "endpoint": "https?://[^\\x00-\\x20\"\'\'<>]+"}
 _SECRETS_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 c AS ({" UNION ALL ".join(f"SELECT doc_id, {k} AS kind, regexp_split_to_array(text, '{x}') AS gaps, regexp_extract_all(text, '{x}', 0) AS found, regexp_extract_all(text, '{x}', {2 if k == 0 else 0}) AS part FROM d WHERE regexp_matches(text, '{x}')" for k, x in enumerate(_KIND_SQL.values()))}),

@@ -29,16 +29,26 @@ SCOPE = 400
 SPAN = "struct<start: bigint, stop: bigint>"
 
 
+#: Matches, or code points, that are folded one after the other; longer arrays and texts are folded in parts of so many.
+PART = 128
+PIECE = 4096
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once for a row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _spans(text: Column, pattern: str, group_least: int = 0) -> Column:
     """Code-point spans of the pattern's leftmost non-overlapping matches; with group_least, group 1 has so many characters.
 
-    The gaps between matches and the matches alternate, so running sums of their lengths are the bounds.
+    The gaps between matches and the matches alternate, so running sums of their lengths are the bounds. A fold copies its
+    array at each step, so parts of PART matches are folded by themselves, each from the sum of the parts before it.
     """
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long"))
     found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.length(x).cast("long"))
     sized = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.length(x)) if group_least else found
-    parts = F.arrays_zip(gaps.alias("gap"), found.alias("found"), sized.alias("inner"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    zero, none = F.lit(0).cast("long"), F.array().cast(f"array<{SPAN}>")
 
     def step(a: Column, x: Column) -> Column:
         begin = a["at"] + x["gap"]
@@ -47,20 +57,31 @@ def _spans(text: Column, pattern: str, group_least: int = 0) -> Column:
         span = F.array(F.struct(begin.alias("start"), end.alias("stop")))
         return F.struct(end.alias("at"), F.when(fits, F.concat(a["out"], span)).otherwise(a["out"]).alias("out"))
 
-    none = F.array().cast(f"array<{SPAN}>")
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda a: a["out"])).otherwise(none)
+    def bounds(every: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / PART).cast("int")), lambda k: F.slice(every, k * PART + 1, F.lit(PART)))
+
+        def of_parts(parts: Column) -> Column:
+            length = lambda part: F.aggregate(part, zero, lambda a, x: a + x["gap"] + F.coalesce(x["found"], zero))
+            starts = F.aggregate(parts, F.array(zero), lambda a, part: F.concat(a, F.array(F.element_at(a, -1) + length(part))))
+            fold = lambda part, at: F.aggregate(part, F.struct(at.alias("at"), none.alias("out")), step, lambda a: a["out"])
+            return _let(starts, lambda s: F.flatten(F.transform(parts, lambda part, k: fold(part, s[k]))))
+
+        return _let(cut, of_parts)
+
+    parts = F.arrays_zip(gaps.alias("gap"), found.alias("found"), sized.alias("inner"))
+    return F.when(text.rlike(pattern), _let(parts, bounds)).otherwise(none)
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, place, assign, access, hex, secret, endpoint) with an array of spans for each kind; no text.
 
-    place is the text's fingerprint: rows of equal id and text share it, and so all their links.
+    place is the text's SHA-256: rows of equal id and text share it, and so all their links.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     t = F.col("text")
     return rows.select(
-        "doc_id", F.xxhash64("text", F.length("text")).alias("place"),
+        "doc_id", F.unhex(F.sha2("text", 256)).alias("place"),
         _spans(t, ASSIGN, ASSIGN_LEAST).alias("assign"), _spans(t, ACCESS).alias("access"), _spans(t, HEX).alias("hex"),
         _spans(t, SECRET).alias("secret"), _spans(t, ENDPOINT).alias("endpoint"),
     )
@@ -128,16 +149,27 @@ def redact(docs: DataFrame, text_col: str = "text", scope: int = SCOPE, mark: st
     """
     names = {"place": "_secret_place", "id": "_secret_id", "found": "_secret_found"}
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    here = docs.withColumn(names["id"], F.xxhash64(text, F.length(text)))
+    here = docs.withColumn(names["id"], F.unhex(F.sha2(text, 256)))
     found = scan(here.select(F.col(names["id"]).alias("doc_id"), F.col(text_col).alias("text")), scope=scope)
     found = found.where(F.size("found") > 0).groupBy("doc_id").agg(F.first("found").alias(names["found"])).withColumnRenamed("doc_id", names["place"])
     found = materialize(found, "found")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.concat(F.substring(text, a["at"].cast("int") + 1, F.greatest((s["start"] - a["at"]).cast("int"), F.lit(0))), F.lit(mark))
-        return F.struct(F.when(s["stop"] <= a["at"], a["out"]).when((s["start"] < a["at"]) & (a["at"] > 0), a["out"]).otherwise(F.concat(a["out"], gap)).alias("out"), F.greatest(a["at"], s["stop"]).alias("at"))
+    def cut(piece: Column, k: Column) -> Column:
+        # What the spans leave of the code points from `low`; a mark is put where its span starts.
+        low, size = k.cast("long") * PIECE, F.length(piece)
+        own = F.filter(names["found"], lambda s: (s["stop"] > low) & (s["start"] < low + size))
+
+        def step(a: Column, s: Column) -> Column:
+            begin, end = s["start"] - low, s["stop"] - low
+            gap = F.substring(piece, a["at"].cast("int") + 1, F.greatest((begin - a["at"]).cast("int"), F.lit(0)))
+            joined = (begin < 0) | ((begin < a["at"]) & (a["at"] > 0))
+            return F.struct(F.when(joined, a["out"]).otherwise(F.concat(a["out"], gap, F.lit(mark))).alias("out"), F.greatest(a["at"], end).alias("at"))
+
+        return F.aggregate(own, start, step, lambda a: F.concat(a["out"], F.substring(piece, F.least(a["at"], size).cast("int") + 1, size)))
 
-    cut = F.aggregate(names["found"], start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"].cast("int") + 1, F.length(text))))
-    out = here.join(found, F.col(names["id"]) == F.col(names["place"]), "left").withColumn(text_col, F.when(F.col(names["found"]).isNotNull(), cut).otherwise(F.col(text_col)))
+    # Pieces of a text are cut each by itself, since places in a string are counted from its start.
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    clean = F.array_join(F.transform(pieces, cut), "")
+    out = here.join(found, F.col(names["id"]) == F.col(names["place"]), "left").withColumn(text_col, F.when(F.col(names["found"]).isNotNull(), clean).otherwise(F.col(text_col)))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
