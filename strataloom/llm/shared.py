@@ -14,6 +14,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     top = conf.get("spark.checkpoint.dir")
     if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = getattr(spark.sparkContext, "_strataloom_shared", None)
         if top is None:
             top = "file://" + tempfile.mkdtemp(prefix="strataloom-")
