@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir as the cluster names it; a folder of our own only where it is unset."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark.sparkContext, "_strataloom_folder", None)
+    if not top and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not top:
         top = spark.sparkContext._strataloom_folder = "file://" + tempfile.mkdtemp(prefix="strataloom-")
     folder = f"{top.rstrip('/')}/graph-{spark.sparkContext.applicationId}"
