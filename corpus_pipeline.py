@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, language ID, near-dedup, secret scan, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs, what its predecessor kept; all but the last return
-the columns of documents. run() writes each stage's rows in the shared folder and reads them back for the next.
+the columns of documents. Repeated rows are judged alike, other columns are carried along, and an empty table gives an
+empty result. run() writes each stage's rows in the shared folder and reads them back for the next.
 """
 
 from __future__ import annotations
@@ -15,28 +16,31 @@ from strataloom.llm.shared import materialize
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and their group's thresholds.
 
-    The base rules are wide here, because a short text, or one that repeats a line, can be clean.
+    The base rules are wide here, because a short text, or one that repeats a line, can be clean. Null and blank texts go.
     """
     return quality.apply(docs, least_words=1, most_repeated=60)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language, with its label where they had none or another."""
+    """Documents in a learned language, labelled with it. Where no document has a label, all stay as they are."""
     return crf_lang.keep(docs, crf_lang.train(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more.
+
+    Rows without an id or a word stay.
+    """
     return minhash.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their secrets replaced by a mark."""
+    """All documents, with their secrets replaced by a mark. A null text stays null."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 1024 tokens."""
+    """The pieces of all documents in sequences of at most 1024 tokens. A null text is its end id alone."""
     import public_tokenizers
 
     # Workers outlive the stage, so they remember less here than in a job of its own.
