@@ -82,6 +82,26 @@ def release(*tables: DataFrame) -> None:
             fs.delete(p, True)
 
 
+def put(uri: str, blob: bytes) -> None:
+    """Write a file by a path of any store that Arrow knows; it appears whole, also if a task runs twice."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with store.open_output_stream(part) as f:
+        f.write(blob)
+    store.move(part, path)
+
+
+def get(uri: str) -> bytes:
+    """The bytes of a file that put() wrote."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(path) as f:
+        return f.read()
+
+
 def local_shared_path(spark: SparkSession, path: str) -> str:
     """The POSIX path of a shared path; memory-mapped files need one."""
     fs, p = _hadoop_path(spark, path)

@@ -5,6 +5,9 @@ token: its rank's bytes less one; a document's last one is filled up with zeros)
 small ranks, so most take one byte. A reader looks up each control byte in a table of lengths and gathers the bytes with
 numpy; it needs no loop over tokens.
 
+Documents stand in ascending id order. Shards are ranges of ids, cut by quantiles of the ids alone; the rows of one id, or of
+no id, that are too many for a shard are several shards. Files are written and read by any path that Arrow and Spark know.
+
 File: b"SLVB", version (1 byte), 3 zero bytes, documents, control bytes, data bytes (8 bytes each); then doc ids (8 bytes
 each), null flags (1 each), token counts (8 each), control bytes, data bytes. All little-endian. "ranks" holds the ids by
 rank.
@@ -12,10 +15,10 @@ rank.
 
 from __future__ import annotations
 
-import os
+import math
 import struct
-import uuid
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import local_shared_path, materialize, new_path, release, small_batches
+from .shared import _hadoop_path, get, materialize, new_path, put, release, small_batches
 from .textscan import slices, text_buffers, tidied
 from .tokens import encoder
 
 SHARD_TOKENS = 4_000_000
+MOST_PARTITIONS = 20_000
 MAGIC = b"SLVB\x01\0\0\0"
 #: For each control byte, the lengths of its four values.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
@@ -120,18 +124,79 @@ def _frequencies(kind: str):
     return tidied(run)
 
 
-def _coded(kind: str, rank_of: np.ndarray):
+@dataclass(frozen=True)
+class Shards:
+    """Which shard a document goes to: buckets of ids, the first for null ids, and how many shards each bucket is."""
+
+    bounds: np.ndarray  # the least id of each bucket after the second
+    parts: np.ndarray  # shards of each bucket
+
+    @property
+    def count(self) -> int:
+        return int(self.parts.sum())
+
+    def bucket(self, ids: pa.Array) -> np.ndarray:
+        at = 1 + np.searchsorted(self.bounds, ids.fill_null(0).to_numpy(), "right")
+        return np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, at)
+
+    def shard(self, ids: pa.Array, salt: np.ndarray) -> np.ndarray:
+        bucket = self.bucket(ids)
+        return (np.cumsum(self.parts) - self.parts)[bucket] + salt % self.parts[bucket]
+
+    def numbered(self):
+        """(bucket, doc_id, tokens) rows of (doc_id, tokens)."""
+
+        def run(batches):
+            for batch in batches:
+                yield pa.record_batch([pa.array(self.bucket(batch.column(0)), pa.int64()), batch.column(0), batch.column(1)], names=["bucket", "doc_id", "tokens"])
+
+        return tidied(run)
+
+
+def _cuts(values: list[int]) -> np.ndarray:
+    """Bounds from quantiles; a value that is several quantiles is a bucket of its own."""
+    several = {x for x, y in zip(values, values[1:], strict=False) if x == y}
+    return np.array(sorted(set(values) | {x + 1 for x in several}), np.int64)
+
+
+def _quantiles(rows: DataFrame, n: int):
+    at = [k / n for k in range(1, n)]
+    return F.percentile_approx("doc_id", at, 20 * n) if at else F.array().cast("array<bigint>")
+
+
+def _shards(tokens: DataFrame, shard_tokens: int) -> Shards:
+    """Shards of about shard_tokens tokens for (doc_id, tokens).
+
+    Quantiles of quantiles: each sketch holds the square root of the number of shards. What goes to the driver is a row for each shard.
+    """
+    rows = tokens.select("doc_id", "tokens")
+    n = max(1, (rows.agg(F.sum("tokens").alias("n")).first().n or 0) // shard_tokens)
+    k = math.ceil(math.sqrt(n))
+    shape = "bucket long, doc_id long, tokens long"
+    coarse = Shards(_cuts(rows.agg(_quantiles(rows, k).alias("q")).first().q or []), np.ones(1, np.int64))
+    fine = rows.where("doc_id is not null").mapInArrow(coarse.numbered(), shape).groupBy("bucket").agg(_quantiles(rows, math.ceil(n / k)).alias("q")).collect()
+    bounds = np.union1d(coarse.bounds, np.concatenate([np.zeros(0, np.int64), *(_cuts(r.q) for r in fine)]))
+    cut = Shards(bounds, np.ones(len(bounds) + 2, np.int64))
+    sizes = rows.mapInArrow(cut.numbered(), shape).groupBy("bucket").agg(F.sum("tokens").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).collect()
+    for r in sizes:
+        if r.lo == r.hi:
+            cut.parts[r.bucket] = max(1, r.n // shard_tokens)
+    return cut
+
+
+def _coded(kind: str, rank_of: np.ndarray, shards: Shards):
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(3))
             for lo, hi in slices(offsets):
-                counts = batch.column(2).slice(lo, hi - lo).to_numpy()
+                ids, counts = batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo).to_numpy()
+                shard = shards.shard(ids, batch.column(1).slice(lo, hi - lo).to_numpy())
                 control, coded, sizes = encode(rank_of[data[offsets[lo] : offsets[hi]].view(kind)], counts)
                 controls, coded, blobs, c, d = control.tobytes(), coded.tobytes(), [], 0, 0
                 for n, size in zip((-(-counts // 4)).tolist(), sizes.tolist(), strict=True):
                     blobs.append(controls[c : c + n] + coded[d : d + size])
                     c, d = c + n, d + size
-                yield pa.record_batch([*(batch.column(i).slice(lo, hi - lo) for i in range(3)), pa.array(blobs, pa.binary())], names=["doc_id", "shard", "tokens", "code"])
+                yield pa.record_batch([ids, pa.array(shard, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "shard", "tokens", "code"])
 
     return tidied(run)
 
@@ -139,8 +204,8 @@ def _coded(kind: str, rank_of: np.ndarray):
 def write(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Write the shard files of docs into a shared folder; returns the manifest (shard, file, docs, tokens).
 
-    Documents stand in ascending id order, null ids first; shards are ranges of ids, cut by quantiles of the ids alone.
-    A null or empty text is its end id alone; equal ids stand in the order of their lengths and codes.
+    Documents stand in ascending id order, null ids first; rows of an equal id stand in any order, fixed once written. A
+    null or empty text is its end id alone. Other columns are ignored; an empty table gives no file but the ranks.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -154,24 +219,21 @@ def write(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_
     table = counted.orderBy(F.desc("n"), "id").select("id").toPandas().id.to_numpy(np.int64)
     ranks = np.zeros(int(table.max()) + 1 if len(table) else 1, np.uint32)
     ranks[table] = np.arange(len(table), dtype=np.uint32)
-    local = local_shared_path(spark, folder)
-    os.makedirs(local, exist_ok=True)
-    _replace(f"{local}/ranks", table.astype("<u4").tobytes())
+    fs, there = _hadoop_path(spark, folder)
+    fs.mkdirs(there)
+    put(f"{folder}/ranks", table.astype("<u4").tobytes())
 
-    sizes = tokens.agg(F.sum("tokens").alias("b"), F.count("doc_id").alias("n")).first()
-    n = max(1, min((sizes.b or 0) // shard_tokens, 100_000))
-    at = [k / n for k in range(1, n)]
-    cuts = tokens.agg(F.percentile_approx("doc_id", at, 20 * n)).first()[0] if at and sizes.n else []
-    cuts = sorted(set(cuts or []))
-    shard = F.expr(_bucket(cuts))
-    coded = tokens.select("doc_id", shard.cast("long").alias("shard"), "tokens", "ids").mapInArrow(_coded(kind, ranks), "doc_id long, shard long, tokens long, code binary")
+    shards = _shards(tokens, shard_tokens)
+    # A written row's place is the same whenever it is read, and differs for equal rows.
+    salt = F.shiftrightunsigned(F.xxhash64("_metadata.file_name", "_metadata.row_index"), 1)
+    coded = tokens.select("doc_id", salt.alias("salt"), "tokens", "ids").mapInArrow(_coded(kind, ranks, shards), "doc_id long, shard long, tokens long, code binary")
 
     def save(batches):
         open_, docs_, nulls, counts, controls, data = None, [], [], [], [], []
 
         def close():
             name = f"{open_:08d}.slvb"
-            _replace(f"{local}/{name}", shard_file(docs_, nulls, counts, controls, data))
+            put(f"{folder}/{name}", shard_file(docs_, nulls, counts, controls, data))
             row = [pa.array([open_], pa.int64()), pa.array([name]), pa.array([len(docs_)], pa.int64()), pa.array([sum(counts)], pa.int64())]
             return pa.record_batch(row, names=["shard", "file", "docs", "tokens"])
 
@@ -190,7 +252,10 @@ def write(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_
         if open_ is not None:
             yield close()
 
-    ordered = coded.repartition("shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "tokens", "code")
+    # A partition for each shard, or for a few neighbours where there are very many.
+    partitions = min(shards.count, MOST_PARTITIONS)
+    placed = coded.repartitionById(partitions, F.expr(f"cast(shard * {partitions} div {shards.count} as int)"))
+    ordered = placed.sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "tokens", "code")
     manifest = materialize(ordered.mapInArrow(save, "shard long, file string, docs long, tokens long"), "manifest")
     release(tokens)
     return manifest
@@ -202,28 +267,9 @@ def _vocabulary(path: str) -> int:
     return max(Tokenizer.from_file(path).get_vocab().values()) + 1
 
 
-def _bucket(cuts: list[int]) -> str:
-    """SQL for the number of cuts at or under doc_id, by halving; -1 for null."""
-
-    def half(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"if(doc_id < {cuts[mid]}, {half(lo, mid)}, {half(mid + 1, hi)})"
-
-    return f"if(doc_id is null, 0, {half(0, len(cuts))})"
-
-
-def _replace(path: str, blob: bytes) -> None:
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with open(part, "wb") as f:
-        f.write(blob)
-    os.replace(part, path)
-
-
-def _read(local: str):
+def _read(folder: str):
     def run(pdfs):
-        table = np.fromfile(f"{local}/ranks", "<u4")
+        table = np.frombuffer(get(f"{folder}/ranks"), "<u4")
         for pdf in pdfs:
             for start, blob in zip(pdf.start, pdf.content, strict=True):
                 docs, nulls, counts, ranks = read_shard(blob)
@@ -240,17 +286,18 @@ def _read(local: str):
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone but for the shards' order."""
-    spark = manifest.sparkSession
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.slvb").load(folder)
+    files = manifest.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.slvb").load(folder)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     # One row for each shard file: the order is over files, not over documents.
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = manifest.select("file", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("start"))
-    local = local_shared_path(spark, folder)
-    return files.join(F.broadcast(starts), "file").select("start", "content").mapInPandas(_read(local), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.join(starts, "file").select("start", "content").mapInPandas(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, path: str, **options) -> DataFrame:
-    """Write docs into a new shared folder and read the files back."""
+    """(doc_id, start, n_tokens, ids_crc32) of each row of docs, written into a new shared folder and read back from its files.
+
+    Nulls, repeated rows, other columns and empty tables are as in write().
+    """
     folder = new_path(docs.sparkSession, "tokens")
     return read(write(docs, path, folder, **options), folder)

@@ -1,3 +1,4 @@
+import functools
 import random
 import struct
 import zlib
@@ -18,30 +19,35 @@ from .data import edge_docs, empty_docs
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
 
+@functools.cache
+def library(name):
+    """The tokenizer as its file has it."""
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
 def direct(name, text, end):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    return [*t.encode(text or "", add_special_tokens=False).ids, end]
+    return [*library(name).encode(text or "", add_special_tokens=False).ids, end]
 
 
 @pytest.mark.parametrize("name", FILES)
 def test_chunks_give_the_librarys_ids(name):
     rng = random.Random(1)
     parts = ["a", "B", " ", ".", ",", "\n", "é", "e\u0301", "\u00a0", "  ", "\t", "!", "'s", "1", "x.", "\u2003", "Σ", "İ", "漢", "|", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "\x1c", "the ", "word, ", "\r\n", "\0"]
-    enc, library = Encoder(public_tokenizers.path(name), most_chunks=50), Tokenizer.from_file(public_tokenizers.path(name))
+    enc = Encoder(public_tokenizers.path(name), most_chunks=50)
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
     for lo in range(0, len(texts), 500):
-        want = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(texts[lo : lo + 500], add_special_tokens=False)]
+        want = [np.array(x.ids, "<u4").tobytes() for x in library(name).encode_batch(texts[lo : lo + 500], add_special_tokens=False)]
         assert enc.encode(texts[lo : lo + 500]) == want
 
 
 @pytest.mark.parametrize("name", FILES)
 def test_special_strings_are_read_as_the_library_does(name):
-    enc, library = Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
-    marks = [x.content for x in library.get_added_tokens_decoder().values()]
+    enc = Encoder(public_tokenizers.path(name))
+    marks = [x.content for x in library(name).get_added_tokens_decoder().values()]
     assert marks
     for mark in [*marks, *(x.upper() for x in marks), "<|", "<|x|>"]:
         for text in (mark, f"a {mark} b", f"a{mark}b.", f"{mark}{mark}", f"one {mark}\ntwo"):
-            assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+            assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == library(name).encode(text, add_special_tokens=False).ids, text
 
 
 def test_packing_holds_each_id_once(spark):
@@ -115,6 +121,19 @@ def test_control_bytes(docs):
         at += n
 
 
+def test_hot_ids_are_several_shards(spark):
+    rows = [(7 if i % 3 else i, f"some words {i}") for i in range(900)] + [(None, "no id here")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = new_path(spark, "t")
+    manifest = vbyte.write(docs, public_tokenizers.path(FILES[1]), folder, shard_tokens=200)
+    assert max(r.tokens for r in manifest.collect()) < 900 and manifest.count() > 15
+    got = sorted(vbyte.read(manifest, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 300 + sorted(i for i, _ in rows if i is not None)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
+    want = sorted(zlib.crc32(np.array(direct(FILES[1], x, 2), "<u4").tobytes()) for _, x in rows)
+    assert sorted(r.ids_crc32 for r in got) == want
+
+
 def test_unknown_file():
     with pytest.raises(ValueError):
         vbyte.read_shard(b"NOPE\0\0\0\0" + struct.pack("<QQQ", 0, 0, 0))
