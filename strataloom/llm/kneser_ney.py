@@ -1,6 +1,7 @@
 """Interpolated modified Kneser-Ney trigram model: counted in Spark, kept as sorted arrays, memory-mapped by workers.
 
-The vocabulary is a sorted array of 64-bit word hashes, cut into shards by hash range; a word's id is its place in it. A
+The vocabulary is a sorted array of 64-bit word hashes, cut into shards by hash range, with each word's id. Frequent words have
+small ids, so that blocks of them are compressed well: ids go by quarters of the count's logarithm, shard and hash. A
 bigram's key is (id of its first word) * 2^32 + (id of its second); its shard is a hash of the key, so that neither a
 frequent word nor a frequent pair makes a large shard. A shard has its bigrams' sorted keys, and for each the range of its
 followers in the shard's array of trigrams, which are sorted third words. Texts start with two start signs and close with one end.
@@ -14,7 +15,7 @@ to the driver or broadcast. What goes to the driver is a few rows of totals for
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import math
 import os
 import struct
@@ -24,10 +25,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import local_shared_path, new_path, small_batches
+from .shared import brief_shuffles, local_shared_path, new_path, small_batches
 from .textscan import Words, mix, slices, stream, text_buffers, tidied
 
 END = stream(11, 1)[0]
@@ -69,6 +70,11 @@ def _heads(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[_heads(x)]
+
+
 def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = np.sort(x)
     heads = _heads(x)
@@ -129,11 +135,11 @@ def _triple_blocks(contexts: np.ndarray, words: np.ndarray, shards: int):
     """(shard, block) of a slice's trigrams: steps of distinct contexts, entries of each, third words, counts."""
     if not len(words):
         return
-    distinct = np.unique(contexts)
+    distinct, place = np.unique(contexts, return_inverse=True)
     order, at = _dealt(distinct, shards)
     rank = np.empty(len(order), np.uint64)
     rank[order] = np.arange(len(order), dtype=np.uint64)
-    both, counts = _counted((rank[np.searchsorted(distinct, contexts)] << HALF) | words)
+    both, counts = _counted((rank[place] << HALF) | words)
     both, counts, _ = _bytes_of(both, counts)
     place = (both >> HALF).astype(np.int64)
     sizes = np.bincount(place, minlength=len(order)).astype(np.uint32)
@@ -148,7 +154,7 @@ def _merge_triples(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     """(sorted contexts, bounds of their entries, third words, counts) of blocks; at most 2^24 contexts."""
     parts = [_unpack(x) for x in blobs]
     keys = [np.cumsum(x[0], dtype=np.uint64) for x in parts]
-    contexts = np.unique(np.concatenate(keys))
+    contexts = _distinct(np.concatenate(keys))
     if len(contexts) >= 1 << 24:
         raise ValueError("a shard has too many contexts; WORDS_PER_SHARD is too large")
     # Place, word and count of an entry are one number, so that one sort of plain numbers merges all.
@@ -187,28 +193,30 @@ def _map(path: str, name: str, kind) -> np.ndarray:
     return np.memmap(file, kind, "r") if os.path.getsize(file) else np.zeros(0, kind)
 
 
+def _rank(counts: np.ndarray) -> np.ndarray:
+    """Quarters of the logarithm of counts of 1 or more."""
+    return np.floor(4 * np.log2(counts.astype(np.float64))).astype(np.int16)
+
+
 def _fixed(log: np.ndarray) -> np.ndarray:
     return np.minimum(np.rint(-STEPS * log), 65535).astype(np.uint16)
 
 
 @dataclass
 class Model:
-    """Where the arrays are, and the totals. Sent to workers; holds a number for each shard of the vocabulary.
+    """Where the arrays are, and the totals. Sent to workers.
 
-    Arrays of a shard: v hash and count of words; u by word id log-probability, backoff weight and sum of counts; c the keys of
+    Arrays of a shard: v hash, count and id of words; u by word id log-probability, backoff weight and sum of counts; c the keys of
     bigrams that something follows; e those of bigrams that only an end makes; t the third words.
     """
 
     folder: str
-    words: np.ndarray  # ids before each vocabulary shard, and their number
+    word_shards: int
     shards: int
-    tokens: int
+    vocabulary: int = 0
+    tokens: int = 0
     unknown: float = 0.0
 
-    @property
-    def vocabulary(self) -> int:
-        return int(self.words[-1])
-
     @property
     def start(self) -> np.uint64:
         """The key of the two start signs."""
@@ -216,7 +224,7 @@ class Model:
 
     @property
     def hash_cuts(self) -> np.ndarray:
-        n = len(self.words) - 1
+        n = self.word_shards
         return np.array([(s << 64) // n for s in range(1, n)], np.uint64)
 
     @property
@@ -224,18 +232,19 @@ class Model:
         """The first id of each id shard after the first; ids run to the vocabulary's size, that of the start sign."""
         return np.array([s * (self.vocabulary + 1) // self.shards for s in range(1, self.shards)], np.uint64)
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of sorted distinct hashes; vocabulary + 1 for unknown words."""
-        out = np.full(len(hashes), self.vocabulary + 1, np.uint64)
+    def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, training counts) of sorted distinct hashes; vocabulary + 1 and 0 for unknown words."""
+        ids, counts = np.full(len(hashes), self.vocabulary + 1, np.uint64), np.zeros(len(hashes), np.int64)
         at = np.concatenate([[0], np.searchsorted(hashes, self.hash_cuts), [len(hashes)]])
-        for s in range(len(self.words) - 1):
+        for s in np.flatnonzero(np.diff(at)).tolist():
             have = self._cached(f"v{s}", "hash", np.uint64)
-            if at[s + 1] > at[s] and len(have):
+            if len(have):
                 want = hashes[at[s] : at[s + 1]]
                 pos = np.minimum(np.searchsorted(have, want), len(have) - 1)
                 hit = have[pos] == want
-                out[at[s] : at[s + 1]][hit] = pos[hit].astype(np.uint64) + np.uint64(self.words[s])
-        return out
+                ids[at[s] : at[s + 1]][hit] = self._cached(f"v{s}", "id", np.uint32)[pos[hit]]
+                counts[at[s] : at[s + 1]][hit] = self._cached(f"v{s}", "count", np.uint64)[pos[hit]]
+        return ids, counts
 
     def of_ids(self, name: str, kind, ids: np.ndarray, missing) -> np.ndarray:
         """Values that arrays by id hold."""
@@ -250,17 +259,6 @@ class Model:
                 out[rows] = self._cached(f"u{s}", name, kind)[ranked[at[s] : at[s + 1]].astype(np.int64) - lows[s]]
         return out
 
-    def counts(self, ids: np.ndarray) -> np.ndarray:
-        """Training counts by id; 0 for unknown words."""
-        out = np.zeros(len(ids), np.int64)
-        order = np.argsort(ids, kind="stable")
-        at = np.searchsorted(ids[order], self.words.astype(np.uint64))
-        for s in range(len(self.words) - 1):
-            rows = order[at[s] : at[s + 1]]
-            if len(rows):
-                out[rows] = self._cached(f"v{s}", "count", np.uint64)[ids[rows].astype(np.int64) - int(self.words[s])]
-        return out
-
     def bigrams(self, keys: np.ndarray, followed: bool = False) -> list[np.ndarray]:
         """[log10 probability] of sorted distinct keys, NaN where unseen; with followed also backoff weight, shard and bounds
         of the followers."""
@@ -341,10 +339,10 @@ def _count_words(cuts: np.ndarray):
     return tidied(run)
 
 
-def _ids_of(model: Model, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct word ids, each token's place among them)."""
-    distinct = np.unique(tokens)
-    return model.ids(distinct), np.searchsorted(distinct, tokens)
+def _ids_of(model: Model, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of distinct words, their training counts, each token's place among them)."""
+    distinct, place = np.unique(tokens, return_inverse=True)
+    return *model.ids(distinct), place
 
 
 def _pairs(model: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -369,7 +367,7 @@ def _count_triples(model: Model):
             data, offsets = text_buffers(batch.column(0))
             for lo, hi in slices(offsets, SLICE):
                 tokens, first = _sequences(data, offsets[lo : hi + 1])
-                known, place = _ids_of(model, tokens)
+                known, _, place = _ids_of(model, tokens)
                 ids = known[place]
                 contexts = _contexts(model, _pairs(model, ids, first), first)
                 for shard, block in _triple_blocks(contexts, ids, model.shards):
@@ -406,16 +404,11 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_FIELDS).astype({"to": "int32", "kind": "int32"})
 
 
-def _forget(spark: SparkSession) -> None:
-    """Let Spark delete the shuffles that no plan refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def train(texts: DataFrame, column: str = "text") -> Model:
     """The model of all rows of texts (null: empty). An empty table gives a model that knows no word."""
     spark = texts.sparkSession
     small_batches(spark)
+    brief_shuffles(spark)
     texts = texts.select(F.col(column).cast("string").alias("text"))
     place = new_path(spark, "kneser-ney")
     folder = local_shared_path(spark, place)
@@ -424,22 +417,22 @@ def train(texts: DataFrame, column: str = "text") -> Model:
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     # Vocabularies grow by a power of the text under one.
     n = max(least, math.ceil((size / (1 << 26)) ** 0.75))
-    model = Model(folder, np.zeros(n + 1, np.int64), n, 0)
+    model = Model(folder, n, least)
 
     def vocabulary(pdf: pd.DataFrame) -> pd.DataFrame:
         s = int(pdf.shard.iloc[0])
         keys, counts = _merge(pdf.block)
         _save(f"{folder}/v{s}", hash=keys, count=counts)
-        return pd.DataFrame({"shard": [s], "n": [len(keys)], "tokens": [int(counts.sum())]})
+        of = _rank(counts)
+        sizes = np.bincount(of)
+        return pd.DataFrame({"shard": s, "rank": np.arange(len(sizes)), "n": sizes, "tokens": np.bincount(of, counts.astype(np.float64)).astype(np.int64)})
 
     blocks = texts.mapInArrow(_count_words(model.hash_cuts), "shard int, block binary")
-    totals = {r.shard: r for r in blocks.groupBy("shard").applyInPandas(vocabulary, "shard int, n long, tokens long").collect()}
-    del blocks
-    _forget(spark)
-    for s in set(range(n)) - set(totals):
-        _save(f"{folder}/v{s}", hash=np.zeros(0, np.uint64), count=np.zeros(0, np.uint64))
-    model.words = np.concatenate([[0], np.cumsum([totals[s].n if s in totals else 0 for s in range(n)])])
-    model.tokens = sum(r.tokens for r in totals.values())
+    ranks = blocks.groupBy("shard").applyInPandas(vocabulary, "shard int, rank int, n long, tokens long").where("n > 0").collect()
+    before, model.tokens = {}, sum(r.tokens for r in ranks)
+    for r in sorted(ranks, key=lambda r: (-r.rank, r.shard)):
+        before[r.shard, r.rank] = model.vocabulary
+        model.vocabulary += r.n
     if model.vocabulary >= (1 << 32) - 2:
         raise ValueError("ids of 32 bits don't hold this vocabulary")
     model.shards = shards = max(least, math.ceil(model.tokens / WORDS_PER_SHARD))
@@ -453,7 +446,7 @@ def train(texts: DataFrame, column: str = "text") -> Model:
             _save_counts(f"{folder}/{part}{s}", none)
         _save(f"{folder}/u{s}", **{x: np.zeros(highs[s] - lows[s], np.float64 if x == "sum" else np.uint32) for x in ("cont", "sum", "n1", "n2", "n3")})
 
-    def each_shard(step) -> None:
+    def each_shard(step, number: int = shards) -> None:
         """step(s) for every shard, on the cluster."""
 
         def run(batches):
@@ -462,7 +455,7 @@ def train(texts: DataFrame, column: str = "text") -> Model:
                     step(s)
                     yield pa.record_batch([pa.array([s], pa.int64())], names=["id"])
 
-        spark.range(0, shards, 1, shards).mapInArrow(tidied(run), "id long").write.format("noop").mode("overwrite").save()
+        spark.range(0, number, 1, number).mapInArrow(tidied(run), "id long").write.format("noop").mode("overwrite").save()
 
     def triples(pdf: pd.DataFrame) -> pd.DataFrame:
         s = int(pdf.shard.iloc[0])
@@ -515,12 +508,23 @@ def train(texts: DataFrame, column: str = "text") -> Model:
         _save(f"{folder}/u{s}", **dense)
         return _frame([_totals(1, dense["cont"])])
 
+    def numbered(s: int) -> None:
+        counts = np.asarray(_map(f"{folder}/v{s}", "count", np.uint64))
+        of = _rank(counts)
+        order = np.argsort(of, kind="stable")
+        ids, sizes = np.empty(len(of), np.uint32), np.bincount(of)
+        for rank, (size, end) in enumerate(zip(sizes.tolist(), np.cumsum(sizes).tolist(), strict=True)):
+            if size:
+                ids[order[end - size : end]] = before[s, rank] + np.arange(size)
+        _save(f"{folder}/v{s}", id=ids)
+
+    for s in set(range(n)) - {r.shard for r in ranks}:
+        _save(f"{folder}/v{s}", hash=np.zeros(0, np.uint64), count=np.zeros(0, np.uint64))
+    each_shard(numbered, n)
     each_shard(empty)
     counted = texts.mapInArrow(_count_triples(model), "shard int, block binary").groupBy("shard").applyInPandas(triples, ROW)
     counted = counted.groupBy("to").applyInPandas(pairs, ROW).groupBy("to").applyInPandas(words, ROW)
     sums = [r for r in counted.drop("block").collect() if r.to == TOTALS]
-    del counted
-    _forget(spark)
     total = {k: {f: sum(r[f] for r in sums if r.kind == k) for f in ("total", "n1", "n2", "n3", "n4", "more")} for k in (1, 2, 3)}
     cut = {k: discounts(*(t[f] for f in ("n1", "n2", "n3", "n4"))) for k, t in total.items()}
     spare = sum(d * total[1][f] for d, f in zip(cut[1][1:], ("n1", "n2", "more"), strict=True))
@@ -552,13 +556,19 @@ def train(texts: DataFrame, column: str = "text") -> Model:
         sums_ = np.maximum(np.bincount(of, counts, len(keys)), 1)
         back = np.bincount(of, less, len(keys)) / sums_ if len(keys) else np.zeros(0)
         lower = ((keys & LOW)[of] << HALF) | third
-        distinct = np.unique(lower)
+        distinct, place = np.unique(lower, return_inverse=True)
         low = 10.0 ** model.bigrams(distinct)[0].astype(np.float64)
-        p = np.maximum(counts - less, 0) / sums_[of] + back[of] * low[np.searchsorted(distinct, lower)] if len(keys) else np.zeros(0)
+        p = np.maximum(counts - less, 0) / sums_[of] + back[of] * low[place] if len(keys) else np.zeros(0)
         _save(f"{folder}/t{s}", logp=_fixed(np.log10(p)))
         _save(f"{folder}/c{s}", back=_fixed(np.log10(back)))
 
-    for step in (word_logs, pair_logs, triple_logs):
+    def only_logs(s: int) -> None:
+        for part in ("c", "e", "t", "u"):
+            for name in ("count", "many", "full", "cont", "sum", "n1", "n2", "n3"):
+                with contextlib.suppress(FileNotFoundError):
+                    os.remove(f"{folder}/{part}{s}.{name}")
+
+    for step in (word_logs, pair_logs, triple_logs, only_logs):
         each_shard(step)
     return model
 
@@ -571,19 +581,18 @@ def _score(model: Model):
             data, offsets = text_buffers(batch.column(2))
             for lo, hi in slices(offsets, SLICE):
                 tokens, first = _sequences(data, offsets[lo : hi + 1])
-                known, place = _ids_of(model, tokens)
-                counts = model.counts(known)
+                known, counts, place = _ids_of(model, tokens)
                 base = np.log10((counts + 1) / (n + v + 1))[place]
                 seen = (counts > 0)[place]
                 ids = known[place]
                 pairs = _pairs(model, ids, first)
-                distinct = np.unique(np.append(pairs, model.start))
-                at = np.searchsorted(distinct, pairs)
+                distinct, at = np.unique(np.append(pairs, model.start), return_inverse=True)
                 logp, back, shard, low, high = model.bigrams(distinct, followed=True)
                 # The two tokens before one are the pair of the token before it.
+                at, start_at = at[:-1], at[-1]
                 context = np.empty(len(at), np.int64)
                 context[1:] = at[:-1]
-                context[first[:-1]] = np.searchsorted(distinct, model.start)
+                context[first[:-1]] = start_at
                 third = model.trigrams(shard[context], low[context], high[context], ids.astype(np.uint32)).astype(np.float64)
                 words = model.of_ids("logp", np.float32, known, np.float32(math.log10(model.unknown)))
                 backs = model.of_ids("back", np.float32, known, np.float32(0))

@@ -88,7 +88,8 @@ def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
             grams = mix(grams)
         for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             if hi - lo >= k:
-                out.append(np.unique(grams[lo : hi - k + 1]))
+                values = np.sort(grams[lo : hi - k + 1])
+                out.append(values[np.append(True, values[1:] != values[:-1])])
             elif hi > lo:
                 part = (h[lo:hi] * weights[: hi - lo]).sum(dtype=np.uint64) + np.uint64(hi - lo)
                 out.append(mix(np.array([part], np.uint64)))

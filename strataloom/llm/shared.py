@@ -40,6 +40,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{top}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def brief_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the files of a query's shuffles when the query ends, unless the session has its own setting.
+
+    Operators here write what later queries need, so a shuffle outlives its use; without this it stays until the driver's
+    heap is collected.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, "true")
+
+
 def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -47,6 +58,7 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     Spark itself decides about broadcasts.
     """
     path = new_path(df.sparkSession, name)
+    brief_shuffles(df.sparkSession)
     df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._strataloom_path = path

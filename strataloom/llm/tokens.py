@@ -30,7 +30,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        # One that doesn't look for special tokens, for texts that have none.
+        self.library, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
         #: The strings of special tokens, in small letters.
         self.special = sorted({x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()})
         #: Signs that all of them start with, so that one search tells that a text has none.
@@ -44,8 +46,9 @@ class Encoder:
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token.removesuffix("</w>"))
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str], special: bool = False) -> list[bytes]:
+        tokenizer = self.library if special else self.tokenizer
+        return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def blanked(self, chunks: list[str]) -> list[bytes]:
         """The ids of each chunk, which starts with a blank: all are encoded as one text, then cut where their bytes end."""
@@ -121,7 +124,7 @@ class Encoder:
         known.update(zip(first, self.bare([x[1:] for x in first]), strict=True))
         known.update(zip(rest, self.blanked([" " + x for x in rest]), strict=True))
         known.setdefault("\0\n", self.line)
-        odd = iter(self.whole([x for x, ok in zip(texts, plain, strict=True) if not ok]))
+        odd = iter(self.whole([x for x, ok in zip(texts, plain, strict=True) if not ok], special=True))
         look = known.__getitem__
         return [b"".join(map(look, chunks)) if ok else next(odd) for chunks, ok in zip(cut, plain, strict=True)]
 
