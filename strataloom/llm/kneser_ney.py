@@ -386,6 +386,36 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return np.array([0.0, 0.5, 1.0, 1.5])
 
 
+def _grouped(rows: DataFrame, key: str, parts: int, step, schema: str) -> DataFrame:
+    """step(pandas rows of one key) for each key; keys are numbered, and each of `parts` tasks has one, or a few in turn."""
+    names = rows.columns
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            keys = batch.column(names.index(key)).to_numpy()
+            bounds = np.append(_heads(keys), len(keys))
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if keys[lo] != at and held:
+                    yield from done(held)
+                    held = []
+                at = keys[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from done(held)
+
+    def done(held):
+        out = step(pa.Table.from_batches(held).to_pandas())
+        yield from pa.Table.from_pandas(out, _arrow(schema), preserve_index=False).to_batches()
+
+    return rows.repartitionById(parts, F.pmod(key, F.lit(parts)).cast("int")).sortWithinPartitions(key).mapInArrow(tidied(run), schema)
+
+
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))])
+
+
 ROW = "to int, kind int, block binary, total long, n1 long, n2 long, n3 long, n4 long, more long"
 _FIELDS = ["to", "kind", "block", "total", "n1", "n2", "n3", "n4", "more"]
 #: `to` of rows that hold an order's totals and go on to the driver.
@@ -428,7 +458,7 @@ def train(texts: DataFrame, column: str = "text") -> Model:
         return pd.DataFrame({"shard": s, "rank": np.arange(len(sizes)), "n": sizes, "tokens": np.bincount(of, counts.astype(np.float64)).astype(np.int64)})
 
     blocks = texts.mapInArrow(_count_words(model.hash_cuts), "shard int, block binary")
-    ranks = blocks.groupBy("shard").applyInPandas(vocabulary, "shard int, rank int, n long, tokens long").where("n > 0").collect()
+    ranks = _grouped(blocks, "shard", n, vocabulary, "shard int, rank int, n long, tokens long").where("n > 0").collect()
     before, model.tokens = {}, sum(r.tokens for r in ranks)
     for r in sorted(ranks, key=lambda r: (-r.rank, r.shard)):
         before[r.shard, r.rank] = model.vocabulary
@@ -522,8 +552,8 @@ def train(texts: DataFrame, column: str = "text") -> Model:
         _save(f"{folder}/v{s}", hash=np.zeros(0, np.uint64), count=np.zeros(0, np.uint64))
     each_shard(numbered, n)
     each_shard(empty)
-    counted = texts.mapInArrow(_count_triples(model), "shard int, block binary").groupBy("shard").applyInPandas(triples, ROW)
-    counted = counted.groupBy("to").applyInPandas(pairs, ROW).groupBy("to").applyInPandas(words, ROW)
+    counted = _grouped(texts.mapInArrow(_count_triples(model), "shard int, block binary"), "shard", shards, triples, ROW)
+    counted = _grouped(_grouped(counted, "to", shards, pairs, ROW), "to", shards, words, ROW)
     sums = [r for r in counted.drop("block").collect() if r.to == TOTALS]
     total = {k: {f: sum(r[f] for r in sums if r.kind == k) for f in ("total", "n1", "n2", "n3", "n4", "more")} for k in (1, 2, 3)}
     cut = {k: discounts(*(t[f] for f in ("n1", "n2", "n3", "n4"))) for k, t in total.items()}

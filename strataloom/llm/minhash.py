@@ -8,8 +8,9 @@
    posterior is Beta(m + 1, n - m + 1); a pair goes as soon as P(similarity >= threshold) falls under `miss`. Survivors
    are confirmed on their full sets.
 4. Buckets whose members are still in different components form families. There, every member outside the family's
-   largest component is compared, by the same verification, with all members of other components, in bounded blocks, so
-   that no link between components is lost; links within a component change nothing and are skipped.
+   largest component is compared, by the same verification, with all members of other components that are near enough in
+   size, in bounded blocks, so that no link between components is lost; links within a component change nothing and are
+   skipped. Size classes are as wide as the threshold allows, so only neighbouring ones meet.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from .textscan import Words, mix, slices, stream, text_buffers, tidied
 
 BLOCK = 512
 CHUNK = 2048
+GROUP_ROWS = 500
 STEP = 20
 
 
@@ -194,7 +196,7 @@ def _compare_family(plan: Plan):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         links = []
-        for _, g in pdf.groupby(["fam", "block", "chunk"], sort=False):
+        for _, g in pdf.groupby(["fam", "size", "block", "chunk"], sort=False):
             left, right = g[g.side == 0], g[g.side == 1]
             if not len(left) or not len(right):
                 continue
@@ -291,17 +293,24 @@ def _family_links(plan: Plan, edges: DataFrame, labels: DataFrame, reps: DataFra
     """Links (a, b) between different components of each family of candidates."""
     family = materialize(connected_components(edges), "family").withColumnRenamed("component", "fam")
     tagged = materialize(family.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "tagged")
-    sizes = tagged.groupBy("fam", "component").agg(F.count("*").alias("c"))
-    sizes = sizes.groupBy("fam").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("m"))
-    sizes = sizes.select("fam", F.col("top.component").alias("main"), "m", (F.col("m") - F.col("top.c")).alias("strays"))
-    sizes = sizes.where("strays > 0").withColumn("blocks", F.ceil(F.col("strays") / BLOCK)).withColumn("chunks", F.ceil(F.col("m") / CHUNK))
-    rows = tagged.join(sizes, "fam").withColumn("stray", F.col("component") != F.col("main"))
+    sizes = tagged.groupBy("fam", "component").agg(F.count("*").alias("c")).groupBy("fam").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("m"))
+    sizes = sizes.where("m > top.c").select("fam", F.col("top.component").alias("main"))
+    # Two sets whose similarity reaches the threshold are at most one class apart; the factor keeps rounding on that side.
+    size = F.floor(F.log("n") / math.log(plan.den / plan.num) * 0.999999) if plan.num < plan.den else F.col("n")
+    rows = tagged.join(sizes, "fam").withColumn("stray", F.col("component") != F.col("main")).join(reps.select("id", "n"), "id").withColumn("size", size).drop("main", "n")
+    rows = materialize(rows, "open_families")
+    near = rows.withColumn("size", F.explode(F.array(*(F.col("size") + k for k in (-1, 0, 1)))))
+    parts = near.groupBy("fam", "size").agg(F.count("*").alias("m"))
+    parts = rows.where("stray").groupBy("fam", "size").agg(F.count("*").alias("strays")).join(parts, ["fam", "size"])
+    parts = materialize(parts.select("fam", "size", "m", F.ceil(F.col("strays") / BLOCK).alias("blocks"), F.ceil(F.col("m") / CHUNK).alias("chunks")), "parts")
     h = F.xxhash64("id", F.lit(7))
-    left = rows.where("stray").withColumn("side", F.lit(0)).withColumn("block", F.pmod(h, "blocks")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    right = rows.withColumn("side", F.lit(1)).withColumn("chunk", F.pmod(h, "chunks")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    both = left.unionByName(right).select("fam", "block", "chunk", "side", "id", "component", "stray", "m")
-    # Families of a few members share a group; larger ones have a group for each pair of blocks.
-    group = F.when(F.col("m") <= 64, F.pmod(F.xxhash64("fam"), F.lit(4096))).otherwise(F.xxhash64("fam", "block", "chunk"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = rows.where("stray").join(parts, ["fam", "size"]).withColumn("side", F.lit(0)).withColumn("block", F.pmod(h, "blocks")).withColumn("chunk", upto("chunks"))
+    right = near.join(parts, ["fam", "size"]).withColumn("side", F.lit(1)).withColumn("chunk", F.pmod(h, "chunks")).withColumn("block", upto("blocks"))
+    both = left.unionByName(right).select("fam", "size", "block", "chunk", "side", "id", "component", "stray", "m")
+    # Parts of a few members share a group; larger ones have a group for each pair of blocks.
+    groups = max(4096, near.count() // GROUP_ROWS)
+    group = F.when(F.col("m") <= 64, F.pmod(F.xxhash64("fam", "size"), F.lit(groups))).otherwise(F.xxhash64("fam", "size", "block", "chunk"))
     both = both.withColumn("gid", group).join(reps, "id").join(values, "id").drop("m")
     return both.groupBy("gid").applyInPandas(_compare_family(plan), "a long, b long")
 

@@ -1,4 +1,7 @@
-"""The training-data queries, each over the whole of its table."""
+"""The training-data queries, each over the whole of its table.
+
+Other columns than those that a query names are ignored, and empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -13,10 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as the samples of a TIFF page and back: nulls are empty texts, repeated rows give repeated results."""
     return tiff.digests(_table(spark, sf_dir, "documents"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages learned from two thirds of the labelled documents, predicted for all; `und` for null texts and those without a letter."""
     docs = _table(spark, sf_dir, "documents")
     crf = crf_lang.train(docs.where(~crf_lang.held_out()))
     out = crf_lang.predict(docs, crf)
@@ -24,6 +29,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents of similarity 0.85 or more over three-word shingles; null and blank texts are linked with nothing."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, threshold=0.85)
 
 
@@ -34,10 +40,12 @@ def _tokenizer(name: str) -> str:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids in sequences of 1024; a null text is its end id alone."""
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
 def op5_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four best segmentations of each document; scores and digests as text. A null text has no pieces."""
     out = nbest.encode(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
     scores = F.array_join(F.transform("scores", lambda x: F.round(x, 4).cast("string")), ",")
     said = {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("nbest_pieces", "nbest_crc32")}
@@ -45,14 +53,17 @@ def op5_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of each document; a null text has counts of 0 and fails the base rules."""
     return quality.report(_table(spark, sf_dir, "documents"))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids through shard files; a null text is its end id alone."""
     return vbyte.round_trip(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in each document; a null text has none."""
     return secrets.report(_table(spark, sf_dir, "documents"))
 
 
@@ -61,11 +72,18 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of each page; a null url has an empty host and path."""
     model = url_filter.train(url_filter.default_labels(spark))
     return url_filter.judge(_table(spark, sf_dir, "pages"), model, URL_RULES)
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10's hosts, paths and rules, which SQL can express."""
+    return url_filter.ruled(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document under a model of six sevenths of them; a null text is its end alone."""
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     model = kneser_ney.train(docs.where(~held_out))
@@ -83,6 +101,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op10_url_filter": op10_url_filter,
     "op9_lm_score": op9_lm_score,
+    "url_rules": url_rules,
 }
 
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
@@ -148,7 +167,18 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM d LEFT JOIN agg ON agg.doc_id = d.doc_id
 """
 
+#: Longer rules first.
+_RULES_SQL = """
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+r AS (SELECT * FROM (VALUES ('block', 'example.org', '/en/1'), ('block', 'example.org', '/es/'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/'), ('allow', 'org', '/')) AS t(verdict, host, path))
+SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.verdict AS rule_verdict
+FROM p LEFT JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+QUALIFY row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) = 1
+"""
+
 ORACLES: dict[str, str] = {
+    "url_rules": _RULES_SQL,
     "op8_secret_scan": _SECRETS_SQL,
     "op6_quality_rules": _QUALITY_SQL,
     "op3_near_dedup": f"""

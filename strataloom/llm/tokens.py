@@ -13,6 +13,8 @@ import re
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MOST_CHUNKS = 1_000_000
 #: A full stop or comma that ends a Latin word before a blank or the text's end is a piece of its own.
@@ -84,18 +86,18 @@ class Encoder:
             return len(chunk.lower().encode()) - 1
         return len("".join(self.tokenizer.normalizer.normalize_str(chunk).split()).encode())
 
-    def cut(self, text: str) -> list[str]:
-        """The chunks of a plain text; "\0" marks one that has no blank before it.
+    def marked(self, text: str) -> str:
+        """A plain text with a blank between its chunks; "\0" marks one that has no blank before it.
 
         Where blanks leave no trace in the ids, chunks need no mark; and where letters become small, those of texts in the
         first 256 characters can do so here.
         """
         if self.ends:
-            return _STOP.sub(r" \g<0>", text.lower() if _narrow(text) else text).split()
+            return _STOP.sub(r" \g<0>", text.lower() if _narrow(text) else text)
         text = "\0" + text
         if "\n" in text and not any(x in text for x in _LINES) and text[1] != "\n" and text[-1] != "\n":
             text = text.replace("\n", " \0\n \0")
-        return _STOP.sub(r" \0\g<0>", text).split(" ")
+        return _STOP.sub(r" \0\g<0>", text)
 
     def plain(self, text: str) -> bool:
         if _ODD.search(text) or "\0" in text or (self.special and self._marked(text)):
@@ -108,25 +110,40 @@ class Encoder:
         text = text.lower()
         return any(x in text for x in self.special)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; the texts' new chunks are encoded together."""
+    def _found(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk; those that aren't known are encoded together."""
         known = self.known
-        plain = [self.plain(x) for x in texts]
-        cut = [self.cut(x) if ok else () for x, ok in zip(texts, plain, strict=True)]
-        every: set[str] = set()
-        for chunks in cut:
-            every.update(chunks)
-        new = [x for x in every if x not in known]
+        found = list(map(known.get, chunks))
+        new = [x for x, ids in zip(chunks, found, strict=True) if ids is None]
+        if not new:
+            return found
         if len(known) + len(new) > self.most_chunks:
             known.clear()
-            new = list(every)
-        first, rest = [x for x in new if x[0] == "\0" and x != "\0\n"], [x for x in new if x[0] != "\0"]
+            new = chunks
+        first, rest = [x for x in new if x[:1] == "\0" and x != "\0\n"], [x for x in new if x and x[0] != "\0"]
         known.update(zip(first, self.bare([x[1:] for x in first]), strict=True))
         known.update(zip(rest, self.blanked([" " + x for x in rest]), strict=True))
         known.setdefault("\0\n", self.line)
+        if "" in new:
+            known[""] = b"" if self.ends else self.blanked([" "])[0]
+        return [known[x] if ids is None else ids for x, ids in zip(chunks, found, strict=True)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Arrow cuts the texts and finds the distinct chunks, numpy puts the ids of chunks together."""
+        plain = [self.plain(x) for x in texts]
         odd = iter(self.whole([x for x, ok in zip(texts, plain, strict=True) if not ok], special=True))
-        look = known.__getitem__
-        return [b"".join(map(look, chunks)) if ok else next(odd) for chunks, ok in zip(cut, plain, strict=True)]
+        marked = pa.array([self.marked(x) for x, ok in zip(texts, plain, strict=True) if ok], pa.large_string())
+        cut = pc.ascii_split_whitespace(marked) if self.ends else pc.split_pattern(marked, " ")
+        bounds, chunks = cut.offsets.to_numpy(), cut.flatten().dictionary_encode()
+        distinct, index = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
+        found = self._found(distinct)
+        size = np.array([len(x) for x in found], np.int64) // 4
+        ids, start, n = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size, size[index]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        raw = ids[np.arange(int(ends[-1])) + np.repeat(start[index] - ends[:-1], n)].tobytes()
+        at = (4 * ends[bounds - bounds[0]]).tolist()
+        done = iter([raw[a:b] for a, b in zip(at, at[1:], strict=False)])
+        return [next(done) if ok else next(odd) for ok in plain]
 
 
 def _narrow(text: str) -> bool:

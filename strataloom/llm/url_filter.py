@@ -16,16 +16,23 @@ FEATURES = 1 << 14
 GRAMS = (3, 4, 5)
 MOST_LABELS = 10_000
 
-# The default labelled table, words of hosts and paths to block or to allow, and the shapes of their URLs.
+# Words of hosts and paths to block or to allow, the forms they take, and the shapes of URLs.
 BLOCK_WORDS = ["casino", "poker", "betting", "slots", "porn", "xxx", "escort", "viagra", "pills", "torrent", "warez", "crack", "keygen", "malware", "phish", "payday", "loans", "replica", "spam", "hacked"]
 ALLOW_WORDS = ["news", "wiki", "docs", "blog", "science", "library", "school", "museum", "recipes", "history", "garden", "travel", "weather", "music", "books", "health", "sports", "code", "forum", "example"]
-SHAPES = ["https://{w}.site.com/", "http://www.{w}.net/home", "https://{w}-online.org/page/7", "http://m.site.net/{w}/index.html", "https://blog.{w}.info/2020/05/post?id=3", "http://shop.org/de/{w}#top"]
+FORMS = ["{w}", "{w}s", "my{w}", "{w}24", "best-{w}"]
+SHAPES = ["https://{w}.site.com/", "http://www.{w}.net/home", "https://{w}-online.org/page/7", "http://m.site.net/{w}/index.html", "https://blog.{w}.info/2020/05/post?id=3", "http://shop.org/de/{w}#top", "https://cdn.site.io/a/b/{w}.php", "http://{w}.example.net"]
 
 
-def default_labels(spark: SparkSession) -> DataFrame:
-    """(url, label) of the default table; label 1 is to block."""
-    rows = [(s.format(w=w), label) for label, words in ((1.0, BLOCK_WORDS), (0.0, ALLOW_WORDS)) for w in words for s in SHAPES]
-    return spark.createDataFrame(rows, "url string, label double")
+def default_labels(spark: SparkSession, held_out: bool | None = None) -> DataFrame:
+    """(url, label) of the default table, made by rule: forms of words in shapes, and URLs with a word of each list in host
+    and path, which are to block. label 1 is to block. held_out gives a fixed fifth of the table, or all but that."""
+    rows = [(s.format(w=f.format(w=w)), label) for label, words in ((1.0, BLOCK_WORDS), (0.0, ALLOW_WORDS)) for w in words for f in FORMS for s in SHAPES]
+    for i, bad in enumerate(BLOCK_WORDS):
+        for j, good in enumerate(ALLOW_WORDS):
+            if (i + j) % 4 == 0:
+                rows += [(f"https://{bad}.site.com/{good}/{i}", 1.0), (f"http://{good}.site.org/{bad}/{j}", 1.0), (f"http://{good}.site.org/{ALLOW_WORDS[i]}/{j}", 0.0)]
+    held = [i % 5 == 2 for i in range(len(rows))]
+    return spark.createDataFrame([r for r, h in zip(rows, held, strict=True) if held_out in (None, h)], "url string, label double")
 
 
 def _lower(x: Column) -> Column:
@@ -79,12 +86,23 @@ def _rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return F.array_max(F.array_compact(F.array(*fits))) if fits else F.lit(None).cast("struct<length: int, rule: string, verdict: string>")
 
 
+def ruled(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(page_id, host, path, rule, rule_verdict) for each row of pages; the last two are null where no rule fits.
+
+    rules are (verdict, host/path prefix); a rule fits its host and all subdomains, and the longest wins. A null url or one
+    without :// has an empty host and path and no rule. Repeated rows give repeated results; other columns are ignored; an
+    empty table gives an empty result.
+    """
+    host, path = parts(F.col(url_col).cast("string"))
+    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("fit", _rule(F.col("host"), F.col("path"), rules))
+    return rows.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("rule_verdict"))
+
+
 def judge(pages: DataFrame, model: LogisticRegressionModel, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", cut: float = 0.5) -> DataFrame:
     """(page_id, host, path, rule, verdict, block_score) for each row of pages.
 
-    rules are (verdict, host/path prefix); a rule fits its host and all subdomains, and the longest wins. Without a rule the
-    verdict is `block` where the model's probability is over `cut`. A null url or one without :// has an empty host and
-    path and no rule. Repeated rows give repeated results; other columns are ignored; an empty table gives an empty result.
+    Rules, nulls, repeated rows and empty tables are as in ruled(). Without a rule the verdict is `block` where the model's
+    probability is over `cut`.
     """
     rows = _vectors(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")))
     rows = model.setProbabilityCol("url_chance_").setRawPredictionCol("").setPredictionCol("").transform(rows)
