@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from .shared import materialize, small_batches
 from .textscan import slices, text_buffers, tidied
-from .tokens import MOST_CHUNKS, encoder
+from .tokens import MOST_CHUNKS, SLICE, encoder
 
 PIECES_PER_BUCKET = 250_000
 MIN_BUCKETS = 64
@@ -32,7 +32,7 @@ def _pieces(path: str, capacity: int, end_id: int, most_chunks: int):
         enc, tail = encoder(path, most_chunks), end_id.to_bytes(4, "little")
         for batch in batches:
             _, offsets = text_buffers(batch.column(1))
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, SLICE):
                 ids, texts = batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist()
                 rows = []
                 for doc, tokens in zip(ids, enc.encode([x or "" for x in texts]), strict=True):

@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 MOST_CHUNKS = 1_000_000
+#: Bytes of text that are encoded together; a larger part has fewer distinct chunks for each of its own.
+SLICE = 1 << 22
 #: A full stop or comma that ends a Latin word before a blank or the text's end is a piece of its own.
 _STOP = re.compile("[.,](?<=[A-Za-z0-9À-ÖØ-öø-įı-ɏ][.,])(?=[ \n]|$)")
 _LINES = ("\n\n", "\n ", "\t", "\r", "\x0b", "\x0c")
@@ -114,19 +116,22 @@ class Encoder:
         """The ids of each chunk; those that aren't known are encoded together."""
         known = self.known
         found = list(map(known.get, chunks))
-        new = [x for x, ids in zip(chunks, found, strict=True) if ids is None]
-        if not new:
+        if None not in found:
             return found
+        new = [x for x, ids in zip(chunks, found, strict=True) if ids is None]
         if len(known) + len(new) > self.most_chunks:
             known.clear()
-            new = chunks
+            new, found = chunks, [None] * len(chunks)
         first, rest = [x for x in new if x[:1] == "\0" and x != "\0\n"], [x for x in new if x and x[0] != "\0"]
         known.update(zip(first, self.bare([x[1:] for x in first]), strict=True))
         known.update(zip(rest, self.blanked([" " + x for x in rest]), strict=True))
         known.setdefault("\0\n", self.line)
         if "" in new:
             known[""] = b"" if self.ends else self.blanked([" "])[0]
-        return [known[x] if ids is None else ids for x, ids in zip(chunks, found, strict=True)]
+        if len(new) == len(chunks):
+            return list(map(known.__getitem__, chunks))
+        more = map(known.__getitem__, new)
+        return [next(more) if ids is None else ids for ids in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. Arrow cuts the texts and finds the distinct chunks, numpy puts the ids of chunks together."""

@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from .shared import _hadoop_path, get, materialize, new_path, put, release, small_batches
 from .textscan import slices, text_buffers, tidied
-from .tokens import encoder
+from .tokens import SLICE, encoder
 
 SHARD_TOKENS = 4_000_000
 MOST_PARTITIONS = 20_000
@@ -97,7 +97,7 @@ def _tokenized(path: str, end_id: int, wide: bool):
         enc, tail = encoder(path), end_id.to_bytes(4, "little")
         for batch in batches:
             _, offsets = text_buffers(batch.column(1))
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, SLICE):
                 texts = batch.column(1).slice(lo, hi - lo).to_pylist()
                 ids = [x + tail for x in enc.encode([x or "" for x in texts])]
                 counts = np.array([len(x) // 4 for x in ids], np.int64)
