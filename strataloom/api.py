@@ -219,13 +219,13 @@ class Session:
             seeds = g.internal().join(self.spark.createDataFrame([(x,) for x in paths], "file string"), "file", "left_semi").select(F.col("name").alias("seed")).distinct()
         seeds = written(seeds)
         reached = written(impact.reach(g, seeds, max_depth))
-        files = impact.impacted_files(g, reached)
+        files = impact.with_siblings(g, impact.impacted_files(g, reached), seeds)
         if self.texts is not None:
             files = impact.text_filter(files, reached, self.texts)
         files = written(impact.explain(g, files, file))
         merged = files.groupBy("path").agg(F.min(F.struct("depth", "reason", "relation", "confidence")).alias("b")).select("path", "b.*")
         into = onehop.break_points(g).join(seeds.withColumnRenamed("seed", "target"), "target", "left_semi")
-        tests = impact.affected_tests(g, seeds).groupBy("path").agg(F.max("reason").alias("reason"))
+        tests = impact.affected_tests(g, seeds, commits=self.commits, texts=self.texts).groupBy("path").agg(F.max("reason").alias("reason"))
         out = {
             "impacted_files": self._section(merged, ["depth", "path"]), "break_points": self._section(into, ["file", "line", "target"]), "affected_tests": self._section(tests, ["path"]),
             "affected_routes": self._section(*self._routes(seeds)), "affected_configs": self._section(*self._configs(seeds)),

@@ -8,14 +8,30 @@ from pyspark.sql import functions as F
 from .functions import predicates as p
 from .graph import EDGES, Graph, conform
 from .operators import resolve
+from .sources import manifests
 from .sources.repo import extract
 from .tables import written
 
 
-def build(files: DataFrame) -> Graph:
-    """The graph of source files (path, lang, text).
+def _by_rules(imports: DataFrame, have: DataFrame, rules: DataFrame) -> DataFrame:
+    """(src, dst, line, names, aux) of imports that a project file's rule ties to a file."""
+    rows = manifests.targets(imports.select("path", "target", "line", "lang"), rules).join(imports.select("path", "target", "line", "lang", "names", "aux"), ["path", "target", "line"])
+    base = F.col("base")
+    script = F.concat(resolve.script_candidates(base), resolve.script_candidates(F.concat_ws("/", F.when(base != "", base), F.lit("src/index"))))
+    candidates = F.when(F.col("lang") == "php", F.array(F.concat(base, F.lit(".php")))).when(F.col("lang").isin("typescript", "javascript"), script)
+    tried = rows.withColumn("candidates", candidates).where("candidates is not null").withColumn("key", F.struct("path", "target", "line", "base"))
+    plain = tried.join(resolve.probe_paths(tried.select("key", "candidates").distinct(), have).withColumnRenamed("path", "dst"), "key")
+    # A Go import names a folder; its least file that is no test stands for it.
+    folders = have.where(F.col("path").endswith(".go") & ~p.is_test_path(F.col("path"))).groupBy(p.dirname(F.col("path")).alias("base")).agg(F.min("path").alias("dst"))
+    go = rows.where("lang = 'go'").join(folders, "base")
+    return plain.select(F.col("path").alias("src"), "dst", "line", "names", "aux").union(go.select(F.col("path").alias("src"), "dst", "line", "names", "aux"))
 
-    The extracted rows are written once, since each kind of edge reads them. Symbols stand in the order of path and place;
+
+def build(files: DataFrame, projects: DataFrame | None = None) -> Graph:
+    """The graph of source files (path, lang, text); projects (path, text) are project files such as go.mod or package.json.
+
+    Project files say what aliases, packages, namespaces and module paths in imports stand for, and which projects may use
+    which: with them a name is looked up only in the file's own project and its direct dependencies. The extracted rows are written once, since each kind of edge reads them. Symbols stand in the order of path and place;
     that order settles all ties.
     """
     rows = written(extract(files))
@@ -39,22 +55,25 @@ def build(files: DataFrame) -> Graph:
     lang = F.col("lang")
     candidates = F.when(lang == "python", python).when(lang.isin("typescript", "javascript") & module.startswith("."), script).when(lang == "ruby", ruby).when(lang == "php", php)
     imports = rows.where("row = 'import'").select("path", "line", "names", "aux", F.struct("path", "target", "line").alias("key"), candidates.alias("candidates"))
-    # A Go import names a directory; its least file stands for it.
-    go = rows.where("row = 'import' and lang = 'go'").select("path", "line", "names", "aux", F.substring_index("target", "/", -1).alias("dir"))
-    go_dirs = have.where(F.col("path").endswith(".go")).select(p.basename(p.dirname(F.col("path"))).alias("dir"), F.col("path").alias("dst")).groupBy("dir").agg(F.min("dst").alias("dst"))
     resolved = imports.where("candidates is not null").join(resolve.probe_paths(imports.where("candidates is not null").select("key", "candidates").distinct(), have).withColumnRenamed("path", "dst"), "key").select(F.col("path").alias("src"), "dst", "line", "names", "aux")
-    resolved = resolved.union(go.join(go_dirs, "dir").select(F.col("path").alias("src"), "dst", "line", "names", "aux")).where("src != dst")
+    if projects is not None:
+        resolved = resolved.union(_by_rules(rows.where("row = 'import'"), have, manifests.rules(projects)))
+    # Ruby also looks below every lib folder.
+    below = have.select(F.regexp_extract("path", r"(?:^|/)lib/(.+)\.rb$", 1).alias("target"), F.col("path").alias("dst")).where("target != ''").groupBy("target").agg(F.min("dst").alias("dst"))
+    gems = rows.where("row = 'import' and lang = 'ruby'").join(below, "target").select(F.col("path").alias("src"), "dst", "line", "names", "aux")
+    resolved = resolved.union(gems.join(resolved.select("src", "line"), ["src", "line"], "left_anti").select("src", "dst", "line", "names", "aux")).where("src != dst")
     resolved = written(resolved.withColumn("imported_names", F.transform("names", lambda n: n["original"])).withColumn("re_export", F.col("aux") == "re_export").withColumn("is_type_only", F.col("aux") == "type"))
 
     pending = lambda kind: rows.where(F.col("row") == kind)
+    scopes, deps = manifests.scopes(projects, files) if projects is not None else (None, None)
     imap = resolve.import_map(resolved.select(F.col("src").alias("file"), F.col("dst").alias("target_file"), "names", "line"))
-    calls = written(resolve.resolve_calls(pending("call").select(F.col("path").alias("file"), F.col("enclosing").alias("caller"), F.col("name").alias("callee"), "line"), symbols, imap))
+    calls = written(resolve.resolve_calls(pending("call").select(F.col("path").alias("file"), F.col("enclosing").alias("caller"), F.col("name").alias("callee"), "line"), symbols, imap, scopes, deps))
     external = calls.where("tier = 4").select(F.col("dst").alias("id")).distinct().select("id", F.substring_index("id", "::", -1).alias("name"), F.lit("<external>").alias("file"), F.lit("external").alias("kind"), F.lit(0).cast("long").alias("line"), F.lit(0).cast("long").alias("line_end"))
-    refs = resolve.references(pending("ref").select(F.col("path").alias("file"), "enclosing", "name", "line", F.col("aux").alias("ref_kind")), symbols)
-    bases = resolve.extends(pending("extends").select(F.col("path").alias("file"), "name", F.col("target").alias("base")), symbols)
+    refs = resolve.references(pending("ref").select(F.col("path").alias("file"), "enclosing", "name", "line", F.col("aux").alias("ref_kind")), symbols, scopes, deps)
+    bases = resolve.extends(pending("extends").select(F.col("path").alias("file"), "name", F.col("target").alias("base"), F.struct("path", F.col("seq").cast("long")).alias("place")), symbols, scopes, deps)
     bases = written(bases)
     members = resolve.contains(symbols)
-    over, unresolved = resolve.overrides(symbols, members, bases.where("kind = 'EXTENDS'").select("src", "dst"))
+    over, unresolved = resolve.overrides(symbols, members, bases.where("kind = 'EXTENDS'"))
     own = resolve.first_in_file(symbols)
     marks = pending("decorator").select(F.col("path").alias("file"), "name", F.col("target").alias("decorator"), F.col("aux").alias("args")).join(own, ["file", "name"]).select("file", F.col("id").alias("symbol"), "decorator", "args")
     every = symbols.unionByName(external, allowMissingColumns=True)

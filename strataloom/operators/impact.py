@@ -9,10 +9,12 @@ from pyspark.sql.window import Window
 from ..errors import InvalidParams
 from ..functions import predicates as p
 from ..graph import Graph
+from ..tables import written
 
 MOST_VISITED = 500
 SECTION_CAP = 50
 BLAST = 20.0
+LEAST_COMMON = 2
 
 
 def validate(symbol: str | None, changed_files: list[str] | None, diff: str | None) -> None:
@@ -25,17 +27,20 @@ def reach(g: Graph, seeds: DataFrame, max_depth: int = 3, most_visited: int | No
 
     reason is how the name was reached: seed, caller or callee; at one depth a caller wins. most_visited bounds the names
     kept for each seed, nearest first, then callers, then by name; None keeps all. Every step is a join of the frontier
-    with the name pairs and an anti-join with what was seen; only max_depth, a small number, drives the loop.
+    with the name pairs and an anti-join with what was seen; frontiers are written, and only max_depth, a small number, drives
+    the loop.
     """
     rows = g.ends("CALLS", "REFERENCES").where((F.col("src_kind") != "external") & (F.col("dst_kind") != "external"))
     pairs = rows.select(F.col("src_name").alias("a"), F.col("dst_name").alias("b")).distinct()
     ways = pairs.select(F.col("b").alias("at"), F.col("a").alias("name"), F.lit("caller").alias("reason")).union(pairs.select(F.col("a").alias("at"), F.col("b").alias("name"), F.lit("callee").alias("reason")))
+    ways = written(ways) if max_depth > 1 else ways
     seen = seeds.select("seed", F.col("seed").alias("name"), F.lit(0).alias("depth"), F.lit("seed").alias("reason")).distinct()
     front = seen
     for depth in range(1, max_depth + 1):
         step = front.select("seed", F.col("name").alias("at")).join(ways, "at").groupBy("seed", "name").agg(F.max("reason").alias("has"), F.min("reason").alias("least"))
         step = step.select("seed", "name", F.lit(depth).alias("depth"), F.when(F.col("has") == "caller", "caller").otherwise(F.col("least")).alias("reason"))
         front = step.join(seen.select("seed", "name"), ["seed", "name"], "left_anti")
+        front = written(front) if depth < max_depth else front
         seen = seen.unionByName(front)
     if most_visited is None:
         return seen
@@ -100,26 +105,83 @@ def explain(g: Graph, files: DataFrame, file_hint: str | None = None) -> DataFra
     return rows.select("seed", "path", "depth", "reason", relation.alias("relation"), confidence.alias("confidence"))
 
 
-def affected_tests(g: Graph, seeds: DataFrame, depth: int = 3) -> DataFrame:
-    """(seed, path, reason): test files of what calls the seed within depth hops (edge), of test-path importers and seeds
-    in tests (edge), and of test files whose name has the seed's file stem (convention); an edge wins."""
+def siblings(g: Graph, seeds: DataFrame) -> DataFrame:
+    """(seed, path, depth, reason): files that methods of the seed's own class call; at depth 2, as callees."""
+    of = g.kind("CONTAINS").select(F.col("src").alias("class"), F.col("dst").alias("id"))
+    own = seeds.select("seed").distinct().join(g.internal().select(F.col("name").alias("seed"), "id"), "seed")
+    classes = own.join(of, "id").select("seed", "class").distinct()
+    others = classes.join(of, "class").select("seed", F.col("id").alias("src")).distinct()
+    called = others.join(g.kind("CALLS").select("src", "dst").distinct(), "src").select("seed", F.col("dst").alias("id")).distinct()
+    return called.join(g.internal().select("id", F.col("file").alias("path")), "id").select("seed", "path").distinct().withColumn("depth", F.lit(2)).withColumn("reason", F.lit("callee"))
+
+
+def with_siblings(g: Graph, files: DataFrame, seeds: DataFrame) -> DataFrame:
+    """files with those that only siblings reach."""
+    more = siblings(g, seeds).join(files.select("seed", "path"), ["seed", "path"], "left_anti")
+    return files.select("seed", "path", "depth", "reason").unionByName(more)
+
+
+def _mirrors(path: Column) -> Column:
+    """The test folder of the same package, for a path below src/main/java or src/main/kotlin."""
+    return F.regexp_replace(F.regexp_extract(path, r"^((?:.*?/)?src/main/(?:java|kotlin)/.+)/[^/]*$", 1), r"^((?:.*?/)?)src/main/", "$1src/test/")
+
+
+def _mentions(tests: DataFrame, words: DataFrame) -> DataFrame:
+    """(seed, path): test paths that contain a word of (seed, word).
+
+    The parts of a path that are as long as some word meet the words by equality. Lengths are few: names and stems.
+    """
+    lengths = [r.n for r in words.select(F.length("word").alias("n")).distinct().collect()]
+
+    def parts_of(n: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length("path") - n + 1), lambda i: F.substring("path", i, F.lit(n)))
+        return F.when(F.length("path") >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    parts = F.concat(*map(parts_of, lengths)) if lengths else None
+    if parts is None:
+        return words.select("seed", F.lit("").alias("path")).limit(0)
+    return tests.select("path", F.explode(F.array_distinct(parts)).alias("word")).join(words, "word").select("seed", "path").distinct()
+
+
+def affected_tests(g: Graph, seeds: DataFrame, depth: int = 3, commits: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """(seed, path, reason) of test files tied to each seed name; of two reasons `edge` wins over `convention`.
+
+    By edge: tests of what the seed's calls reach within depth hops, and the seed's own file if it is a test. By convention:
+    test files that import the seed's file, whose path has the seed's name or its file's stem in it, that lie in the mirrored
+    test folder of a JVM package, or that changed in two or more commits with the seed's file (commits). Only where nothing
+    else is found: test files whose text has the seed as a word (texts).
+    """
     calls = g.kind("CALLS").select(F.col("src").alias("s"), F.col("dst").alias("t")).distinct()
     at = seeds.select("seed").distinct().join(g.internal().select(F.col("name").alias("seed"), "id"), "seed")
     every = at
     for _ in range(depth):
-        at = at.join(calls, F.col("id") == F.col("s")).select("seed", F.col("t").alias("id")).distinct()
+        # What was reached before is not followed again.
+        at = written(at.join(calls, F.col("id") == F.col("s")).select("seed", F.col("t").alias("id")).distinct().join(every, ["seed", "id"], "left_anti"))
         every = every.union(at)
     tested = g.kind("TESTED_BY").select(F.col("src").alias("id"), F.col("dst").alias("test"))
-    by_edge = every.distinct().join(tested, "id").join(g.symbols.select(F.col("id").alias("test"), F.col("file").alias("path")), "test").select("seed", "path", F.lit("edge").alias("reason"))
-    own = seeds.select("seed").distinct().join(g.internal().select(F.col("name").alias("seed"), F.col("file").alias("path")), "seed")
-    is_test = own.where(p.is_test_path(F.col("path"))).select("seed", "path", F.lit("edge").alias("reason"))
-    home = own.select("seed", F.col("path").alias("dst"))
-    importing = g.kind("IMPORTS").select(F.col("src").alias("path"), "dst").join(home, "dst").where(p.is_test_path(F.col("path"))).select("seed", "path", F.lit("edge").alias("reason"))
-    stems = own.select("seed", p.stem(F.col("path")).alias("stem")).distinct()
-    tests = g.files.where(p.is_test_path(F.col("path"))).select("path", F.explode(F.array_distinct(F.split(p.stem(F.col("path")), r"[_.]|(?<=[a-z])(?=Test|Tests|Spec)"))).alias("stem"))
-    named = tests.join(stems, "stem").select("seed", "path", F.lit("convention").alias("reason"))
-    rows = by_edge.union(is_test).union(importing).union(named)
-    return rows.groupBy("seed", "path").agg(F.max("reason").alias("reason"))
+    edge = every.join(tested, "id").select("seed", "test").distinct().join(g.symbols.select(F.col("id").alias("test"), F.col("file").alias("path")), "test").select("seed", "path")
+    own = seeds.select("seed").distinct().join(g.internal().select(F.col("name").alias("seed"), F.col("file").alias("path")), "seed").distinct()
+    edge = edge.union(own.where(p.is_test_path(F.col("path")))).distinct().withColumn("reason", F.lit("edge"))
+    tests = g.files.where(p.is_test_path(F.col("path"))).select("path").distinct()
+    home = own.withColumnRenamed("path", "dst")
+    said = g.kind("IMPORTS").select(F.col("src").alias("path"), "dst").join(home, "dst").join(tests, "path", "left_semi").select("seed", "path")
+    words = own.select("seed", F.explode(F.array("seed", p.stem(F.col("path")))).alias("word")).where("word != ''").distinct()
+    said = said.union(_mentions(tests, words))
+    mirrored = own.select("seed", _mirrors(F.col("path")).alias("folder")).where("folder != ''").distinct()
+    above = tests.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("path", "/")) - 1, F.lit(1))), lambda k: F.array_join(F.slice(F.split("path", "/"), F.lit(1), k), "/"))).alias("folder"))
+    said = said.union(above.join(mirrored, "folder").select("seed", "path"))
+    if commits is not None:
+        from .history import co_change
+
+        pairs = co_change(commits).where(F.col("commits") >= LEAST_COMMON).select(F.col("target").alias("dst"), "path")
+        said = said.union(pairs.join(home, "dst").where(p.is_test_path(F.col("path"))).select("seed", "path"))
+    rows = edge.union(said.distinct().withColumn("reason", F.lit("convention"))).groupBy("seed", "path").agg(F.max("reason").alias("reason"))
+    if texts is None:
+        return rows
+    rows = written(rows)
+    bare = seeds.select("seed").distinct().join(rows.select("seed"), "seed", "left_anti")
+    tokens = texts.join(tests, "path", "left_semi").select("path", F.explode(F.array_distinct(F.split("text", r"[^A-Za-z0-9_]+"))).alias("seed"))
+    return rows.union(tokens.join(bare, "seed").select("seed", "path", F.lit("convention").alias("reason")))
 
 
 def capped(rows: DataFrame, order: list, cap: int = SECTION_CAP, by: str = "seed") -> DataFrame:

@@ -118,16 +118,21 @@ def named_imports(resolved: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def extends(pending: DataFrame, symbols: DataFrame, scopes: DataFrame | None = None, deps: DataFrame | None = None) -> DataFrame:
-    """(kind, src, dst): EXTENDS, and IMPLEMENTS beside it where the base is an interface or trait, from (file, name, base)."""
+    """(kind, src, dst): EXTENDS, and IMPLEMENTS beside it where the base is an interface or trait, from (file, name, base).
+
+    If pending says the `place` of each declaration, the rows have that of the first.
+    """
+    ordered = "place" in pending.columns
+    pending = pending if ordered else pending.withColumn("place", F.lit(0))
     classes = symbols.where(F.col("kind").isin(*CLASS_LIKE))
     local = classes.groupBy("file", "name").agg(F.min(F.struct("seq", "id", "kind")).alias("at"))
     anywhere = classes.groupBy("name").agg(F.min(F.struct("seq", "id", "kind", "file")).alias("any"))
     rows = pending.join(local, ["file", "name"], "left").join(anywhere.select("name", F.col("any.id").alias("any_id")), "name", "left")
-    rows = rows.select("file", F.coalesce("at.id", "any_id").alias("src"), "base").where("src is not null")
+    rows = rows.select("file", F.coalesce("at.id", "any_id").alias("src"), "base", "place").where("src is not null")
     rows = rows.join(anywhere.select(F.col("name").alias("base"), F.col("any.id").alias("dst"), F.col("any.kind").alias("base_kind"), F.col("any.file").alias("target_file")), "base")
-    rows = allowed(rows, scopes, deps).where("src != dst").select("src", "dst", "base_kind").distinct()
+    rows = allowed(rows, scopes, deps).where("src != dst").groupBy("src", "dst", "base_kind").agg(F.min("place").alias("place"))
     kinds = F.when(F.col("base_kind").isin("interface", "trait"), F.array(F.lit("EXTENDS"), F.lit("IMPLEMENTS"))).otherwise(F.array(F.lit("EXTENDS")))
-    return rows.select(F.explode(kinds).alias("kind"), "src", "dst")
+    return rows.select(F.explode(kinds).alias("kind"), "src", "dst", *(["place"] if ordered else []))
 
 
 def contains(symbols: DataFrame) -> DataFrame:
@@ -139,14 +144,16 @@ def contains(symbols: DataFrame) -> DataFrame:
 def overrides(symbols: DataFrame, members: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((src, dst), (id)): override edges, and the override methods whose parent method isn't there.
 
-    members is CONTAINS (src, dst), parents is EXTENDS (src, dst); only a class's first parent counts.
+    members is CONTAINS (src, dst), parents is EXTENDS (src, dst); only a class's first parent counts, by `place` if parents
+    has one. A method that would override itself has no edge, and isn't among the unresolved.
     """
-    first = parents.groupBy("src").agg(F.min("dst").alias("parent"))
+    first = parents.groupBy("src").agg(F.min_by("dst", F.struct("place", "dst") if "place" in parents.columns else F.col("dst")).alias("parent"))
+    members = members.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst")
     mine = symbols.where("is_override").select("id", "name").join(members.select(F.col("src").alias("class"), F.col("dst").alias("id")), "id", "left").join(first.select(F.col("src").alias("class"), "parent"), "class", "left")
     theirs = members.join(symbols.select(F.col("id").alias("dst"), "name", "seq"), "dst").groupBy(F.col("src").alias("parent"), "name").agg(F.min_by("dst", "seq").alias("dst"))
     rows = mine.join(theirs, ["parent", "name"], "left")
-    edges = rows.where("dst is not null and dst != id").select(F.col("id").alias("src"), "dst").distinct()
-    return edges, symbols.where("is_override").select("id").join(edges.select(F.col("src").alias("id")), "id", "left_anti")
+    found = rows.where("dst is not null").select(F.col("id").alias("src"), "dst").distinct()
+    return found.where("src != dst"), symbols.where("is_override").select("id").join(found.select(F.col("src").alias("id")), "id", "left_anti")
 
 
 def decorates(pending: DataFrame, symbols: DataFrame) -> DataFrame:

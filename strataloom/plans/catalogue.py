@@ -142,6 +142,20 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
     return c.select(key(0).alias("src"), key(-1).alias("dst")).join(ids, "dst", "left_semi")
 
 
+@query
+def dead_code_override_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations joined to chains of many turns, each turn overriding the one before it; the first turn of every tenth is used."""
+    c = t.table(spark, d, "conversations").select("conv_id", "turn")
+    place = F.row_number().over(Window.partitionBy(F.floor(F.col("conv_id") / 10)).orderBy("conv_id", "turn"))
+    c = c.select(F.floor(F.col("conv_id") / 10).cast("long").alias("chain"), place.alias("k"))
+    key = lambda n: F.concat_ws(":", F.col("chain").cast("string"), (F.col("k") + n).cast("string"))
+    symbols = c.select(key(0).alias("id"), key(0).alias("name"), F.lit("a.py").alias("file"), F.lit("method").alias("kind"))
+    edges = c.where("k > 1").select(F.lit("OVERRIDES").alias("kind"), key(0).alias("src"), key(-1).alias("dst"))
+    calls = c.where("k = 1 and chain % 2 = 0").select(F.lit("CALLS").alias("kind"), key(0).alias("src"), key(0).alias("dst"))
+    g = type(t.events(spark, d)).of(spark.createDataFrame([("a.py", "python")], "path string, lang string"), symbols, edges.union(calls))
+    return liveness.override_live(g, liveness.unused(g))
+
+
 @query
 def override_chain_depth(spark: SparkSession, d: str) -> DataFrame:
     return liveness.chain_depth(turns(spark, d))
@@ -191,12 +205,24 @@ def impact_capped(spark: SparkSession, d: str) -> DataFrame:
     return impact.capped(impact.impacted_files(g, reached), ["depth", "path"], 5).select("seed", "path", "depth", "total_available", "truncated")
 
 
+@query
+def bfs_impact_capped(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 nearest names of each user."""
+    g = t.events(spark, d)
+    return impact.reach(g, g.symbols.select(F.col("name").alias("seed")), 2, 20)
+
+
 @query
 def affected_tests(spark: SparkSession, d: str) -> DataFrame:
-    """Test files that calls of the nation files' suppliers reach, over the tested-by edges."""
-    g = t.commerce(spark, d, "TESTED_BY", "CALLS")
-    s = g.symbols.where("kind = 'method'").select(F.col("name").alias("seed"))
-    return impact.affected_tests(g, s, 0).select("seed", "path", "reason")
+    """Users' error chains as calls; three of ten users are tests, whose files have other users' stems in their names."""
+    g = t.events(spark, d)
+    k = F.col("line").cast("string")
+    file = F.when(F.col("line") % 10 < 3, F.concat(F.lit("tests/test_"), F.expr("line % 10").cast("string"), F.lit("_t"), (3 + F.col("line") % 7).cast("string"), F.lit(".py"))).otherwise(F.concat(F.lit("team/t"), F.substring(k, -1, 1), F.lit(".py")))
+    symbols = g.symbols.withColumn("file", file)
+    tested = resolve.tested_by(g.kind("CALLS"), symbols).select(F.lit("TESTED_BY").alias("kind"), "src", "dst")
+    files = symbols.select(F.col("file").alias("path"), F.lit("python").alias("lang")).distinct()
+    g = type(g).of(files, symbols, g.edges.select("kind", "src", "dst").union(tested))
+    return impact.affected_tests(g, symbols.select(F.col("name").alias("seed")), 3).select("seed", "path", "reason")
 
 
 def _sections(spark: SparkSession, d: str) -> DataFrame:
@@ -374,11 +400,12 @@ def contains_members(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def overrides(spark: SparkSession, d: str) -> DataFrame:
-    """A file's first part is a class that extends the first one of the brand's least file."""
+    """A file's first part is a class that extends the first ones of two files of its brand, the later file first."""
     m = _members(spark, d)
     heads = m.groupBy("file", F.substring_index("file", "/", 2).alias("brand")).agg(F.min_by("id", "seq").alias("src"))
-    bases = heads.groupBy("brand").agg(F.min_by("src", "file").alias("dst"))
-    parents = heads.join(bases, "brand").where("src != dst").select("src", "dst")
+    bases = heads.groupBy("brand").agg(F.sort_array(F.collect_list(F.struct("file", "src"))).alias("x"))
+    bases = bases.select("brand", F.posexplode(F.reverse(F.slice("x", 1, 2))).alias("place", "base")).select("brand", "place", F.col("base.src").alias("dst"))
+    parents = heads.join(bases, "brand").where("src != dst").select("src", "dst", "place")
     return resolve.overrides(m, resolve.contains(m), parents)[0]
 
 

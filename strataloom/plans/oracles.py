@@ -115,11 +115,16 @@ SELECT target, path, via, depth, re AS re_export FROM (SELECT *, row_number() OV
     "dead_code_override_closure": _with(COMMERCE, _LIVE, """
 over AS (SELECT src AS child, dst AS parent FROM edge WHERE kind = 'EXTENDS'),
 rescued AS (SELECT child FROM over WHERE child IN (SELECT id FROM dead) AND parent NOT IN (SELECT id FROM dead) UNION SELECT over.child FROM over JOIN rescued r ON over.parent = r.child WHERE over.child IN (SELECT id FROM dead))""", body="SELECT child AS id FROM rescued", recursive=True),
+    "dead_code_override_chains": """
+WITH c AS (SELECT conv_id // 10 AS chain, row_number() OVER (PARTITION BY conv_id // 10 ORDER BY conv_id, turn) AS k FROM conversations)
+SELECT chain || ':' || k AS id FROM c WHERE chain % 2 = 0 AND k > 1""",
     "override_chain_depth": """
 WITH RECURSIVE t AS (SELECT conv_id, turn, conv_id || ':' || turn AS id FROM conversations),
 up AS (SELECT id, conv_id, turn, 0 AS depth FROM t UNION ALL SELECT up.id, t.conv_id, t.turn, depth + 1 FROM up JOIN t ON t.conv_id = up.conv_id AND t.turn = up.turn - 1 WHERE depth < 10)
 SELECT id, max(depth) AS depth FROM up GROUP BY id HAVING max(depth) > 0""",
     "bfs_impact": _with(EVENTS, _REACH.format(depth=2), body="SELECT * FROM reached", recursive=True),
+    "bfs_impact_capped": _with(EVENTS, _REACH.format(depth=2), body="""
+SELECT seed, name, depth, reason FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, reason = 'callee', name) AS r FROM reached) WHERE r <= 20""", recursive=True),
     "impacted_files": _with(EVENTS, _REACH.format(depth=1), body="""
 SELECT seed, file AS path, depth, reason FROM (SELECT seed, file, depth, reason, row_number() OVER (PARTITION BY seed, file ORDER BY depth, CASE reason WHEN 'seed' THEN 0 WHEN 'caller' THEN 1 ELSE 2 END) AS r
 FROM reached JOIN usr USING (name)) WHERE r = 1""", recursive=True),
@@ -174,7 +179,13 @@ SELECT seed, path, depth, reason,
     "impact_capped": _with(EVENTS, _REACH.format(depth=1), _FILES1, body="""
 SELECT seed, path, depth, total_available, total_available > 5 AS truncated FROM (
   SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, path) AS r, count(*) OVER (PARTITION BY seed) AS total_available FROM f1) WHERE r <= 5""", recursive=True),
-    "affected_tests": _with(COMMERCE, body="SELECT DISTINCT s.name AS seed, c.file AS path, 'edge' AS reason FROM edge e JOIN supp s ON s.id = e.src JOIN cust c ON c.id = e.dst WHERE e.kind = 'TESTED_BY'"),
+    "affected_tests": _with(EVENTS, """
+u AS (SELECT name, CASE WHEN k % 10 < 3 THEN 'tests/test_' || (k % 10) || '_t' || (3 + k % 7) || '.py' ELSE 'team/t' || (k % 10) || '.py' END AS file, k % 10 < 3 AS test FROM usr),
+hop AS (SELECT name AS seed, name AS node, 0 AS n FROM u UNION SELECT seed, b, n + 1 FROM hop JOIN call ON a = hop.node WHERE n < 3),
+edge_ AS (SELECT DISTINCT seed, x.file AS path FROM (SELECT DISTINCT seed, node FROM hop) h JOIN u prod ON prod.name = h.node AND NOT prod.test JOIN call ON call.b = h.node JOIN u x ON x.name = call.a AND x.test
+  UNION SELECT name, file FROM u WHERE test),
+said AS (SELECT u.name AS seed, f.file AS path FROM u, (SELECT DISTINCT file FROM u WHERE test) f WHERE contains(f.file, u.name) OR contains(f.file, regexp_replace(parse_filename(u.file), '[.]py$', '')))""", body="""
+SELECT seed, path, CASE WHEN bool_or(e) THEN 'edge' ELSE 'convention' END AS reason FROM (SELECT *, true AS e FROM edge_ UNION ALL SELECT *, false FROM said) GROUP BY seed, path""", recursive=True),
     "impact_risk": _with(COMMERCE, _SECTIONS, body=f"""
 SELECT seed, score, {_LEVEL} FROM (SELECT seed, round(least(0.4::DOUBLE * (CASE WHEN breaks = 0 THEN 0 ELSE greatest(least(1 - tests / breaks, 1), 0) END) + 0.3::DOUBLE * least(files / 20.0::DOUBLE, 1) + 0.15::DOUBLE * least(deepest / 7, 1)
   + 0.15::DOUBLE * ((CASE WHEN guessed % 2 > 0 THEN 0.5::DOUBLE ELSE 0 END) + (CASE WHEN guessed % 3 > 0 THEN 0.5::DOUBLE ELSE 0 END)), 1), 6) AS score FROM sec)"""),
@@ -223,7 +234,8 @@ SELECT 'EXTENDS' AS kind, src, dst FROM ext UNION ALL SELECT 'IMPLEMENTS', src,
 cls AS (SELECT file, arg_min(id, seq) AS cls FROM ps GROUP BY file)""", body="SELECT cls AS src, id AS dst FROM ps JOIN cls USING (file) WHERE id <> cls"),
     "overrides": _with(_PARTS, """
 cls AS (SELECT file, any_value(brand) AS brand, arg_min(id, seq) AS cls FROM ps GROUP BY file),
-par AS (SELECT cls AS child, first_value(cls) OVER (PARTITION BY brand ORDER BY file) AS parent FROM cls),
+two AS (SELECT brand, cls AS parent, row_number() OVER (PARTITION BY brand ORDER BY file) AS r FROM cls QUALIFY r <= 2),
+par AS (SELECT c.cls AS child, arg_max(t.parent, t.r) AS parent FROM cls c JOIN two t ON t.brand = c.brand AND t.parent <> c.cls GROUP BY c.cls),
 mem AS (SELECT cls, id, name, is_override, seq FROM ps JOIN cls USING (file) WHERE id <> cls)""", body="""
 SELECT DISTINCT m.id AS src, arg_min(q.id, q.seq) AS dst FROM mem m JOIN par ON par.child = m.cls AND par.parent <> m.cls JOIN mem q ON q.cls = par.parent AND q.name = m.name WHERE m.is_override GROUP BY m.id"""),
     "decorates_resolution": _with(_PARTS, body="SELECT DISTINCT o.id AS src, ps.id AS dst, '' AS decorator_args FROM ps JOIN own o ON o.file = ps.file AND o.name = ps.name WHERE o.id <> ps.id"),

@@ -26,45 +26,72 @@ MOST_BYTES = 2 << 20
 def walk(spark: SparkSession, root: str, ignored: list[str] = ()) -> DataFrame:
     """(path, lang, size, modified_at, text): source files of the ten languages under root, by any path Spark reads.
 
-    Excluded directories, secret-shaped names, files over 2 MB, paths under an ignored prefix and what the root's .gitignore
-    and .ignore leave out are left out.
+    Excluded directories, secret-shaped names, files over 2 MB, paths under an ignored prefix and what the root's .gitignore,
+    .ignore and .git/info/exclude leave out are left out. Bytes that aren't UTF-8 become U+FFFD. The driver lists directories
+    and goes into none that is excluded; contents are read by the tasks.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    folders, empty = _listing(spark, root)
+    raw = spark.read.format("binaryFile").load(folders).select("path", "length", "modificationTime", "content") if folders else None
     # Scans leave out files without a byte, which still count; they come from the listing of their directories.
-    raw = raw.select("path", "length", "modificationTime", "content").union(_empty_files(spark, root))
-    base = root.rstrip("/").split("://")[-1]
-    rel = F.regexp_replace(F.col("path"), r"^.*?" + re.escape(base) + "/", "")
-    rows = raw.select(rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), "content")
-    dirs = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
-    rows = rows.where(~F.arrays_overlap(dirs, F.array(*map(F.lit, EXCLUDED_DIRS))) & ~F.lower(p.basename(F.col("path"))).rlike(SECRET_NAMES) & (F.col("size") <= MOST_BYTES))
+    none = spark.createDataFrame(empty, "path string, length long, modificationTime timestamp, content binary")
+    raw = none if raw is None else raw.union(none)
+    rows = raw.select(_relative(F.col("path"), root).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), "content")
+    rows = rows.where(~_secret(F.col("path")) & (F.col("size") <= MOST_BYTES))
     for x in ignored:
         rows = rows.where(~F.col("path").startswith(x))
     rows = rows.where(~p.git_ignored(F.col("path"), _ignore_lines(spark, root)))
     lang = p.language(F.col("path"))
-    return rows.select("path", lang.alias("lang"), "size", "modified_at", F.decode("content", "UTF-8").alias("text")).where("lang is not null")
+    return rows.where(lang.isNotNull()).select("path", lang.alias("lang"), "size", "modified_at", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
+def skipped(spark: SparkSession, root: str) -> DataFrame:
+    """(path, reason): what walk() leaves out by name or size, as `secret` or `size`; no content is read."""
+    folders, _ = _listing(spark, root)
+    if not folders:
+        return spark.createDataFrame([], "path string, reason string")
+    rows = spark.read.format("binaryFile").load(folders).select(_relative(F.col("path"), root).alias("path"), F.col("length").alias("size"))
+    reason = F.when(_secret(F.col("path")), "secret").when(p.language(F.col("path")).isNotNull() & (F.col("size") > MOST_BYTES), "size")
+    return rows.select("path", reason.alias("reason")).where("reason is not null")
+
+
+def _secret(path):
+    return F.lower(p.basename(path)).rlike(SECRET_NAMES)
+
+
+def _relative(path, root: str):
+    base = root.rstrip("/").split("://")[-1]
+    return F.regexp_replace(path, r"^.*?" + re.escape(base) + "/", "")
 
 
 def _ignore_lines(spark: SparkSession, root: str) -> list[str]:
     """The lines of the root's ignore files, which people write and which are short."""
     jvm, out = spark.sparkContext._jvm, []
-    for name in (".gitignore", ".ignore"):
+    for name in (".gitignore", ".ignore", ".git/info/exclude"):
         path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
         if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             out += [r.value for r in spark.read.text(path.toString()).collect()]
     return out
 
 
-def _empty_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, modificationTime, content) of the files of 0 bytes under root."""
+def _listing(spark: SparkSession, root: str) -> tuple[list[str], list[tuple]]:
+    """(folders with a file of some bytes, rows of the files of 0 bytes) under root, but not under excluded directories."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
-    rows = []
-    while found.hasNext():
-        f = found.next()
-        if f.getLen() == 0:
-            rows.append((f.getPath().toString(), 0, datetime.fromtimestamp(f.getModificationTime() / 1000), bytearray()))
-    return spark.createDataFrame(rows, "path string, length long, modificationTime timestamp, content binary")
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders, empty, todo = [], [], [top]
+    while todo:
+        here, full = todo.pop(), False
+        for f in fs.listStatus(here):
+            if f.isDirectory():
+                if f.getPath().getName() not in EXCLUDED_DIRS:
+                    todo.append(f.getPath())
+            elif f.getLen():
+                full = full or not f.getPath().getName().startswith(("_", "."))
+            else:
+                empty.append((f.getPath().toString(), 0, datetime.fromtimestamp(f.getModificationTime() / 1000), bytearray()))
+        if full:
+            folders.append(here.toString())
+    return sorted(folders), empty
 
 
 ROW = "row string, name string, kind string, line long, line_end long, enclosing string, target string, aux string, arity long, is_async boolean, is_override boolean, params array<struct<name: string, type: string, default_value: string>>, modifiers array<string>, return_type string, names array<struct<local: string, original: string>>, ok boolean"
