@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import predicates as p
+from ..tables import written
 
 
 def prf(expected: DataFrame, actual: DataFrame, tasks: DataFrame, beta: float = 1.0) -> DataFrame:
@@ -85,9 +86,10 @@ def bm25(texts: DataFrame, query: str, top: int = 50, k1: float = 1.5, b: float
     """
     terms = sorted({*_query_terms(query)})
     words = p.identifiers(F.col("text"))
+    # Texts are split once; totals and scores read what that wrote.
     rows = texts.select("path", words.alias("words")).select("path", F.size("words").alias("dl"), F.col("words"))
     tf = lambda t: F.size(F.filter("words", lambda w: w == t))
-    counted = rows.select("path", "dl", F.array(*(F.struct(F.lit(t).alias("term"), tf(t).alias("tf")) for t in terms)).alias("q"))
+    counted = written(rows.select("path", "dl", F.array(*(F.struct(F.lit(t).alias("term"), tf(t).alias("tf")) for t in terms)).alias("q")))
     totals = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col("q")[i]["tf"] > 0).alias(f"df{i}") for i in range(len(terms))))
     joined = counted.crossJoin(F.broadcast(totals))
     score = F.lit(0.0)
