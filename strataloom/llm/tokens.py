@@ -140,9 +140,9 @@ class Encoder:
         marked = pa.array([self.marked(x) for x, ok in zip(texts, plain, strict=True) if ok], pa.large_string())
         cut = pc.ascii_split_whitespace(marked) if self.ends else pc.split_pattern(marked, " ")
         bounds, chunks = cut.offsets.to_numpy(), cut.flatten().dictionary_encode()
-        distinct, index = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
+        distinct, index = _strings(chunks.dictionary), chunks.indices.to_numpy()
         found = self._found(distinct)
-        size = np.array([len(x) for x in found], np.int64) // 4
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         ids, start, n = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size, size[index]
         ends = np.concatenate([[0], np.cumsum(n)])
         raw = ids[np.arange(int(ends[-1])) + np.repeat(start[index] - ends[:-1], n)].tobytes()
@@ -151,6 +151,13 @@ class Encoder:
         return [next(done) if ok else next(odd) for ok in plain]
 
 
+def _strings(chunks: pa.Array) -> list[str]:
+    """The strings of an array of chunks, none of which has a blank; one string cut at blanks is made faster than each alone."""
+    if len(chunks) == 0:
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(chunks)], chunks), pa.scalar(" ", chunks.type))[0].as_py().split(" ")
+
+
 def _narrow(text: str) -> bool:
     try:
         text.encode("latin-1")
