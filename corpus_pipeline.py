@@ -43,8 +43,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 tokens. A null text is its end id alone."""
     import public_tokenizers
 
-    # Workers outlive the stage, so they remember less here than in a job of its own.
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), most_chunks=250_000)
+    # Workers share their executor with a heap that the stages before have filled, so they take less here than in a job of its own.
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), most_chunks=250_000, most_bytes=1 << 20)
 
 
 STAGES = [

@@ -27,12 +27,12 @@ MIN_BUCKETS = 64
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def _pieces(path: str, capacity: int, end_id: int, most_chunks: int):
+def _pieces(path: str, capacity: int, end_id: int, most_chunks: int = MOST_CHUNKS, most_bytes: int = SLICE):
     def run(batches):
         enc, tail = encoder(path, most_chunks), end_id.to_bytes(4, "little")
         for batch in batches:
             _, offsets = text_buffers(batch.column(1))
-            for lo, hi in slices(offsets, SLICE):
+            for lo, hi in slices(offsets, most_bytes):
                 ids, texts = batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist()
                 rows = []
                 for doc, tokens in zip(ids, enc.encode([x or "" for x in texts]), strict=True):
@@ -99,18 +99,18 @@ def _slots(patterns: list) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, most_chunks: int = MOST_CHUNKS) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, most_chunks: int = MOST_CHUNKS, most_bytes: int = SLICE) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for each piece of each row of docs.
 
     A null or empty text is its end id alone. A document longer than `capacity` gives several pieces. Equal rows give
     equal pieces in different slots; which of them gets which is arbitrary but fixed once written. A null id stays null;
-    other columns are ignored; an empty table gives an empty result. most_chunks bounds what a worker remembers, not what it
-    does.
+    other columns are ignored; an empty table gives an empty result. most_chunks bounds what a worker remembers, most_bytes the
+    texts that it encodes together; neither changes a result.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = materialize(rows.mapInArrow(_pieces(path, capacity, end_id, most_chunks), PIECE), "pieces")
+    pieces = materialize(rows.mapInArrow(_pieces(path, capacity, end_id, most_chunks, most_bytes), PIECE), "pieces")
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = _slots(shortest_pack_first(histogram, capacity))
     buckets = max(MIN_BUCKETS, sum(histogram.values()) // PIECES_PER_BUCKET)

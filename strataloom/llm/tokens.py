@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from unicodedata import is_normalized
 
 import numpy as np
@@ -19,6 +20,8 @@ import pyarrow.compute as pc
 MOST_CHUNKS = 1_000_000
 #: Bytes of text that are encoded together; a larger part has fewer distinct chunks for each of its own.
 SLICE = 1 << 22
+#: Chunks, and texts, that the library gets in one call; until the call ends it holds many times their size.
+PART, PART_TEXTS = 20_000, 64
 #: A full stop or comma that ends a Latin word before a blank or the text's end is a piece of its own.
 _STOP = re.compile("[.,](?<=[A-Za-z0-9À-ÖØ-öø-įı-ɏ][.,])(?=[ \n]|$)")
 _LINES = ("\n\n", "\n ", "\t", "\r", "\x0b", "\x0c")
@@ -34,8 +37,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        # One that doesn't look for special tokens, for texts that have none.
-        self.library, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # It looks for special tokens only when whole() is told to, as most texts have none.
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         #: The strings of special tokens, in small letters.
         self.special = sorted({x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()})
@@ -51,8 +54,14 @@ class Encoder:
             self.bytes_of[i] = len(token.removesuffix("</w>"))
 
     def whole(self, texts: list[str], special: bool = False) -> list[bytes]:
-        tokenizer = self.library if special else self.tokenizer
-        return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        self.tokenizer.encode_special_tokens = not special
+        try:
+            for part in _parts(texts, PART_TEXTS):
+                out += [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        finally:
+            self.tokenizer.encode_special_tokens = True
+        return out
 
     def blanked(self, chunks: list[str]) -> list[bytes]:
         """The ids of each chunk, which starts with a blank: all are encoded as one text, then cut where their bytes end."""
@@ -123,8 +132,10 @@ class Encoder:
             known.clear()
             new, found = chunks, [None] * len(chunks)
         first, rest = [x for x in new if x[:1] == "\0" and x != "\0\n"], [x for x in new if x and x[0] != "\0"]
-        known.update(zip(first, self.bare([x[1:] for x in first]), strict=True))
-        known.update(zip(rest, self.blanked([" " + x for x in rest]), strict=True))
+        for part in _parts(first, PART):
+            known.update(zip(part, self.bare([x[1:] for x in part]), strict=True))
+        for part in _parts(rest, PART):
+            known.update(zip(part, self.blanked([" " + x for x in part]), strict=True))
         known.setdefault("\0\n", self.line)
         if "" in new:
             known[""] = b"" if self.ends else self.blanked([" "])[0]
@@ -151,6 +162,10 @@ class Encoder:
         return [next(done) if ok else next(odd) for ok in plain]
 
 
+def _parts(texts: list[str], most: int) -> Iterator[list[str]]:
+    return (texts[lo : lo + most] for lo in range(0, len(texts), most))
+
+
 def _strings(chunks: pa.Array) -> list[str]:
     """The strings of an array of chunks, none of which has a blank; one string cut at blanks is made faster than each alone."""
     if len(chunks) == 0:

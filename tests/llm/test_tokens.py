@@ -1,6 +1,10 @@
 import functools
+import json
+import os
 import random
 import struct
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -10,7 +14,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from strataloom.llm import packing, vbyte
+import corpus_pipeline
+from strataloom.llm import packing, tokens, vbyte
 from strataloom.llm.shared import new_path
 from strataloom.llm.tokens import Encoder
 
@@ -50,6 +55,48 @@ def test_special_strings_are_read_as_the_library_does(name):
             assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == library(name).encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_parts_of_a_call_change_no_id(name, monkeypatch):
+    monkeypatch.setattr(tokens, "PART", 3)
+    monkeypatch.setattr(tokens, "PART_TEXTS", 2)
+    rng = random.Random(2)
+    words = ["the", "Ab.", "été", "e\u0301t", "漢字", "x,", "a\nb", "  ", "\t", "<|endoftext|>", "\u00a0", "İ"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    enc = Encoder(public_tokenizers.path(name), most_chunks=7)
+    want = [np.array(x.ids, "<u4").tobytes() for x in library(name).encode_batch(texts, add_special_tokens=False)]
+    assert enc.encode(texts) == want and enc.encode(texts[::-1]) == want[::-1]
+
+
+WORKER = """
+import json, random, re, sys, pyarrow as pa
+from strataloom.llm import packing
+path, limits = json.loads(sys.argv[1])
+def status(key):
+    return int(re.search(key + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+rng = random.Random(1)
+words = ["".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randint(3, 12))) for _ in range(60_000)]
+def batches():
+    for _ in range(3):
+        texts = [" ".join(rng.choices(words, k=500)) for _ in range(1000)]
+        yield pa.record_batch([pa.array(range(1000)), pa.array(texts)], names=["doc_id", "text"])
+run = packing._pieces(path, 1024, 0, **limits)
+list(run([pa.record_batch([pa.array([0]), pa.array(["one"])], names=["doc_id", "text"])]))
+before = status("VmRSS")
+rows = sum(x.num_rows for x in run(batches()))
+print(json.dumps([rows, status("VmHWM") - before]))
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/status"), reason="no figures of memory here")
+def test_a_worker_of_the_pipelines_packing_takes_little(monkeypatch):
+    monkeypatch.setattr(packing, "pack", lambda docs, path, **limits: [path, limits])
+    args = json.dumps(corpus_pipeline.pack(None, None, ""))
+    here = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    out = subprocess.run([sys.executable, "-c", WORKER, args], env=os.environ | {"PYTHONPATH": here}, capture_output=True, text=True, timeout=120, check=True)
+    rows, mb = json.loads(out.stdout)
+    assert rows >= 3000 and mb < 95, mb
+
+
 def test_packing_holds_each_id_once(spark):
     docs = edge_docs(spark)
     rows = packing.pack(docs, public_tokenizers.path(FILES[0])).collect()
