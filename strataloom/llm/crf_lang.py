@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import small_batches
-from .textscan import _BASE, _BASE_INVERSE, _BYTE, Words, _powers, mix, slices, stream, text_buffers, tidied
+from .textscan import _BASE, _BASE_INVERSE, _BYTE, Words, _powers, mix, slices, stream, text_buffers, tidied, tidy
 
 BITS = 16
 BLOCK = 64
@@ -31,6 +31,8 @@ LEAST_ROWS = 20
 MOST_LANGUAGES = 1000
 LEXICON = 400
 SLICE = 1 << 20
+#: Distinct words whose features are made together where the field is fitted.
+FIT_WORDS = 10_000
 
 
 @dataclass
@@ -43,10 +45,7 @@ class Crf:
     lexicon: list[np.ndarray]
 
     def emissions(self, words: Words, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        # The bytes of distinct words alone, which are few beside those of a long text.
-        size = words.stop[at] - words.start[at]
-        start = np.cumsum(size) - size
-        feats, owner = word_features(words.data[_ranged(words.start[at], size)[0]], start, start + size, hashes, self.lexicon)
+        feats, owner = _distinct_features(words, hashes, at, self.lexicon)
         out = np.empty((len(at), len(self.languages)), np.float32)
         for k in range(out.shape[1]):
             out[:, k] = np.bincount(owner, self.weights[feats, k], len(at))
@@ -87,6 +86,13 @@ def word_features(data: np.ndarray, start: np.ndarray, stop: np.ndarray, hashes:
     return np.concatenate(feats).astype(np.int64), np.concatenate(owners)
 
 
+def _distinct_features(words: Words, hashes: np.ndarray, at: np.ndarray, lexicon: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """word_features() of the distinct words `at`, from their bytes alone, which are few beside those of all texts."""
+    size = words.stop[at] - words.start[at]
+    start = np.cumsum(size) - size
+    return word_features(words.data[_ranged(words.start[at], size)[0]], start, start + size, hashes, lexicon)
+
+
 def _scaled(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
 
@@ -186,11 +192,15 @@ def fit(languages: list[str], texts: list[str], labels: list[int], epochs: int =
         own = share[:, j] / np.maximum(share.sum(axis=1), 1e-12)
         good = np.flatnonzero(lettered & (own > 0.6) & (seen[:, j] >= 3))
         lexicon.append(np.sort(hashes[good[np.argsort(-share[good, j], kind="stable")[:LEXICON]]]))
-    feats, of = word_features(words.data, words.start[at], words.stop[at], hashes, lexicon)
-    keep = lettered[of]
-    feats, of = feats[keep], of[keep]
-    order = np.argsort(of, kind="stable")
-    feats, ptr = feats[order], np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(hashes)))])
+    parts, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for lo in range(0, len(at), FIT_WORDS):
+        part = slice(lo, lo + FIT_WORDS)
+        feats, of = _distinct_features(words, hashes[part], at[part], lexicon)
+        keep = lettered[part][of]
+        feats, of = feats[keep].astype(np.int32), of[keep]
+        parts.append(feats[np.argsort(of, kind="stable")])
+        sizes.append(np.bincount(of, minlength=len(hashes[part])))
+    feats, ptr = np.concatenate(parts), np.cumsum(np.concatenate(sizes))
 
     # Stretches of 4 to BLOCK words, from all over each text; pairs of them make sequences that switch.
     stretches = []
@@ -266,7 +276,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     few = few.select("lang", "h", place.alias("text")).dropDuplicates(["lang", "h", "text"])
     first = Window.partitionBy("lang").orderBy("h", "text")
     sample = few.withColumn("place", F.row_number().over(first)).where(F.col("place") <= each).orderBy("h", "lang", "text").collect()
-    return fit(languages, [r.text for r in sample], [languages.index(r.lang) for r in sample])
+    crf = fit(languages, [r.text for r in sample], [languages.index(r.lang) for r in sample])
+    tidy()  # the driver too outlives this
+    return crf
 
 
 def _predict(crf: Crf):

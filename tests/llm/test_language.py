@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +121,23 @@ def test_unlabelled_and_mislabelled_corpora(spark):
     assert crf_lang.keep(french.drop("lang"), crf).count() == 20
 
 
+def test_the_fit_holds_distinct_words_only(monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=8)) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=1500)) for _ in range(300)]
+    tracemalloc.start()
+    crf = crf_lang.fit(["a", "b"], texts, [i % 2 for i in range(300)], epochs=0)
+    peak = tracemalloc.get_traced_memory()[1] / 2**20
+    tracemalloc.stop()
+    assert peak < 195, peak
+    monkeypatch.setattr(crf_lang, "FIT_WORDS", 7)
+    few = [" ".join(x.split()[:100]) for x in texts[:40]]
+    one = crf_lang.fit(["a", "b"], few, [i % 2 for i in range(40)], epochs=1)
+    monkeypatch.setattr(crf_lang, "FIT_WORDS", 10**6)
+    two = crf_lang.fit(["a", "b"], few, [i % 2 for i in range(40)], epochs=1)
+    assert np.array_equal(one.weights, two.weights) and np.array_equal(one.transitions, two.transitions) and crf.languages == ["a", "b"]
+
+
 def test_hashes_don_t_depend_on_chunks():
     rng = random.Random(6)
     text = "".join(rng.choice("abc \n") for _ in range(700_000)) + " " + "x" * 400_000 + " abc"
