@@ -3,6 +3,7 @@
 import itertools
 from collections import deque
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -105,6 +106,30 @@ def test_joined_betweenness_has_no_last_level(spark, monkeypatch):
     assert joins == pytest.approx(shared, abs=1e-8) and joins["n5"] > 0 and joins["n6"] > 0
 
 
+def test_every_node_of_a_large_graph_is_a_source(spark):
+    g = graph(spark, [(f"leaf{i}", "hub") for i in range(5200)])
+    assert [(r.name, r.betweenness) for r in bridges.top(g).collect()] == [("hub", 0.5)]
+
+
+def test_arrays_count_paths_through_hubs_and_chunks(monkeypatch):
+    monkeypatch.setattr(bridges, "HUB_DEGREE", 5)
+    monkeypatch.setattr(bridges, "CHUNK_ROWS", 3)
+    pairs = [(0, i) for i in range(1, 9)] + [(1, 2), (3, 4), (8, 9), (9, 10), (10, 11), (4, 5), (12, 13), (13, 14)]
+    adj = {v: {b for a, b in pairs if a == v} | {a for a, b in pairs if b == v} for v in range(15)}
+    order = sorted(adj, key=lambda v: -len(adj[v]))
+    start = np.cumsum([0] + [len(adj[v]) for v in order])
+    ends = np.array([order.index(w) for v in order for w in adj[v]], np.int32)
+    got = sum(bridges.dependencies(start, ends, np.arange(lo, lo + 5)) for lo in (0, 5, 10)) / 2 / (14 * 13)
+    want = brandes(order, adj)
+    assert dict(zip(order, got)) == pytest.approx(want, abs=1e-9)
+
+
+def test_bridges_are_ordered_by_what_is_shown(spark):
+    g = graph(spark, [(f"n{i}", f"n{i + 1}") for i in range(4)])
+    assert [r.name for r in bridges.top(g).collect()] == ["n2", "n1", "n3"]
+    assert [(r.name, r.betweenness) for r in bridges.top(g, digits=1).collect()] == [("n1", 0.3), ("n2", 0.3), ("n3", 0.3)]
+
+
 def test_polymorphic_callers(spark):
     g = graph(spark, [("a", "f@1"), ("b", "f@2"), ("c", "one")], files={"f@1": "x.py", "f@2": "y.py"})
     assert onehop.callers(g, "f").count() == 0
