@@ -151,15 +151,19 @@ def affected_tests(g: Graph, seeds: DataFrame, depth: int = 3, commits: DataFram
     test folder of a JVM package, or that changed in two or more commits with the seed's file (commits). Only where nothing
     else is found: test files whose text has the seed as a word (texts).
     """
-    calls = g.kind("CALLS").select(F.col("src").alias("s"), F.col("dst").alias("t")).distinct()
-    at = seeds.select("seed").distinct().join(g.internal().select(F.col("name").alias("seed"), "id"), "seed")
-    every = at
+    calls = written(g.kind("CALLS").select(F.col("src").alias("id"), "dst").distinct())
+    at = written(seeds.select("seed").distinct().join(g.internal().select(F.col("name").alias("seed"), "id"), "seed"))
+    # Ids within so many hops of any seed, then the test files of each, carried back hop by hop: no pairs of seeds and ids.
+    near = [at.select("id").distinct()]
     for _ in range(depth):
-        # What was reached before is not followed again.
-        at = written(at.join(calls, F.col("id") == F.col("s")).select("seed", F.col("t").alias("id")).distinct().join(every, ["seed", "id"], "left_anti"))
-        every = every.union(at)
-    tested = g.kind("TESTED_BY").select(F.col("src").alias("id"), F.col("dst").alias("test"))
-    edge = every.join(tested, "id").select("seed", "test").distinct().join(g.symbols.select(F.col("id").alias("test"), F.col("file").alias("path")), "test").select("seed", "path")
+        near.append(written(near[-1].union(calls.join(near[-1], "id", "left_semi").select(F.col("dst").alias("id"))).distinct()))
+    tested = g.kind("TESTED_BY").select(F.col("src").alias("id"), F.col("dst").alias("test")).join(g.symbols.select(F.col("id").alias("test"), F.col("file").alias("path")), "test")
+    tested = written(tested.select("id", "path").distinct().join(near[-1], "id", "left_semi"))
+    found = tested
+    for ids in reversed(near[:-1]):
+        back = calls.join(ids, "id", "left_semi").join(found.withColumnRenamed("id", "dst"), "dst").select("id", "path")
+        found = written(back.union(tested.join(ids, "id", "left_semi")).distinct())
+    edge = at.join(found, "id").select("seed", "path").distinct()
     own = seeds.select("seed").distinct().join(g.internal().select(F.col("name").alias("seed"), F.col("file").alias("path")), "seed").distinct()
     edge = edge.union(own.where(p.is_test_path(F.col("path")))).distinct().withColumn("reason", F.lit("edge"))
     tests = g.files.where(p.is_test_path(F.col("path"))).select("path").distinct()

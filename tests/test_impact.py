@@ -60,6 +60,24 @@ def test_affected_tests_by_each_signal(spark):
     assert impact.affected_tests(g, names(spark), 3).count() == 0
 
 
+def test_affected_tests_hold_no_pairs_of_seeds_and_symbols(spark, monkeypatch):
+    n, sizes, plain = 30, [], impact.written
+
+    def counted(df):
+        out = plain(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(impact, "written", counted)
+    ids = [("hub", "hub", "h.py")] + [(f"{x}{i}", f"{x}{i}", f"{x}.py") for x in "ab" for i in range(n)] + [("t", "t", "tests/test_it.py")]
+    calls = [(f"a{i}", "hub") for i in range(n)] + [("hub", f"b{i}") for i in range(n)]
+    g = Graph.from_rows(spark, [(*x, "function", 1, 2) for x in ids], [("CALLS", a, b, 1) for a, b in calls] + [("TESTED_BY", f"b{i}", "t", 1) for i in range(n)])
+    got = {(r.seed, r.path) for r in impact.affected_tests(g, names(spark, *(f"a{i}" for i in range(n))), 2).where("reason = 'edge'").collect()}
+    assert got == {(f"a{i}", "tests/test_it.py") for i in range(n)}
+    assert max(sizes) <= 2 * n + 1
+    assert impact.affected_tests(g, names(spark, "a1"), 1).count() == 0
+
+
 FILES = {
     "svc/go.mod": "module example.org/svc\n", "svc/util/a.go": "package util\nfunc Help() {\n}\n", "svc/util/a_test.go": "package util\n", "other/util/a.go": "package util\n",
     "svc/main.go": 'package main\nimport "example.org/svc/util"\nfunc main() {\n  Help()\n}\n',
