@@ -6,6 +6,7 @@ a query over several kinds is one filter, and a stored graph is partitioned by k
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,10 +62,12 @@ class Graph:
     files: DataFrame
     symbols: DataFrame
     edges: DataFrame
+    #: Makes the edges of some kinds alone, for edges that are computed: kind() asks it in place of filtering all.
+    make: Callable[..., DataFrame] | None = None
 
     @staticmethod
-    def of(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> Graph:
-        return Graph(conform(files, FILES), conform(symbols, SYMBOLS), conform(edges, EDGES))
+    def of(files: DataFrame, symbols: DataFrame, edges: DataFrame, make: Callable[..., DataFrame] | None = None) -> Graph:
+        return Graph(conform(files, FILES), conform(symbols, SYMBOLS), conform(edges, EDGES), make and (lambda *kinds, by=None: conform(make(*kinds, by=by), EDGES)))
 
     @staticmethod
     def from_rows(spark: SparkSession, symbols: list[tuple], edges: list[tuple], files: list[tuple] = ()) -> Graph:
@@ -76,17 +79,38 @@ class Graph:
             spark.createDataFrame(edges, "kind string, src string, dst string, line long"),
         )
 
-    def kind(self, *kinds: str) -> DataFrame:
-        return self.edges.where(F.col("kind").isin(*kinds))
+    def kind(self, *kinds: str, by: str | None = None) -> DataFrame:
+        """The edges of some kinds; by says which end they are to be joined at, for edges that are made with a shuffle anyway."""
+        return (self.make(*kinds, by=by) if self.make else self.edges).where(F.col("kind").isin(*kinds))
+
+    def plus(self, kind: str, rows: DataFrame) -> Graph:
+        """This graph with rows (src, dst, ...) as its edges of a kind that it has none of."""
+        rows = conform(rows.withColumn("kind", F.lit(kind)), EDGES)
+
+        def make(*kinds: str, by: str | None = None) -> DataFrame:
+            others = [k for k in kinds if k != kind]
+            return rows if not others else self.kind(*others, by=by).union(rows) if kind in kinds else self.kind(*others, by=by)
+
+        return Graph(self.files, self.symbols, self.edges.union(rows), make)
 
     def internal(self) -> DataFrame:
         return self.symbols.where(F.col("kind") != EXTERNAL)
 
-    def ends(self, *kinds: str) -> DataFrame:
-        """Edges between symbols with both ends' name, file and kind: src_*, dst_*."""
-        side = lambda tag: self.symbols.select(F.col("id").alias(tag), F.col("name").alias(f"{tag}_name"), F.col("file").alias(f"{tag}_file"), F.col("kind").alias(f"{tag}_kind"), F.col("line").alias(f"{tag}_line"))
-        rows = self.kind(*kinds).select("src", "dst", F.col("kind").alias("edge"), "line", "ref_kind")
-        return rows.join(side("src"), "src").join(side("dst"), "dst")
+    def ends(self, *kinds: str, src: DataFrame | None = None, dst: DataFrame | None = None, first: str = "src") -> DataFrame:
+        """Edges between symbols with both ends' name, file and kind: src_*, dst_*.
+
+        src and dst are the symbols that may stand there, all by default; columns `defs` and `ids` of theirs come along. The end that
+        leaves fewer edges should be joined first.
+        """
+
+        def side(tag: str, symbols: DataFrame) -> DataFrame:
+            return symbols.select(F.col("id").alias(tag), *(F.col(c).alias(f"{tag}_{c}") for c in ("name", "file", "kind", "line", "defs", "ids") if c in symbols.columns))
+
+        sides = {"src": side("src", self.symbols if src is None else src), "dst": side("dst", self.symbols if dst is None else dst)}
+        rows = self.kind(*kinds, by=first).select("src", "dst", F.col("kind").alias("edge"), "line", "ref_kind")
+        for tag in sorted(sides, reverse=first == "src"):
+            rows = rows.join(sides[tag], tag)
+        return rows
 
     def subset_violations(self, inner: str, outer: str) -> DataFrame:
         """Edges of the inner kind that the outer kind lacks; none in a sound graph."""

@@ -54,7 +54,7 @@ def rename_sites(g: Graph, target: str, file: str | None = None) -> DataFrame:
     several = F.lit(defs.select("file").distinct().limit(2).count() > 1)
     here = defs if file is None else defs.where(F.col("file") == file)
     own = here.select("file", "line", F.lit("definition").alias("kind"), F.lit(1.0).alias("confidence"), F.col("name").alias("symbol"))
-    uses = g.ends("CALLS", "REFERENCES").where((F.col("dst_name") == target) & (F.col("dst_kind") != "external"))
+    uses = g.ends("CALLS", "REFERENCES", dst=defs, first="dst")
     sure = F.when(F.col("edge") == "CALLS", 0.9).otherwise(0.7)
     other = several & (F.lit(file is None) | (F.col("dst_file") != F.lit(file or "")))
     uses = uses.select(F.col("src_file").alias("file"), "line", F.when(F.col("edge") == "CALLS", "call").otherwise("reference").alias("kind"), F.when(other, 0.6).otherwise(sure).alias("confidence"), F.col("src_name").alias("symbol"))

@@ -1,6 +1,7 @@
 """Operators on small hand-made graphs, against what the shapes imply or a plain model."""
 
 import itertools
+import os
 from collections import deque
 
 import numpy as np
@@ -13,6 +14,7 @@ from strataloom.errors import IndexNotReady, InvalidParams
 from strataloom.functions import predicates as p
 from strataloom.graph import Graph
 from strataloom.operators import architecture, bridges, catalog, context, evaluate, history, hubs, impact, importers, liveness, onehop, resolve, search
+from strataloom.plans import projections
 
 
 def graph(spark, calls, extra=(), kinds=None, files=None):
@@ -130,6 +132,29 @@ def test_bridges_are_ordered_by_what_is_shown(spark):
     assert [(r.name, r.betweenness) for r in bridges.top(g, digits=1).collect()] == [("n1", 0.3), ("n2", 0.3), ("n3", 0.3)]
 
 
+def test_compact_callers_of_names_with_several_symbols(spark):
+    g = Graph.from_rows(spark, [("a", "a", "m.py", "function", 1, 2), ("f1", "f", "m.py", "function", 3, 4), ("f2", "f", "m.py", "function", 5, 6), ("h", "h", "m.py", "function", 7, 8)],
+                        [("CALLS", "a", "f1", 4), ("CALLS", "a", "f2", 4), ("CALLS", "a", "f2", 2), ("CALLS", "a", "h", 3), ("CALLS", "a", "h", 1), ("REFERENCES", "a", "h", 1)])
+    want = {("f", "a", "m.py", "call", "2,4", 3, 1.0), ("h", "a", "m.py", "call", "1,3", 2, 1.0), ("h", "a", "m.py", "reference", "1", 1, 1.0)}
+    assert {tuple(r) for r in onehop.callers_compact(g).collect()} == want == {tuple(r) for r in onehop.compact(onehop.callers(g)).collect()}
+    assert {tuple(r) for r in onehop.callers_compact(g, "f", "m.py").collect()} == {("f", "a", "m.py", "call", "2,4", 3, 1.0)}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_edges_move_once_for_each_end(spark):
+    g = projections.commerce(spark, "/root/testdata/sf0.001", "CALLS", "REFERENCES", "EXTENDS")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in (onehop.callers(g), onehop.callees(g)):
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            # Of lines, orders and symbols as ever; of edges one for each end, none to make them distinct or to meet names.
+            assert "hashpartitioning(kind" not in plan and "hashpartitioning(dst_name" not in plan and "hashpartitioning(src_name" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert not any("lineitem" in x for x in g.plus("OVERRIDES", g.kind("EXTENDS")).kind("OVERRIDES", "IMPORTS").inputFiles())
+
+
 def test_polymorphic_callers(spark):
     g = graph(spark, [("a", "f@1"), ("b", "f@2"), ("c", "one")], files={"f@1": "x.py", "f@2": "y.py"})
     assert onehop.callers(g, "f").count() == 0
