@@ -14,7 +14,7 @@ from strataloom.errors import IndexNotReady, InvalidParams
 from strataloom.functions import predicates as p
 from strataloom.graph import Graph
 from strataloom.operators import architecture, bridges, catalog, context, evaluate, history, hubs, impact, importers, liveness, onehop, resolve, search
-from strataloom.plans import projections
+from strataloom.plans import catalogue, projections
 
 
 def graph(spark, calls, extra=(), kinds=None, files=None):
@@ -155,6 +155,31 @@ def test_edges_move_once_for_each_end(spark):
     assert not any("lineitem" in x for x in g.plus("OVERRIDES", g.kind("EXTENDS")).kind("OVERRIDES", "IMPORTS").inputFiles())
 
 
+def test_chain_depth_is_doubled(spark):
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(14)] + [("x", "y"), ("y", "x"), ("n3", "z")]
+    depth = liveness.chain_depth(spark.createDataFrame(pairs, "src string, dst string"))
+    assert {r.id: r.depth for r in depth.collect()} == {f"n{i}": min(10, 14 - i) for i in range(14)} | {"x": 10, "y": 10}
+    assert depth._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 1
+    assert {r.depth for r in liveness.chain_depth(spark.createDataFrame(pairs, "src string, dst string"), 1).collect()} == {1}
+
+
+def test_co_change_moves_a_pair_once(spark):
+    rows = [("a", 1, "p"), ("a", 1, "q"), ("a", 1, "r"), ("b", 2, "p"), ("b", 2, "q"), ("b", 3, "p"), ("c", 4, "p"), (None, 5, "p"), (None, 5, "q"), ("d", 6, "q"), ("d", 6, None)]
+    commits = spark.createDataFrame(rows, "sha string, n long, path string").select("sha", F.timestamp_seconds("n").alias("ts"), F.lit(False).alias("is_merge"), "path")
+    pairs = history.co_change(commits)
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+    # b's p stands twice, at two times, as it does for both.
+    assert {tuple(r) for r in pairs.collect()} == {("p", "q", 3), ("q", "p", 3), ("p", "r", 1), ("r", "p", 1), ("q", "r", 1), ("r", "q", 1)}
+    # Only the last two of p count for p: at 5 and 4 there is nothing else, and q's last two are at 6 and 5.
+    assert {tuple(r) for r in history.co_change(commits, 2).collect()} == {("r", "p", 1), ("r", "q", 1)}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_sections_read_the_lines_twice(spark):
+    plan = catalogue._sections(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [l_orderkey") == 2
+
+
 def test_polymorphic_callers(spark):
     g = graph(spark, [("a", "f@1"), ("b", "f@2"), ("c", "one")], files={"f@1": "x.py", "f@2": "y.py"})
     assert onehop.callers(g, "f").count() == 0
